@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, packing, pii, token_counts, topk
 
 
 def queries() -> dict:
     return {
+        "op1_token_attribution": token_counts.query,
         "op2_pack_best_fit": packing.query,
+        "op6_exact_top_k": topk.query,
         "op9_mix_sources": mixing.query,
+        "op10_personal_data": pii.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": mixing.SQL}
+    return {"op6_exact_top_k": topk.SQL, "op9_mix_sources": mixing.SQL}
