@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, token_counts, topk
+from . import language, media, mixing, packing, pii, quality, token_counts, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_attribution": token_counts.query,
         "op2_pack_best_fit": packing.query,
+        "op4_language_spans": language.query,
+        "op5_toxicity_trees": toxicity.query,
         "op6_exact_top_k": topk.query,
+        "op7_quality_pairs": quality.query,
+        "op8_jpeg_media": media.query,
         "op9_mix_sources": mixing.query,
         "op10_personal_data": pii.query,
     }
