@@ -18,12 +18,14 @@ def vocabulary(name: str) -> str:
 class WordEncoder:
     """Ids of a BPE with word ends whose words never cross white space.
 
-    A text is split at white space and the pieces' ids come out of a memo, which is emptied when it holds ``memo``
-    entries. Texts with characters above U+024F, or with separators that the two libraries see differently, go to the
-    tokenizer whole; both ways give the same ids.
+    A text is split at white space; the ids of these pieces come out of a memo, and those of their words out of
+    another. Both are emptied when the first holds ``memo`` entries. Texts with characters above U+024F, or with
+    characters that the two libraries see differently, go to the tokenizer whole; both ways give the same ids.
     """
 
-    ODD = re.compile("[^\x00-\x1b\x20-įı-ɏ]")
+    ODD = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]")
+    #: The vocabulary's own word pattern, for the characters that are not ODD.
+    WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str, memo: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,27 +33,42 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        #: Bytes as the characters that the vocabulary writes for them.
+        self.bytes = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.most = memo
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            spelled = word.encode().decode("latin-1").translate(self.bytes)
+            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        return found
+
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.ODD.search(text):
             return self._whole(text)
-        words, memo = text.lower().split(), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
+        pieces, memo = text.lower().split(), self.memo
         if len(memo) > self.most:
             memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self._whole(w)
-        return b"".join([memo[w] for w in words])
+            self.words.clear()
+        found = list(map(memo.get, pieces))
+        if None in found:
+            for k, x in enumerate(found):
+                if x is None:
+                    piece = pieces[k]
+                    if (x := memo.get(piece)) is None:
+                        x = memo[piece] = b"".join(map(self._word, self.WORDS.findall(piece)))
+                    found[k] = x
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
