@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, packing, pii, quality, token_counts, topk, toxicity
+from . import language, media, mixing, neardup, packing, pii, quality, token_counts, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_attribution": token_counts.query,
         "op2_pack_best_fit": packing.query,
+        "op3_near_duplicates": neardup.query,
         "op4_language_spans": language.query,
         "op5_toxicity_trees": toxicity.query,
         "op6_exact_top_k": topk.query,
