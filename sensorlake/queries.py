@@ -38,6 +38,11 @@ def r6(c, name: str | None = None):
     return F.round(c, 6).alias(name or c)
 
 
+def known(c, name: str | None = None, other: int = -1):
+    """Integers with a number in place of null, as results are compared by value."""
+    return F.coalesce(F.col(c).cast("long") if isinstance(c, str) else c, F.lit(other)).alias(name or c)
+
+
 def utc_of(log: DataFrame) -> DataFrame:
     """Each record with its true time in seconds, as what the clock regression would give."""
     return log.withColumn("utc", F.col("offset") / 1e6)
@@ -75,7 +80,7 @@ def file_headers(log):
 def decoded_frames(log):
     """Round trip: the log is written as raw files and decoded again."""
     frames = decode_frames(raw_files(log)).where("kind <> 'FILE'")
-    return frames.select("file_id", "kind", "offset", "micros_reading", *[F.col(c).cast("long").alias(c) for c in ("counter", "acc_x", "acc_y", "gyr_z", "latitude", "longitude", "posix_timestamp", "microseconds", "ned_vel_east", "fix_type")])
+    return frames.select("file_id", "kind", "offset", "micros_reading", *[known(c) for c in ("counter", "acc_x", "acc_y", "gyr_z", "latitude", "longitude", "posix_timestamp", "microseconds", "ned_vel_east", "fix_type")])
 
 
 @on_log
@@ -137,7 +142,7 @@ def normalized_index(log):
 @on_log
 def utc_micros(log):
     late = utc_of(log).withColumn("utc", F.when(F.col("counter") % 5 > 0, F.col("utc")))
-    return late.withColumn("u", fn.utc_micros(F.col("utc"))).select("file_id", "offset", F.round("u.micros", 0).cast("long").alias("utc_micros"), F.col("u.valid").alias("utc_valid"))
+    return late.withColumn("u", fn.utc_micros(F.col("utc"))).select("file_id", "offset", known(F.round("u.micros", 0).cast("long"), "utc_micros"), F.col("u.valid").alias("utc_valid"))
 
 
 @on_log
@@ -178,7 +183,7 @@ def carried_state(log):
 
 @on_log
 def carried_unwrap(log):
-    return unwrapped(log).select("file_id", "segment", "kind", "offset", "micros_reading_unwrapped", "counter_unwrapped", "micros_reading_wrap", "counter_wrap")
+    return unwrapped(log).select("file_id", "segment", "kind", "offset", "micros_reading_unwrapped", known("counter_unwrapped"), "micros_reading_wrap", "counter_wrap")
 
 
 @on_log
@@ -203,7 +208,7 @@ def consecutive_dt(log):
 def counter_gaps(log):
     imu = log.where("kind = 'IMU'").withColumn("segment", F.lit(0))
     x = unwrap.unwrap_counter(imu, "counter", S.counter_turn)
-    return series.counter_gaps(x, wrap=200)
+    return series.counter_gaps(x, wrap=200).withColumn("missed", known("missed", other=0))
 
 
 @on_log
@@ -248,12 +253,12 @@ def matched(log: DataFrame) -> DataFrame:
 
 @on_log
 def nearest_fixes(log):
-    return matched(log).select("file_id", "segment", "offset", "micros", "gnss_micros", r6("gnss_utc"))
+    return matched(log).select("file_id", "segment", "offset", "micros", known("gnss_micros"), r6("gnss_utc"))
 
 
 @on_log
 def pulse_seconds(log):
-    return clock.pulse_utc_second(matched(log), S.ticks).select("file_id", "segment", "offset", "utc_second")
+    return clock.pulse_utc_second(matched(log), S.ticks).select("file_id", "segment", "offset", known("utc_second"))
 
 
 @on_log
@@ -307,7 +312,7 @@ def graded_segments(log):
 
 @on_log
 def filtered_segments(log):
-    return graded(log).select("file_id", "segment", "keep", "skip_reason", F.col("segment_out").cast("long").alias("segment_out"))
+    return graded(log).select("file_id", "segment", "keep", "skip_reason", known("segment_out"))
 
 
 @on_log
@@ -327,7 +332,7 @@ def unwrap_stats(log):
 
 @on_log
 def segment_counts(log):
-    return segments.segment_counts(segmented(log, S))
+    return segments.segment_counts(segmented(log, S)).withColumn("segment", F.coalesce("segment", F.lit(-1)))
 
 
 @on_log
@@ -347,7 +352,7 @@ def utc_duration(log):
 def outlier_counts(log):
     flags = [f"{g}_{a}_stdchecked" for g in ("acc", "gyr") for a in "xyz"]
     x = outliers.flag_outliers(segmented(log, S).where("kind = 'IMU'"), [f[:-11] for f in flags])
-    return outliers.outlier_counts(x, flags, {"acc": flags[:3], "gyr": flags[3:]})
+    return outliers.outlier_counts(x, flags, {"acc": flags[:3], "gyr": flags[3:]}).withColumn("segment", F.coalesce("segment", F.lit(-1)))
 
 
 @on_log
