@@ -45,7 +45,8 @@ def parse_header(files: DataFrame) -> DataFrame:
     of several such lines the last counts. Bytes that aren't UTF-8 are dropped; what isn't a number is null."""
     head = F.substring("content", 1, HEADER_BYTES)
     end = F.least(*[_position(head, m) for m in MARKERS.values()])
-    text = F.regexp_replace(F.decode(F.substring(head, F.lit(1), F.coalesce(end, F.length(head))), "UTF-8"), "�", "")
+    raw = F.substring(head, F.lit(1), F.coalesce(end, F.length(head)))
+    text = F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
     x = files.withColumn("header_text", text).withColumn("__lines", F.split("header_text", "\r\n|\n|\r"))
 
     def told(name: str) -> Column:

@@ -68,8 +68,8 @@ def saturation_alarm(windows: DataFrame, keys: list[str], busy: str = "write_ms"
 
 
 def streamed_alarm(rates: DataFrame, device: str = "device", expected: dict[str, tuple[float, float, int]] | None = None) -> DataFrame:
-    """The frequency alarm over a stream of finished windows (``live_rates`` in append mode). The state is one number
-    per device and kind."""
+    """The frequency alarm over a stream of finished windows, as read from the table that ``live_rates`` appends to (one
+    query can't keep state after an aggregation). The state is one number per device and kind."""
     known = expected or EXPECTED
 
     def judge(key: tuple, windows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
