@@ -66,6 +66,7 @@ def throw(document: np.ndarray, element: np.ndarray, weight: np.ndarray, limit:
         if not len(own):
             return
         document, element, weight = document[own], element[own], weight[own]
+        partial = bool((weight < low + 2.0**column).any())
         cell = 0
         most = limit[document]
         live = np.arange(len(document))
@@ -85,7 +86,7 @@ def throw(document: np.ndarray, element: np.ndarray, weight: np.ndarray, limit:
             of = np.repeat(live[hit], count)
             rank = start + 2.0**height * unit(mix(dart + U(1)))
             kept = rank <= most[of]
-            if column:  # the last column of an element may be wider than its weight
+            if partial:  # the last column of an element may be wider than its weight
                 kept &= low + 2.0**column * unit(mix(dart + U(2))) < weight[of]
             dart, of, rank = dart[kept], of[kept], rank[kept]
             value = rank.astype(np.float32).view(np.uint32).astype(U) << U(32) | dart >> U(32)
