@@ -4,8 +4,9 @@ Shingles of five words are weighted by how often the document holds them; two do
 Jaccard similarity is 0.8 or more, and a class is a connected component of the links. Copies whose words are equal are
 one node from the start.
 
-Documents that share a band are candidates. A bucket's members are first compared with one of them only, and what that
-links becomes one component. Where a bucket then still holds several components, its members are compared with other
+Documents that share a band are candidates. A bucket's members are first compared with one of them only, the one that
+meets most others in its buckets: of a group of copies that is their original, or what is nearest to it. What that links
+becomes one component. Where a bucket then still holds several components, its members are compared with the next
 centres, and in the end the members of different components with each other: so every pair of a bucket that could still
 join two components is looked at, while the pairs within a group of copies, which can't, never come to be.
 """
@@ -190,6 +191,8 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = store(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-buckets")
     members = store(placed.join(shared, "bucket"), "dup-members")
+    meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
+    members = store(members.join(meets, "node"), "dup-members")
     chosen = nodes.join(members.select("node").distinct(), "node").select(*[F.col(c).alias(f"own_{c}") for c in ("node", "doc_id", "text_hash")])
     own_row = (F.col("node") == F.col("own_node")) & F.col("doc_id").eqNullSafe(F.col("own_doc_id")) & (F.col("text_hash") == F.col("own_text_hash"))
     sets = store(signed.join(chosen, own_row).select("node", "shingles", "counts").dropDuplicates(["node"]), "dup-sets")
@@ -199,12 +202,13 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, label) of the components of all links; ``members``: bucket, node and n, the bucket's number of nodes."""
-    mixed, labels, links, tested = members, None, None, None
+    """(node, label) of the components of all links; ``members``: bucket, node, n (the bucket's number of nodes)
+    and meets (the sum of n over the node's buckets)."""
+    mixed, labels, links, tested = members.withColumn("spent", F.lit(False)), None, None, None
     for step in range(CENTRES + 1):
         if step < CENTRES:
-            salt = F.lit(int(mix(np.array([step], U)).view(np.int64)[0]))
-            centre = mixed.groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt).alias("centre"))
+            unspent = mixed.where("not spent").groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("x"))
+            centre = unspent.select("bucket", F.col("x.node").alias("centre"))
             met = mixed.join(centre, "bucket").where(F.col("node") != F.col("centre"))
             if step:
                 of_centre = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
@@ -223,7 +227,9 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
         if labels is None or found.limit(1).count():
             labels = components(links, labels)
         # the pair of a bucket of two has been tested; other buckets are done when they hold one component
-        told = members.where("n > 2").join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+        if step < CENTRES:
+            mixed = mixed.join(centre, "bucket").withColumn("spent", F.col("spent") | (F.col("node") == F.col("centre")))
+        told = mixed.where("n > 2").select("bucket", "node", "n", "meets", "spent").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         mixed = store(told.join(several, "bucket"), "dup-mixed")
         if not mixed.limit(1).count():
