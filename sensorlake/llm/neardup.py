@@ -30,8 +30,6 @@ WORDS = 5
 BANDS, ROWS = 38, 8
 #: Similarity from which documents are linked, as a fraction.
 LINK = (4, 5)
-#: Centres that a bucket's members are compared with before pairs of different components are.
-CENTRES = 4
 SLICE = 1_000_000
 SIGNED = "doc_id long, text_hash long, node long, bands array<long>, shingles binary, counts binary"
 
@@ -201,40 +199,73 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed, known.withColumn("label", F.coalesce("label", "node"))
 
 
+REST = "centre long, node long, label long, size double, held double, token long"
+#: Stands for "no token need be shared".
+NONE = -1
+
+
+def remainders(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """REST: for each (centre, node, label) the shingles of the node beyond those of the centre, as far as a similar
+    node of the same centre must share one of them.
+
+    Let held be what a node shares with the centre. Two nodes share at most the lesser held and what their remainders
+    share, and to be similar they must share 4/9 of their sizes' sum. So their remainders share at least ``need`` =
+    4/9 (size + least size there) - held; of a remainder, in the order of its hashes, the end that weighs less than
+    ``need`` can be left out. Where ``need`` is 0 or less the token NONE stands for sharing nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                x, y = np.frombuffer(r["a_shingles"], "<u4"), np.frombuffer(r["b_shingles"], "<u4")
+                m = np.frombuffer(r["a_counts"], "<u4").astype(np.int64) if r["a_counts"] else np.ones(len(x), np.int64)
+                n = np.frombuffer(r["b_counts"], "<u4").astype(np.int64) if r["b_counts"] else np.ones(len(y), np.int64)
+                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                common = np.zeros(len(x), np.int64)
+                common[i] = np.minimum(m[i], n[j])
+                size, held, rest = int(m.sum()), int(common.sum()), m - common
+                least = max(r["least"], LINK[0] * size / LINK[1])
+                need = LINK[0] * (size + least) / (LINK[0] + LINK[1]) - held - 1e-6
+                tokens = np.flatnonzero(rest)
+                behind = rest[tokens][::-1].cumsum()[::-1]
+                kept = x[tokens[behind >= need]].astype(np.int64).tolist() + [NONE] * (need <= 0)
+                out += [(r["centre"], r["node"], r["label"], float(size), float(held), t) for t in kept]
+            names = [f.split()[0] for f in REST.split(", ")]
+            kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names)
+
+    side = lambda key, name: sets.select(F.col("node").alias(key), F.col("shingles").alias(f"{name}_shingles"), F.col("counts").alias(f"{name}_counts"))
+    sizes = sets.select("node", (F.length("shingles") / 4).alias("distinct"))
+    least = stars.join(sizes, "node").groupBy("centre").agg(F.min("distinct").alias("least"))
+    return stars.join(least, "centre").join(side("node", "a"), "node").join(side("centre", "b"), "centre").mapInArrow(run, REST)
+
+
+def others(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes of one centre and different components that may be similar, by ``remainders``."""
+    rest = store(remainders(stars, sets), "dup-rest")
+    several = rest.groupBy("centre", "token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("centre", "token")
+    rest = rest.join(several, ["centre", "token"])
+    x, y = (rest.select("centre", "token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "label", "size", "held")]) for s in "xy")
+    total = F.col("x_size") + F.col("y_size")
+    alone = (LINK[0] + LINK[1]) * F.least("x_held", "y_held") >= LINK[0] * total
+    may = (F.col("x_label") < F.col("y_label")) & (LINK[1] * F.least("x_size", "y_size") >= LINK[0] * F.greatest("x_size", "y_size")) & ((F.col("token") != NONE) | alone)
+    return x.join(y, ["centre", "token"]).where(may).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, label) of the components of all links; ``members``: bucket, node, n (the bucket's number of nodes)
     and meets (the sum of n over the node's buckets)."""
-    mixed, labels, links, tested = members.withColumn("spent", F.lit(False)), None, None, None
-    for step in range(CENTRES + 1):
-        if step < CENTRES:
-            unspent = mixed.where("not spent").groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("x"))
-            centre = unspent.select("bucket", F.col("x.node").alias("centre"))
-            met = mixed.join(centre, "bucket").where(F.col("node") != F.col("centre"))
-            if step:
-                of_centre = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-                met = met.join(of_centre, "centre", "left").where(F.col("label") != F.coalesce("centre_label", "centre"))
-            pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        else:
-            x, y = (mixed.select("bucket", F.col("node").alias(f"{s}_node"), F.col("label").alias(f"{s}_label")) for s in "xy")
-            pairs = x.join(y, "bucket").where("x_label < y_label").select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store(pairs, "dup-pairs")
-        found = store(verified(pairs, sets), "dup-verified")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        if labels is None or found.limit(1).count():
-            labels = components(links, labels)
-        # the pair of a bucket of two has been tested; other buckets are done when they hold one component
-        if step < CENTRES:
-            mixed = mixed.join(centre, "bucket").withColumn("spent", F.col("spent") | (F.col("node") == F.col("centre")))
-        told = mixed.where("n > 2").select("bucket", "node", "n", "meets", "spent").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        mixed = store(told.join(several, "bucket"), "dup-mixed")
-        if not mixed.limit(1).count():
-            break
-    return labels
+    best = members.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("x")).select("bucket", F.col("x.node").alias("centre"))
+    met = store(members.join(best, "bucket").where(F.col("node") != F.col("centre")).select("bucket", "n", "node", "centre"), "dup-met")
+    pairs = store(met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "dup-pairs")
+    links = store(verified(pairs, sets), "dup-verified")
+    labels = components(links, None)
+    # the pair of a bucket of two has been tested; other buckets are done when their other members are of one component
+    told = met.where("n > 2").join(labels, "node", "left").select("bucket", "centre", "node", F.coalesce("label", "node").alias("label"))
+    several = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    stars = store(told.join(several, "bucket").select("centre", "node", "label").distinct(), "dup-stars")
+    more = store(verified(others(stars, sets).join(pairs, ["a", "b"], "left_anti"), sets), "dup-verified")
+    return components(links.union(more), labels) if more.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
