@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_ROWS = 5
+#: Rows of a float series that Python gets at a time.
+BLOCK = 65_536
 
 
 def flag_outliers(rows: DataFrame, columns: list[str], neighbours: int = 6, sigma: int = 5, keys: tuple[str, ...] = ("file_id", "segment"), order: str = "offset", suffix: str = "_stdchecked", least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -67,15 +69,21 @@ def float_outliers(values: np.ndarray, neighbours: int, sigma: float) -> np.ndar
     return ~finite | ((m >= 2) & flagged)
 
 
-def flag_float_outliers(rows: DataFrame, columns: list[str], neighbours: int = 6, sigma: float = 5.0, keys: tuple[str, ...] = ("file_id", "segment"), order: str = "offset", suffix: str = "_stdchecked") -> DataFrame:
-    """The same test for float columns; a series is one segment of one file, so a group is bounded by a file."""
+def flag_float_outliers(rows: DataFrame, columns: list[str], neighbours: int = 6, sigma: float = 5.0, keys: tuple[str, ...] = ("file_id", "segment"), order: str = "offset", suffix: str = "_stdchecked", block: int = BLOCK) -> DataFrame:
+    """The same test for float columns. A series of any length goes to Python in blocks of ``block`` rows, each with the
+    ``neighbours`` rows before and after it, which it needs but doesn't return."""
     schema = rows.limit(0).withColumns({f"{c}{suffix}": F.lit(False) for c in columns}).schema
 
     def flag(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values(order, kind="stable")
-        return series.assign(**{f"{c}{suffix}": float_outliers(series[c].to_numpy(float), neighbours, sigma) for c in columns})
-
-    return rows.groupBy(*keys).applyInPandas(flag, schema)
+        series = series.sort_values("__at", kind="stable")
+        flagged = series.assign(**{f"{c}{suffix}": float_outliers(series[c].to_numpy(float), neighbours, sigma) for c in columns})
+        return flagged[flagged["__own"] == flagged["__block"]].drop(columns=["__at", "__own", "__block"])
+
+    x = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long") - 1)
+    of = lambda at: F.floor(at / block).cast("long")
+    blocks = F.sequence(of(F.greatest(F.col("__at") - neighbours, F.lit(0))), of(F.col("__at") + neighbours))
+    x = x.withColumns({"__own": of(F.col("__at")), "__block": F.explode(blocks)})
+    return x.groupBy(*keys, "__block").applyInPandas(flag, schema)
 
 
 def outlier_counts(rows: DataFrame, flags: list[str], groups: dict[str, list[str]], keys: tuple[str, ...] = ("file_id", "segment")) -> DataFrame:

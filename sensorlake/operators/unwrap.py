@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +28,6 @@ def unwrap_counter(rows: DataFrame, value: str, max_value: int, out: str | None
     return x.withColumn(out or f"{value}_unwrapped", F.col(value) + wraps * max_value + (F.lit(0) if start is None else start))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 SENSORS = ("pps", "gnss", "imu")
 
 
@@ -62,42 +60,37 @@ def carry_unwrap_state(summary: DataFrame, max_value: int = MICROS, counter_max:
 
     A segment starts where the one before ended, plus one turn if its first value lies back by more than a quarter. A
     sensor with under ``carry_from`` records hands on nothing, and neither does any sensor of a segment whose clocks
-    disagree. The state is a fold over the file's few segments, in order, inside one expression."""
+    disagree. Each segment needs the one before, so a file's segments pass one task in order; it holds the state of one
+    segment and one batch, however many segments there are."""
     names = (*SENSORS, "counter")
-    empty = F.struct(F.lit(0).cast("long").alias("off"), F.lit(None).cast("long").alias("prev"))
-
-    def step(state: Column, seg: Column) -> Column:
-        def size(s: str) -> int:
-            return counter_max if s == "counter" else max_value
-
-        def turned(s: str) -> Column:
-            return F.coalesce((state[s]["prev"] - seg[s]["first"]) > WRAP_SHARE * size(s), F.lit(False))
-
-        def begin(s: str) -> Column:
-            return state[s]["off"] + F.when(turned(s), size(s)).otherwise(0)
-
-        def judged(start: Column) -> Column:
-            low = [seg[s]["low"] + start[s] for s in SENSORS]
-            high = [seg[s]["high"] + start[s] for s in SENSORS]
-            spread = F.greatest(F.greatest(*low) - F.least(*low), F.greatest(*high) - F.least(*high))
-            return let(F.coalesce(spread <= deviation, F.lit(True)), lambda ok: handed(start, ok))
-
-        def handed(start: Column, ok: Column) -> Column:
-            def after(s: str) -> Column:
-                n = seg["imu" if s == "counter" else s]["n"]
-                end = F.struct((start[s] + seg[s]["wraps"] * size(s)).alias("off"), seg[s]["last"].alias("prev"))
-                return F.when(ok & (n >= carry_from), end).otherwise(empty).alias(s)
-
-            told = F.struct(seg["segment"].alias("segment"), *[start[s].alias(f"{s}_start") for s in names], *[start[f"{s}_turned"].alias(f"{s}_turned") for s in names], ok.alias("consistency_ok"))
-            return F.struct(*map(after, names), F.concat(state["out"], F.array(told)).alias("out"))
-
-        return let(F.struct(*[begin(s).alias(s) for s in names], *[turned(s).alias(f"{s}_turned") for s in names]), judged)
-
-    kind = "struct<segment: int, pps_start: bigint, gnss_start: bigint, imu_start: bigint, counter_start: bigint, pps_turned: boolean, gnss_turned: boolean, imu_turned: boolean, counter_turned: boolean, consistency_ok: boolean>"
-    first = F.struct(*[empty.alias(s) for s in names], F.array().cast(f"array<{kind}>").alias("out"))
-    per_file = summary.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("segment", *names))).alias("segments"))
-    folded = per_file.select("file_id", F.explode(F.aggregate("segments", first, step, lambda s: s["out"])).alias("s"))
-    return folded.select("file_id", "s.*")
+    sizes = {s: counter_max if s == "counter" else max_value for s in names}
+    started, turned_at = [f"{s}_start" for s in names], [f"{s}_turned" for s in names]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, key, state = False, None, {}
+        for batch in batches:
+            told = []
+            for row in batch.to_pylist():
+                if not begun or row["file_id"] != key:
+                    begun, key, state = True, row["file_id"], {s: (0, None) for s in names}
+                turned = {s: None not in (state[s][1], row[s]["first"]) and state[s][1] - row[s]["first"] > WRAP_SHARE * sizes[s] for s in names}
+                start = {s: state[s][0] + turned[s] * sizes[s] for s in names}
+                seen = [s for s in SENSORS if row[s]["low"] is not None]
+                spreads = [max(at) - min(at) for at in ([row[s][end] + start[s] for s in seen] for end in ("low", "high")) if at]
+                ok = max(spreads, default=0) <= deviation
+                for s in names:
+                    hands_on = ok and row["imu" if s == "counter" else s]["n"] >= carry_from
+                    state[s] = (start[s] + row[s]["wraps"] * sizes[s], row[s]["last"]) if hands_on else (0, None)
+                told.append((row["segment"], *start.values(), *turned.values(), ok))
+            columns = list(zip(*told)) or [()] * 10
+            types = [pa.int32(), *[pa.int64()] * 4, *[pa.bool_()] * 5]
+            arrays = [batch.column(batch.schema.get_field_index("file_id")), *map(pa.array, columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, ["file_id", "segment", *started, *turned_at, "consistency_ok"])
+
+    key_type = summary.schema["file_id"].dataType.simpleString()
+    schema = ", ".join([f"file_id {key_type}, segment int", *[f"{c} bigint" for c in started], *[f"{c} boolean" for c in turned_at], "consistency_ok boolean"])
+    ordered = summary.repartition("file_id").sortWithinPartitions("file_id", "segment")
+    return ordered.mapInArrow(fold, schema)
 
 
 def apply_carry(rows: DataFrame, carried: DataFrame, max_value: int = MICROS, counter_max: int = COUNTER) -> DataFrame:

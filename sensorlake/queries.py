@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from .eventlog import SETTINGS as S
-from .eventlog import raw_files, sensor_log
+from .eventlog import file_heads, raw_files, sensor_log
 from .operators import clock, outliers, reports, segments, series, unwrap
 from .oracles import oracle_sql
 from .plans import clock_fits, segmented, synchronise, with_steps
@@ -67,25 +67,25 @@ def unwrapped(log: DataFrame) -> DataFrame:
 
 @on_log
 def file_names(log):
-    return parse_file_name(raw_files(log)).select("file_id", "path", F.col("boot_id").cast("long").alias("boot_id"), F.date_format("file_start", "yyyy-MM-dd HH:mm:ss").alias("file_start"))
+    return parse_file_name(file_heads(log)).select("file_id", "path", F.col("boot_id").cast("long").alias("boot_id"), F.date_format("file_start", "yyyy-MM-dd HH:mm:ss").alias("file_start"))
 
 
 @on_log
 def file_headers(log):
-    x = parse_header(raw_files(log))
+    x = parse_header(file_heads(log))
     return x.select("file_id", "acc_sensitivity", "gyr_sensitivity", "imu_odr", "gnss_rate", "firmware_commit", F.length("header_text").cast("long").alias("header_chars"))
 
 
 @on_log
 def decoded_frames(log):
-    """Round trip: the log is written as raw files and decoded again."""
-    frames = decode_frames(raw_files(log)).where("kind <> 'FILE'")
+    """Round trip: the log is written as raw files, in parts, and decoded again."""
+    frames = decode_frames(raw_files(log), base="base").where("kind <> 'FILE'")
     return frames.select("file_id", "kind", "offset", "micros_reading", *[known(c) for c in ("counter", "acc_x", "acc_y", "gyr_z", "latitude", "longitude", "posix_timestamp", "microseconds", "ned_vel_east", "fix_type")])
 
 
 @on_log
 def file_audit(log):
-    return audit(decode_frames(raw_files(log))).select("file_id", "file_bytes", "parsed_bytes", "footer_found", "status", "n_pps", "n_gnss", "n_imu", r6("share_parsed"), r6("bytes_per_frame"))
+    return audit(decode_frames(raw_files(log), base="base")).select("file_id", "file_bytes", "parsed_bytes", "footer_found", "status", "n_pps", "n_gnss", "n_imu", r6("share_parsed"), r6("bytes_per_frame"))
 
 
 @on_log
@@ -94,7 +94,7 @@ def combined_segments(log):
     spark = log.sparkSession
     out = store(segmented(log, S).withColumn("segment_out", F.col("segment")), "to-write")
     path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
-    files = parse_header(raw_files(log)).drop("content")
+    files = parse_header(file_heads(log)).drop("content")
     write_tables({"imu": out.where("kind = 'IMU'"), "files": files}, path)
     tables = read_tables(spark, path, ["imu", "files"])
     return combine_segments(tables["imu"], tables["files"]).select("file_id", "segment_out", "offset", "acc_x", "acc_sensitivity", "imu_odr")

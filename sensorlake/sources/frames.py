@@ -105,13 +105,16 @@ def status(content: bytes, stop: int, why: str) -> tuple[bool, str]:
     return footer, "complete" if footer else {"end": "missing footer", "footer": "complete"}.get(why, why)
 
 
-def decode_frames(files: DataFrame, file_id: str = "file_id", content: str = "content", junk: int = JUNK) -> DataFrame:
+def decode_frames(files: DataFrame, file_id: str = "file_id", content: str = "content", junk: int = JUNK, base: str | None = None) -> DataFrame:
     """One row per frame: file_id, kind, offset (its byte in the file) and the columns of its kind, others null; and
     one row of kind FILE per file, at offset -1, with what the audit needs. Contents go no further than this step.
 
-    A null or empty content gives the FILE row only. Batches hold few files and rows leave in chunks."""
+    A null or empty content gives the FILE row only. Batches hold few files and rows leave in chunks.
 
-    def rows(key, raw: bytes) -> Iterator[pa.RecordBatch]:
+    A file may come in several rows, cut between frames: ``base`` names the column with the place of a row's first byte,
+    from which offsets count, and each row gives a FILE row, one below its base."""
+
+    def rows(key, raw: bytes, start: int) -> Iterator[pa.RecordBatch]:
         position, kind, stop, why = walk(raw, junk)
         footer, state = status(raw, stop, why)
         audit = {"file_bytes": len(raw), "parsed_bytes": stop, "footer_found": footer, "status": state}
@@ -121,7 +124,7 @@ def decode_frames(files: DataFrame, file_id: str = "file_id", content: str = "co
             columns += [pa.array(values[c], t) if c in values else pa.nulls(n, t) for c, t in (FIELDS | AUDIT).items()]
             return pa.RecordBatch.from_arrays(columns, [file_id, "kind", "offset", *FIELDS, *AUDIT])
 
-        yield batch(1, "FILE", np.array([-1]), {c: [v] for c, v in audit.items()})
+        yield batch(1, "FILE", np.array([start - 1]), {c: [v] for c, v in audit.items()})
         view = np.frombuffer(raw, np.uint8)
         for k, name in enumerate(KINDS):
             own = position[kind == k]
@@ -130,16 +133,16 @@ def decode_frames(files: DataFrame, file_id: str = "file_id", content: str = "co
                 some = own[a : a + CHUNK]
                 packed = view[some[:, None] + 4 + np.arange(layout.itemsize)]
                 fields = np.ascontiguousarray(packed).view(layout).ravel()
-                yield batch(len(some), name, some, {c: fields[c].astype(np.int64) for c in layout.names})
+                yield batch(len(some), name, some + start, {c: fields[c].astype(np.int64) for c in layout.names})
 
-    kept = files.select(F.col(file_id), F.col(content).alias("content"))
+    kept = files.select(F.col(file_id), F.col(content).alias("content"), (F.lit(0) if base is None else F.col(base)).cast("long").alias("base"))
     key_sql = kept.schema[0].dataType.simpleString()
     key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_sql]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                yield from rows(key, raw.as_py() or b"")
+            for key, raw, start in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                yield from rows(key, raw.as_py() or b"", start or 0)
 
     columns = ", ".join(f"{c} {SQL_TYPES[t]}" for c, t in (FIELDS | AUDIT).items())
     return kept.mapInArrow(run, f"`{file_id}` {key_sql}, kind string, offset long, {columns}")
@@ -160,9 +163,13 @@ def of_kind(frames: DataFrame, kind: str, *more: str) -> DataFrame:
 
 def audit(frames: DataFrame) -> DataFrame:
     """Per file: bytes, bytes parsed and their share, frames of each kind, bytes per frame, whether the footer was found
-    near the end, and the status: complete, missing footer, truncated or corrupt."""
+    near the end, and the status: complete, missing footer, truncated or corrupt. The parts of a file are summed; their
+    status is that of the first that wasn't read to its end, else that of the last."""
     n = [F.count_if(F.col("kind") == k).alias(f"n_{k.lower()}") for k in KINDS]
-    known = [F.max(c).alias(c) for c in AUDIT]
+    own = F.when(F.col("kind") == "FILE", F.col("offset"))
+    stopped = F.when(F.col("status").isin("truncated", "corrupt"), F.col("offset"))
+    status = F.coalesce(F.min_by("status", stopped), F.max_by("status", own))
+    known = [F.sum("file_bytes").alias("file_bytes"), F.sum("parsed_bytes").alias("parsed_bytes"), F.max("footer_found").alias("footer_found"), status.alias("status")]
     x = frames.groupBy("file_id").agg(*known, *n)
     total = F.col("n_pps") + F.col("n_gnss") + F.col("n_imu")
     return x.withColumns({"share_parsed": F.col("parsed_bytes") / F.nullif(F.col("file_bytes"), F.lit(0)), "bytes_per_frame": F.col("parsed_bytes") / F.nullif(total, F.lit(0))})

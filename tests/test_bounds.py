@@ -1,0 +1,45 @@
+"""What a long file must not do: be gathered into one value, or handed to Python as one group."""
+
+import numpy as np
+from pyspark.sql import functions as F
+from sensorlake import eventlog
+from sensorlake.operators import outliers, unwrap
+from sensorlake.sources import audit, decode_frames, parse_header
+
+SF = "/root/testdata/sf0.001"
+DECODED = ["file_id", "kind", "offset", "micros_reading", "counter", "acc_x", "latitude", "microseconds"]
+
+
+def test_raw_files_in_parts(spark):
+    log = eventlog.sensor_log(spark.read.parquet(f"{SF}/events.parquet")).where("file_id < 20")
+    whole, parts = eventlog.raw_files(log, 1 << 40), eventlog.raw_files(log, 7)
+    assert parts.count() > whole.count() == log.select("file_id").distinct().count()
+    assert parts.agg(F.max(F.length("content"))).first()[0] < 7 * 40 + 300
+    joined = {r.file_id: b"".join(bytes(p.content) for p in sorted(r.parts)) for r in parts.groupBy("file_id").agg(F.collect_list(F.struct("part", "content")).alias("parts")).collect()}
+    assert joined == {r.file_id: bytes(r.content) for r in whole.collect()}
+    for how in (lambda f: f.where("kind <> 'FILE'").select(*DECODED), audit):
+        a, b = (sorted(map(str, how(decode_frames(x, base="base")).collect())) for x in (whole, parts))
+        assert a == b
+    assert parse_header(parts.where("part = 0")).select("imu_odr").distinct().collect() == [(417.0,)]
+
+
+def test_float_blocks(spark):
+    rng = np.random.default_rng(3)
+    series = {f: rng.normal(size=n) for f, n in enumerate([3, 6, 7, 8, 20, 21, 41, 200])}
+    series[7][[19, 20, 21, 100, 199]] = 50.0
+    series[7][40] = np.nan
+    rows = spark.createDataFrame([(f, i, float(v)) for f, x in series.items() for i, v in enumerate(x)], "file_id long, offset long, v double")
+    got = outliers.flag_float_outliers(rows, ["v"], sigma=3.0, keys=("file_id",), block=20)
+    assert got.columns == ["file_id", "offset", "v", "v_stdchecked"] and got.count() == rows.count()
+    flagged = {(r.file_id, r.offset) for r in got.where("v_stdchecked").collect()}
+    assert flagged == {(f, i) for f, x in series.items() for i in np.flatnonzero(outliers.float_outliers(x, 6, 3.0)).tolist()}
+
+
+def test_carry_over_many_segments(spark):
+    n = 60_000
+    x = spark.range(n).selectExpr("1L as file_id", "cast(id as int) as segment", "'IMU' as kind", "id as offset", "(id * 300) % 1000 as micros_reading", "cast(id % 7 as int) as counter")
+    state = unwrap.carry_unwrap_state(unwrap.carry_summary(x, 1000, 7), 1000, 7, 1)
+    assert "collect_list" not in state._jdf.queryExecution().toString()
+    last = state.where(F.col("segment") == n - 1).first()
+    assert (last.imu_start, last.counter_start) == ((n - 1) * 300 // 1000 * 1000, (n - 1) // 7 * 7)
+    assert state.count() == n
