@@ -205,6 +205,10 @@ FINAL = {
     "live_rates": "SELECT device, kind, window_start, n, round(n / 86400, 6) AS rate_hz FROM rate",
     "rate_alarm": """SELECT device, kind, window_start, n, coalesce(sum(bad) OVER (PARTITION BY device, kind, island ORDER BY window_start), 0)::BIGINT AS in_a_row, coalesce(sum(bad) OVER (PARTITION BY device, kind, island ORDER BY window_start), 0) >= 3 AS alarm FROM (
         SELECT *, sum(1 - bad) OVER (PARTITION BY device, kind ORDER BY window_start) AS island FROM (SELECT *, (n < 2.0::DOUBLE * (1 - 0.4::DOUBLE) OR n > 2.0::DOUBLE * (1 + 0.4::DOUBLE))::INT AS bad FROM rate))""",
+    "silence_alarm": """SELECT device, kind, window_start, n, (rn - coalesce(max(CASE WHEN bad THEN NULL ELSE rn END) OVER w, 0))::BIGINT AS in_a_row, rn - coalesce(max(CASE WHEN bad THEN NULL ELSE rn END) OVER w, 0) >= 3 AS alarm FROM (
+        SELECT g.device, g.kind, g.window_start, coalesce(r.n, 0) AS n, coalesce(r.n, 0) NOT IN (2) AS bad, row_number() OVER (PARTITION BY g.device, g.kind ORDER BY g.window_start) AS rn FROM (
+          SELECT device, k.kind, unnest(range(lo, hi + 1, 86400000000)) AS window_start FROM (SELECT device, min(window_start) AS lo, max(window_start) AS hi FROM rate GROUP BY device), (VALUES ('IMU'), ('GNSS'), ('PPS')) k(kind)) g
+        LEFT JOIN rate r ON g.device = r.device AND g.kind = r.kind AND g.window_start = r.window_start) WINDOW w AS (PARTITION BY device, kind ORDER BY window_start)""",
     "busy_alarm": """SELECT file_id, "offset", sum(bad) OVER (PARTITION BY file_id, island ORDER BY "offset")::BIGINT AS in_a_row, sum(bad) OVER (PARTITION BY file_id, island ORDER BY "offset") >= 3 AS alarm FROM (
         SELECT *, sum(1 - bad) OVER (PARTITION BY file_id ORDER BY "offset") AS island FROM (SELECT *, (acc_x >= 4000)::INT AS bad FROM log))""",
 }

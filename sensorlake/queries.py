@@ -16,7 +16,7 @@ from .oracles import oracle_sql
 from .plans import clock_fits, segmented, synchronise, with_steps
 from .shared import shared_dir, store
 from .sources import audit, combine_segments, decode_frames, of_kind, parse_file_name, parse_header, read_tables, write_tables
-from .streaming import frequency_alarm, saturation_alarm, windowed_rates
+from .streaming import frequency_alarm, saturation_alarm, windowed_rates, with_silence
 
 __all__ = ["entry", "oracle_sql", "queries"]
 FOUND: dict = {}
@@ -435,6 +435,14 @@ def rate_alarm(log):
     return y.select("device", "kind", F.unix_micros("window_start").alias("window_start"), "n", F.col("in_a_row").cast("long").alias("in_a_row"), "alarm")
 
 
+@on_log
+def silence_alarm(log):
+    """The rate alarm over every window of a device's time, silent ones included, and every kind of sensor."""
+    x = with_silence(rates(log), kinds=["IMU", "GNSS", "PPS"], seconds=86_400.0).withColumn("rate_hz", F.col("n").cast("double"))
+    y = frequency_alarm(x, ["device", "kind"], F.lit(2.0), F.lit(0.4), F.lit(3))
+    return y.select("device", "kind", F.unix_micros("window_start").alias("window_start"), "n", F.col("in_a_row").cast("long").alias("in_a_row"), "alarm")
+
+
 @on_log
 def busy_alarm(log):
     x = log.select("file_id", "offset", F.col("acc_x").alias("write_ms"))

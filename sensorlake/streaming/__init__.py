@@ -1,5 +1,5 @@
 """Live jobs: ingest of new files, rates and alarms."""
 
-from .live import frequency_alarm, ingest_stream, live_rates, on_time, saturation_alarm, streamed_alarm, windowed_rates
+from .live import frequency_alarm, ingest_stream, live_rates, on_time, saturation_alarm, streamed_alarm, windowed_rates, with_silence
 
-__all__ = ["frequency_alarm", "ingest_stream", "live_rates", "on_time", "saturation_alarm", "streamed_alarm", "windowed_rates"]
+__all__ = ["frequency_alarm", "ingest_stream", "live_rates", "on_time", "saturation_alarm", "streamed_alarm", "windowed_rates", "with_silence"]

@@ -6,6 +6,7 @@ up to 20 seconds late, so windows wait 30 seconds by default.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -46,6 +47,20 @@ def live_rates(records: DataFrame, device: str = "device", ts: str = "ts", late:
     return windowed_rates(on_time(records, ts, late), [device, "kind"], ts)
 
 
+def with_silence(rates: DataFrame, device: str = "device", kinds: list[str] | None = None, seconds: float = 10.0) -> DataFrame:
+    """Rates (device, kind, window_start, n, rate_hz) with a row of n = 0 for each window between the device's first and
+    last one, of any kind, in which a kind is silent. ``kinds``: those that every device has; by default each device's
+    own, and then a kind that never came isn't known. A device's windows are bounded by how long it ran."""
+    step = int(seconds * 1e6)
+    at = F.unix_micros("window_start")
+    span = rates.groupBy(device).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.collect_set("kind").alias("own"))
+    known = F.col("own") if kinds is None else F.array(*map(F.lit, kinds))
+    silent = span.select(device, F.explode(known).alias("kind"), "first", "last")
+    silent = silent.select(device, "kind", F.explode(F.sequence("first", "last", F.lit(step))).alias("at")).select(device, "kind", F.timestamp_micros("at").alias("window_start"), F.lit(0).cast("long").alias("n"))
+    x = rates.select(device, "kind", "window_start", "n").unionByName(silent)
+    return x.groupBy(device, "kind", "window_start").agg(F.sum("n").alias("n")).withColumn("rate_hz", F.col("n") / seconds)
+
+
 def bad_in_a_row(rows: DataFrame, bad: Column, keys: list[str], order: str) -> DataFrame:
     """``in_a_row``: bad rows up to this one since the last good one."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -67,22 +82,58 @@ def saturation_alarm(windows: DataFrame, keys: list[str], busy: str = "write_ms"
     return x.withColumn("alarm", F.col("in_a_row") >= rows)
 
 
-def streamed_alarm(rates: DataFrame, device: str = "device", expected: dict[str, tuple[float, float, int]] | None = None) -> DataFrame:
+def streamed_alarm(rates: DataFrame, device: str = "device", expected: dict[str, tuple[float, float, int]] | None = None, seconds: float = 10.0, late: str = LATE) -> DataFrame:
     """The frequency alarm over a stream of finished windows, as read from the table that ``live_rates`` appends to (one
-    query can't keep state after an aggregation). The state is one number per device and kind."""
+    query can't keep state after an aggregation).
+
+    From a device's first window on, each kind of ``expected`` is judged in every window, in order. A window that isn't
+    there when the stream's watermark has passed it gets a row with n = 0, be the kind or the whole device silent; what
+    lies beyond it waits till then. As long as any device is heard, the watermark moves on. The state is, per device, a
+    place and a streak for each kind and the windows that wait."""
     known = expected or EXPECTED
+    step, chunk = int(seconds * 1e6), 10_000
+    names = ["kind", "at", "n", "rate_hz", "in_a_row", "alarm"]
 
     def judge(key: tuple, windows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        hz, tolerance, rows = known[key[1]]
-        streak = state.get[0] if state.exists else 0
-        own = pd.concat(windows).sort_values("window_start")
-        streaks = []
-        for rate in own["rate_hz"]:
+        # kind -> [the next window, bad ones in a row, windows that wait]
+        places = json.loads(state.get[0]) if state.exists else {}
+        came = [] if state.hasTimedOut else sorted(row for w in windows for row in zip(w["at"].tolist(), w["kind"], w["n"].tolist(), w["rate_hz"].tolist()))
+        passed = state.getCurrentWatermarkMs() * 1000
+        if not places:
+            places = {kind: [came[0][0], 0, {}] for kind in known}
+        out = []
+
+        def judged(kind: str, at: int, n: int, rate: float, streak: int) -> int:
+            hz, tolerance, rows = known[kind]
             streak = 0 if hz * (1 - tolerance) <= rate <= hz * (1 + tolerance) else streak + 1
-            streaks.append(streak)
-        state.update((streak,))
-        yield own.assign(in_a_row=streaks, alarm=[s >= rows for s in streaks])
+            out.append((kind, at, n, rate, streak, streak >= rows))
+            return streak
+
+        def table() -> pd.DataFrame:
+            x = pd.DataFrame(out, columns=names)
+            x.insert(0, device, key[0])
+            out.clear()
+            return x
+
+        for at, kind, n, rate in came:
+            if at < places[kind][0]:  # from before the first window that was heard of the device: by itself
+                judged(kind, at, n, rate, 0)
+            else:
+                places[kind][2][str(at)] = (n, rate)
+        for kind, place in places.items():
+            while (found := place[2].pop(str(place[0]), None)) or place[0] <= passed:
+                n, rate = found or (0, 0.0)
+                place[1] = judged(kind, place[0], n, rate, place[1])
+                place[0] += step
+                if len(out) >= chunk:
+                    yield table()
+        state.update((json.dumps(places),))
+        state.setTimeoutTimestamp(max(passed // 1000 + 1, min(p[0] for p in places.values()) // 1000))
+        if out:
+            yield table()
 
     kind = rates.schema[device].dataType.simpleString()
-    schema = f"`{device}` {kind}, kind string, window_start timestamp, n long, rate_hz double, in_a_row int, alarm boolean"
-    return rates.groupBy(device, "kind").applyInPandasWithState(judge, schema, "streak int", "append", "NoTimeout")
+    schema = f"`{device}` {kind}, kind string, at long, n long, rate_hz double, in_a_row int, alarm boolean"
+    known_late = on_time(rates, "window_start", late).withColumn("at", F.unix_micros("window_start"))
+    out = known_late.groupBy(device).applyInPandasWithState(judge, schema, "places string", "append", "EventTimeTimeout")
+    return out.select(device, "kind", F.timestamp_micros("at").alias("window_start"), "n", "rate_hz", "in_a_row", "alarm")
