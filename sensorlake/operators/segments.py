@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SO_FAR = (Window.unboundedPreceding, Window.currentRow)
@@ -22,10 +22,10 @@ def flag_imu_jumps(records: DataFrame, limit: int = 1_000_000) -> DataFrame:
     return records.withColumn("imu_jump", F.coalesce(imu & ((step < 0) | (step > limit)), F.lit(False)))
 
 
-def assign_segments(records: DataFrame, rows_per_segment: int, limit: int = 1_000_000) -> DataFrame:
+def assign_segments(records: DataFrame, rows_per_segment: int | Column, limit: int = 1_000_000) -> DataFrame:
     """``segment`` from 0: a jumped IMU record opens one, and so does the record after ``rows_per_segment`` IMU records.
     PPS and GNSS records belong where they lie in the file. ``imu_filled`` tells whether the last IMU record so far has
-    filled its segment. One shuffle, by file."""
+    filled its segment. ``rows_per_segment`` may be a column, one value per file. One shuffle, by file."""
     imu = F.col("kind") == "IMU"
     x = flag_imu_jumps(records, limit).withColumn("island", F.sum(F.col("imu_jump").cast("int")).over(by_file().rowsBetween(*SO_FAR)))
     in_island = Window.partitionBy("file_id", "island").orderBy("offset").rowsBetween(*SO_FAR)

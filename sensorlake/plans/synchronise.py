@@ -25,8 +25,8 @@ class Settings:
     counter_turn: int = unwrap.COUNTER
     ticks: int = clock.TICKS
     jump: int = 1_000_000
-    rows_per_segment: int | None = None  # a minute of the header's IMU rate
-    default_rows: int = 400_020
+    rows_per_segment: int | None = None  # a minute of the IMU rate in each file's header
+    default_rows: int = 400_020  # where the header has none
     carry_from: int = unwrap.CARRY_FROM
     deviation_seconds: float = 10.0
     r2: float = 0.99
@@ -43,6 +43,11 @@ def decode(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def segmented(records: DataFrame, settings: Settings) -> DataFrame:
+    """Records with segments of ``settings.rows_per_segment`` IMU records; without it, of as many as the file's own
+    ``file_rows`` says, a column of the records if they have it."""
+    if settings.rows_per_segment is None and "file_rows" in records.columns:
+        rows = F.coalesce(F.col("file_rows"), F.lit(settings.default_rows))
+        return segments.assign_segments(records, rows, settings.jump).drop("file_rows")
     return segments.assign_segments(records, settings.rows_per_segment or settings.default_rows, settings.jump)
 
 
@@ -102,8 +107,9 @@ def decode_and_synchronise(raw: DataFrame, settings: Settings) -> dict[str, Data
     ends = records.groupBy("file_id").agg(F.max(F.col("offset") + F.when(F.col("kind") == "IMU", 24).when(F.col("kind") == "PPS", 8).otherwise(40)).alias("end"))
     trailing = ends.join(files.select("file_id", "file_bytes"), "file_id").select("file_id", (F.col("file_bytes") > F.col("end")).alias("more"))
     if settings.rows_per_segment is None:
-        odr = files.agg(F.max("imu_odr")).first()[0]
-        settings = Settings(**{**settings.__dict__, "rows_per_segment": round((odr or 6667.0) * 60)})
+        # half a row rounds to even, as in the reference; a rate that gives no whole row counts as none
+        a_minute = F.when(F.bround(F.col("imu_odr") * 60, 0).between(1, 1e15), F.bround(F.col("imu_odr") * 60, 0).cast("long"))
+        records = records.join(files.select("file_id", a_minute.alias("file_rows")), "file_id", "left")
     out = synchronise(records, settings, trailing)
     out["imu"] = scale_imu(out["imu"].join(own, "file_id", "left"))
     out["gnss"] = scale_gnss(out["gnss"].join(own.drop("acc_sensitivity", "gyr_sensitivity"), "file_id", "left"))
