@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -182,21 +182,31 @@ def block_by_symbols(words: np.ndarray, at: int, dc: bytes, ac: bytes) -> tuple[
     return difference, at
 
 
-def parse(data: bytes, at: int) -> dict:
-    """Markers of the image that begins at ``at``: size, tables, restart interval, and where the scan begins."""
+def parse(data: bytes, at: int, stop: int, scan_end: Callable[[int], int]) -> dict:
+    """Markers of the image that begins at ``at`` and of its file, which ends at ``stop``: size, tables and restart
+    interval of the scan that holds the first component, where this scan begins (``scan``), its components, and where
+    the image ends (``end``). ``scan_end`` tells the byte where a scan ends; other scans are passed over."""
     if data[at : at + 2] != b"\xff\xd8":
         raise Unsupported("no start of image")
     at += 2
     x: dict = {"quant": {}, "huffman": {}, "restart": 0}
+    found: dict = {}
+    pending: set = set()
     while True:
-        if at + 4 > len(data) or data[at] != 0xFF:
+        if at + 2 > stop or data[at] != 0xFF:
             raise Unsupported("no marker")
         marker = data[at + 1]
         if marker == 0xFF:
             at += 1
             continue
+        if marker == 0xD9:
+            if not found or pending:
+                raise Unsupported("no scan")
+            return found | {"end": at}
+        if at + 4 > stop:
+            raise Unsupported("short segment")
         n = int.from_bytes(data[at + 2 : at + 4], "big")
-        body, at = data[at + 4 : at + 2 + n], at + 2 + n
+        body, at = data[at + 4 : min(stop, at + 2 + n)], at + 2 + n
         if len(body) != n - 2:
             raise Unsupported("short segment")
         if marker == 0xDB:
@@ -216,18 +226,26 @@ def parse(data: bytes, at: int) -> dict:
                 raise Unsupported("not 8 bits")
             x["height"], x["width"] = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             x["parts"] = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
+            pending = {p[0] for p in x["parts"]}
         elif 0xC0 < marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise Unsupported("not baseline")
         elif marker == 0xDA:
-            if "parts" not in x or body[0] != len(x["parts"]) or not x["width"] or not x["height"]:
-                raise Unsupported("more than one scan")
+            if "parts" not in x or not x["width"] or not x["height"]:
+                raise Unsupported("no frame")
             tables = {body[k]: body[k + 1] for k in range(1, 1 + 2 * body[0], 2)}
-            try:
-                x["blocks"] = [(p, x["huffman"][tables[name] >> 4], x["huffman"][16 | tables[name] & 15]) for p, (name, h, v, _) in enumerate(x["parts"]) for _ in range(h * v if len(x["parts"]) > 1 else 1)]
-                x["step"] = x["quant"][x["parts"][0][3]]
-            except KeyError as e:
-                raise Unsupported("no such table") from e
-            return x | {"scan": at}
+            if not tables or not tables.keys() <= pending:
+                raise Unsupported("a scan of other components")
+            pending -= tables.keys()
+            own = [p for p in x["parts"] if p[0] in tables]
+            if own[0] == x["parts"][0]:
+                try:
+                    blocks = [(p, x["huffman"][tables[name] >> 4], x["huffman"][16 | tables[name] & 15]) for p, (name, h, v, _) in enumerate(own) for _ in range(h * v if len(own) > 1 else 1)]
+                    found = x | {"blocks": blocks, "step": x["quant"][own[0][3]], "scan": at, "own": own}
+                except KeyError as e:
+                    raise Unsupported("no such table") from e
+            at = scan_end(at)
+            if at >= stop:
+                raise Unsupported("no end of image")
 
 
 class Scans:
@@ -245,14 +263,18 @@ class Scans:
         self.restarts = mark[(after >= 0xD0) & (after <= 0xD7)]
         self.stops = mark[(after != 0) & (after != 0xFF) & ((after < 0xD0) | (after > 0xD7))]
 
-    def lanes(self, start: int) -> tuple[np.ndarray, int]:
-        """First bits of the restart intervals of the scan at byte ``start``; and the byte where the scan ends."""
+    def end(self, start: int) -> int:
+        """The byte where the scan at byte ``start`` ends."""
         k = np.searchsorted(self.stops, start)
         if k == len(self.stops):
             raise Unsupported("no end of image")
-        end = int(self.stops[k])
+        return int(self.stops[k])
+
+    def lanes(self, start: int) -> np.ndarray:
+        """First bits of the restart intervals of the scan at byte ``start``."""
+        end = self.end(start)
         own = self.restarts[np.searchsorted(self.restarts, start) : np.searchsorted(self.restarts, end)]
-        return self.place[np.append(start, own + 2)] << 3, end
+        return self.place[np.append(start, own + 2)] << 3
 
 
 def decode_dc(words: np.ndarray, at: np.ndarray, counts: np.ndarray, blocks: list) -> list[np.ndarray]:
@@ -291,19 +313,22 @@ def thumbnails(files: list[bytes]) -> list[list[np.ndarray] | None]:
     for f, (start, stop) in enumerate(zip(bases, bases[1:])):
         try:
             while True:
-                x = parse(data[start : min(stop, start + 65_536 * 8)], 0)
-                lanes, end = scans.lanes(start + x["scan"])
-                if end >= stop:
-                    raise Unsupported("no end of image")
-                single = len(x["parts"]) == 1
-                h, v = (1, 1) if single else x["parts"][0][1:3]
-                hm, vm = (1, 1) if single else (max(p[1] for p in x["parts"]), max(p[2] for p in x["parts"]))
-                across, down = -(-x["width"] // (8 * hm)), -(-x["height"] // (8 * vm))
+                x = parse(data, start, stop, scans.end)
+                lanes, end = scans.lanes(x["scan"]), x["end"]
+                # a scan of one component has only the blocks that its samples need, one after another
+                hm, vm = max(p[1] for p in x["parts"]), max(p[2] for p in x["parts"])
+                _, ph, pv, _ = x["parts"][0]
+                single = len(x["own"]) == 1
+                h, v = (1, 1) if single else (ph, pv)
+                if single:
+                    across, down = -(-x["width"] * ph // (8 * hm)), -(-x["height"] * pv // (8 * vm))
+                else:
+                    across, down = -(-x["width"] // (8 * hm)), -(-x["height"] // (8 * vm))
                 each = x["restart"] or across * down
                 counts = np.minimum(each, across * down - each * np.arange(-(-across * down // each)))
                 if len(counts) != len(lanes):
                     raise Unsupported("restart markers are missing")
-                x |= {"across": across, "down": down, "h": h, "v": v, "hm": hm, "vm": vm}
+                x |= {"across": across, "down": down, "h": h, "v": v, "rows": -(-x["height"] * pv // (8 * vm)), "columns": -(-x["width"] * ph // (8 * hm))}
                 found[f].append(x)
                 jobs.setdefault(tuple(x["blocks"]), []).append((x, lanes, counts))
                 start = end + 2
@@ -341,7 +366,7 @@ def thumbnail(x: dict) -> np.ndarray:
     levels = np.concatenate(x["levels"])
     pixels = np.clip(np.floor(levels * x["step"] / 8 + 128.5), 0, 255).astype(np.uint8)
     tiled = pixels.reshape(x["down"], x["across"], x["v"], x["h"]).transpose(0, 2, 1, 3).reshape(x["down"] * x["v"], -1)
-    return tiled[: -(-x["height"] * x["v"] // (8 * x["vm"])), : -(-x["width"] * x["h"] // (8 * x["hm"]))]
+    return tiled[: x["rows"], : x["columns"]]
 
 
 def average_hash(image: np.ndarray) -> str:
