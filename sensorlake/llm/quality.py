@@ -67,10 +67,11 @@ def features(text: Column) -> Column:
 
 
 class QualityModel:
-    """score = weights . features; ``cut`` is the score at the threshold, ``spread`` scales to 0..1."""
+    """score = weights . features; ``cut`` is the score at the threshold, ``spread`` scales to 0..1, ``share``
+    is the labels' share of 1."""
 
-    def __init__(self, means: list[float], weights: list[float], cut: float, spread: float):
-        self.means, self.weights, self.cut, self.spread = means, weights, cut, spread
+    def __init__(self, means: list[float], weights: list[float], cut: float, spread: float, share: float = 0.5):
+        self.means, self.weights, self.cut, self.spread, self.share = means, weights, cut, spread, share
 
     def ranking(self, x: Column) -> Column:
         """The Bradley-Terry score of an array of features. Features beyond the range that was seen in fitting by far
@@ -78,11 +79,26 @@ class QualityModel:
         terms = [F.lit(w) * F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (x[k] - F.lit(m)) / F.lit(s))) for k, (w, (m, s)) in enumerate(zip(self.weights, self.means)) if w]
         return sum(terms, F.lit(0.0))
 
+    def ranked(self, docs: DataFrame, column: str = "__quality_rank") -> DataFrame:
+        """``docs`` with their Bradley-Terry scores."""
+        return docs.withColumn("__quality_x", features(F.col("text"))).withColumn(column, self.ranking(F.col("__quality_x"))).drop("__quality_x")
+
+    def settle(self, ranked: DataFrame, column: str = "__quality_rank") -> None:
+        """Take the threshold, at the labels' share of 0, and the spread from all ``ranked`` documents. The quantile is
+        off by a hundred-thousandth of the documents at most."""
+        seen = ranked.agg(F.percentile_approx(column, 1 - self.share, 100_000).alias("cut"), F.stddev_pop(column).alias("spread")).first()
+        if seen["cut"] is not None:
+            self.cut, self.spread = seen["cut"], max(1e-9, (seen["spread"] or 1.0) / 3)
+
+    def scaled(self, ranked: DataFrame, column: str = "__quality_score", rank: str = "__quality_rank") -> DataFrame:
+        """``ranked`` with ``column`` from 0 to 1 in place of ``rank``: CUT for a document at the threshold, more for
+        better ones."""
+        away = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), (F.col(rank) - F.lit(self.cut)) / F.lit(self.spread)))
+        return ranked.withColumn(column, 1 / (1 + F.lit((1 - CUT) / CUT) * F.exp(-away))).drop(rank)
+
     def score(self, docs: DataFrame, column: str = "__quality_score") -> DataFrame:
-        """``docs`` with ``column`` from 0 to 1: CUT for a document at the threshold, more for better ones."""
-        known = docs.withColumn("__quality_x", features(F.col("text")))
-        away = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), (self.ranking(F.col("__quality_x")) - F.lit(self.cut)) / F.lit(self.spread)))
-        return known.withColumn(column, 1 / (1 + F.lit((1 - CUT) / CUT) * F.exp(-away))).drop("__quality_x")
+        """``docs`` with ``column``, by the threshold as it is: the sample's, or what ``settle`` took."""
+        return self.scaled(self.ranked(docs), column)
 
 
 def preference_pairs(sample: DataFrame, pairs: int) -> DataFrame:
@@ -101,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: Col
     """Fit on at most ``n`` labelled documents that ``allowed`` (a condition over doc_id) admits, and ``pairs`` pairs.
 
     The logistic loss of the pairs' feature differences, without an intercept, is the Bradley-Terry likelihood. The
-    threshold is the quantile of the sample's scores at its share of label 0. Without both labels every document gets
+    threshold is the quantile of the sample's scores at its share of label 0, until ``settle`` takes that of all documents.
+    Without both labels every document gets
     the score CUT. Null texts count as empty; repeated rows are scored alike."""
     allowed = F.lit(True) if allowed is None else allowed
     sample = labelled_sample(docs, labels, label, allowed, n).select("doc_id", "label", features(F.col("text")).alias("x"))
@@ -118,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: Col
     turned = F.pmod(F.xxhash64("better", "worse"), F.lit(2))
     outcome = dealt.select(array_to_vector(F.when(turned == 1, F.transform(difference, lambda d: -d)).otherwise(difference)).alias("features"), (1 - turned).cast("double").alias("label"))
     fitted = LogisticRegression(fitIntercept=False, standardization=False, regParam=1e-4, maxIter=50).fit(store(outcome.coalesce(4), "quality-pairs").coalesce(4))
-    model = QualityModel(means, fitted.coefficients.toArray().tolist(), 0.0, 1.0)
+    model = QualityModel(means, fitted.coefficients.toArray().tolist(), 0.0, 1.0, seen["share"])
     ranked = sample.select("label", model.ranking(F.col("x")).alias("r"))
     cuts = ranked.agg(F.percentile("r", 1 - seen["share"]).alias("cut"), F.stddev_pop("r").alias("spread")).first()
     model.cut, model.spread = cuts["cut"], max(1e-9, (cuts["spread"] or 1.0) / 3)
@@ -128,5 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: Col
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = fold(F.col("doc_id"), 4) == 2
-    scored = fit(docs, labels, allowed=~held_out).score(docs.select("doc_id", "text"), "score")
+    model = fit(docs, labels, allowed=~held_out)
+    ranked = store(model.ranked(docs.select("doc_id", "text")).drop("text"), "quality-ranks")
+    model.settle(ranked)
+    scored = model.scaled(ranked, "score")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
