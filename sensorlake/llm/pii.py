@@ -24,7 +24,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])")
-_SECRET = re.compile(r'=\x20?"([A-Za-z0-9_+/=-]{20,200})"')
+_SECRET = re.compile(r'=\x20?"([A-Za-z0-9_+/=-]{20,}+)"')
 _USER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: Score before context, words that raise it, words that lower it.
