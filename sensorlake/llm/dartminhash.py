@@ -9,6 +9,7 @@ documents keep the same dart with the probability of their weighted Jaccard simi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +17,8 @@ import numpy as np
 U = np.uint64
 #: Ranks are cut into cells: [0, 2^-10), and from there on each as long as all before it.
 FINEST = -10
+#: Documents and rows that darts are thrown for at a time; a document takes about k ln k + 3k of them.
+DOCUMENTS, ELEMENTS = 256, 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,8 +50,8 @@ def signatures(document: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
     out = np.full((n, k), np.iinfo(np.uint64).max, U)
     todo = np.ones(n, bool)
     while todo.any():
-        rows = np.flatnonzero(todo[document])
-        throw(document[rows], element[rows], weight[rows], limit, out)
+        for rows in portions(document, todo):
+            throw(document[rows], element[rows], weight[rows], limit, out)
         # nearly always filled at once; else again, with twice the ranks
         todo = (out == np.iinfo(np.uint64).max).any(axis=1)
         out[todo] = np.iinfo(np.uint64).max
@@ -56,6 +59,17 @@ def signatures(document: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
     return out
 
 
+def portions(document: np.ndarray, todo: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of documents to do, few documents and few rows at a time. Each dart counts by itself, so a document's
+    darts may be thrown in several portions."""
+    rows = np.flatnonzero(todo[document])
+    rows = rows[np.argsort(document[rows], kind="stable")]
+    first = np.flatnonzero(np.append(True, np.diff(document[rows]) != 0)) if len(rows) else rows
+    for a, b in zip(first[::DOCUMENTS], np.append(first[DOCUMENTS::DOCUMENTS], len(rows))):
+        for k in range(a, b, ELEMENTS):
+            yield rows[k : min(b, k + ELEMENTS)]
+
+
 def throw(document: np.ndarray, element: np.ndarray, weight: np.ndarray, limit: np.ndarray, out: np.ndarray) -> None:
     k = U(out.shape[1])
     flat = out.reshape(-1)

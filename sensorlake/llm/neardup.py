@@ -6,19 +6,20 @@ one node from the start.
 
 Documents that share a band are candidates. A bucket's members are first compared with one of them only, the one that
 meets most others in its buckets: of a group of copies that is their original, or what is nearest to it. What that links
-becomes one component. Where a bucket then still holds several components, its members are compared with the next
-centres, and in the end the members of different components with each other: so every pair of a bucket that could still
-join two components is looked at, while the pairs within a group of copies, which can't, never come to be.
+becomes one component. Buckets that then still hold several components form groups, through the nodes that they share. A
+group has one centre; members of different components can be similar only if they share enough of what the centre
+lacks, and they are looked for by the rarest shingles of that. So the rows grow with the members, not with their pairs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import store
@@ -30,8 +31,10 @@ WORDS = 5
 BANDS, ROWS = 38, 8
 #: Similarity from which documents are linked, as a fraction.
 LINK = (4, 5)
-SLICE = 1_000_000
-SIGNED = "doc_id long, text_hash long, node long, bands array<long>, shingles binary, counts binary"
+#: Bytes of texts in a slice (one text at least), and characters that are looked at at a time.
+SLICE, PIECE = 400_000, 250_000
+SIGNED = "doc_id long, text_hash long, node long, bands array<long>, size long, shingles binary, counts binary"
+_GAP = re.compile(r"[\W_]")
 
 
 @lru_cache(maxsize=1)
@@ -57,19 +60,46 @@ def powers(base: U, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U)
 
 
+def pieces(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """The texts cut between words, about PIECE characters at a time, with the number of each piece's text."""
+    held, of, n = [], [], 0
+    for k, text in enumerate(texts):
+        start = 0
+        while start < len(text):
+            gap = _GAP.search(text, start + PIECE - n) if len(text) - start > PIECE - n else None
+            end = gap.start() if gap else len(text)
+            held.append(text[start:end])
+            of.append(k)
+            n += end - start
+            start = end
+            if n >= PIECE:
+                yield held, of
+                held, of, n = [], [], 0
+    if held:
+        yield held, of
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the text and hash of each word, in order."""
+    inside, codes = letters()
+    found = [(np.zeros(0, np.int32), np.zeros(0, U))]
+    for parts, of in pieces(texts):
+        sizes = np.array([len(t) for t in parts], np.int64)
+        raw = np.frombuffer((" " + " ".join(parts) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+        word = inside[raw]
+        change = np.diff(word.astype(np.int8))
+        start, end = np.flatnonzero(change == 1) + 1, np.flatnonzero(change == -1) + 1
+        part = np.searchsorted(np.cumsum(sizes + 1) - sizes, start, "right") - 1
+        sums = np.concatenate([[U(0)], np.cumsum(np.where(word, codes[raw], U(0)) * powers(ODD, len(raw)), dtype=U)])
+        found.append((np.array(of, np.int32)[part], mix((sums[end] - sums[start]) * powers(INVERSE, len(raw) + 1)[start])))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Digest of each text's words in order (0: no words), and (text, shingle, count) rows, sorted by text.
 
     Words are runs of letters and digits in lower case. Texts of under five words have one shingle, of all of them."""
-    inside, codes = letters()
-    sizes = np.array([len(t) for t in texts], np.int64)
-    raw = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le"), "<u4")
-    word = inside[raw]
-    change = np.diff(word.astype(np.int8))
-    start, end = np.flatnonzero(change == 1) + 1, np.flatnonzero(change == -1) + 1
-    text = np.searchsorted(np.cumsum(sizes + 1) - sizes, start, "right") - 1
-    sums = np.concatenate([[U(0)], np.cumsum(np.where(word, codes[raw], U(0)) * powers(ODD, len(raw)), dtype=U)])
-    hashed = mix((sums[end] - sums[start]) * powers(INVERSE, len(raw) + 1)[start])
+    text, hashed = hashed_words(texts)
     n = np.bincount(text, minlength=len(texts))
     first = np.cumsum(n) - n
     at = np.arange(len(text)) - first[text]
@@ -109,6 +139,7 @@ def sign(docs: DataFrame) -> DataFrame:
             bands = mix(bands + mix(np.arange(1, BANDS + 1).astype(U)))
             parts = np.split(np.arange(len(owner)), np.cumsum(np.bincount(owner, minlength=n))[:-1]) if n else []
             small = (shingle >> U(32)).astype(np.uint32)
+            sizes = np.bincount(owner, count, n).astype(np.int64).tolist() if n else []
             sets, weights = [], []
             for part in parts:
                 values, place = np.unique(small[part], return_inverse=True)
@@ -123,6 +154,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 "text_hash": batch.column("text_hash"),
                 "node": pa.array(digest.view(np.int64), mask=digest == 0),
                 "bands": pa.array([values[p] if p >= 0 else [] for p in place.tolist()], pa.list_(pa.int64())),
+                "size": pa.array([sizes[p] if p >= 0 else 0 for p in place.tolist()], pa.int64()),
                 "shingles": pa.array([sets[p] if p >= 0 else b"" for p in place.tolist()], pa.binary()),
                 "counts": pa.array([weights[p] if p >= 0 else b"" for p in place.tolist()], pa.binary()),
             }
@@ -144,6 +176,13 @@ def similar(a: bytes, a_counts: bytes, b: bytes, b_counts: bytes) -> bool:
     return LINK[1] * common >= LINK[0] * (total - common)
 
 
+def with_sets(rows: DataFrame, sets: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the shingles and counts of the node in each of the columns ``keys``."""
+    for key in keys:
+        rows = rows.join(sets.select(F.col("node").alias(key), F.col("shingles").alias(f"{key}_shingles"), F.col("counts").alias(f"{key}_counts")), key)
+    return rows
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) out of ``pairs`` that are similar."""
 
@@ -152,8 +191,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("a_shingles", "a_counts", "b_shingles", "b_counts")]
             yield batch.select(["a", "b"]).filter(pa.array([similar(*row) for row in zip(*columns)], pa.bool_()))
 
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_shingles"), F.col("counts").alias(f"{name}_counts"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return with_sets(pairs, sets, "a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -193,63 +231,71 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = store(members.join(meets, "node"), "dup-members")
     chosen = nodes.join(members.select("node").distinct(), "node").select(*[F.col(c).alias(f"own_{c}") for c in ("node", "doc_id", "text_hash")])
     own_row = (F.col("node") == F.col("own_node")) & F.col("doc_id").eqNullSafe(F.col("own_doc_id")) & (F.col("text_hash") == F.col("own_text_hash"))
-    sets = store(signed.join(chosen, own_row).select("node", "shingles", "counts").dropDuplicates(["node"]), "dup-sets")
+    sets = store(signed.join(chosen, own_row).select("node", "size", "shingles", "counts").dropDuplicates(["node"]), "dup-sets")
     labels = linked(members, sets)
     known = nodes.select("node", "doc_id", "text_hash").join(labels, "node", "left")
     return signed, known.withColumn("label", F.coalesce("label", "node"))
 
 
-REST = "centre long, node long, label long, size double, held double, token long"
-#: Stands for "no token need be shared".
-NONE = -1
+REST = "group long, node long, label long, size long, held long, need double, tokens array<struct<token: long, weight: long>>"
+_TOKENS = pa.list_(pa.struct([("token", pa.int64()), ("weight", pa.int64())]))
+
+
+def amounts(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(shingles, "<u4")
+    return x, np.frombuffer(counts, "<u4").astype(np.int64) if counts else np.ones(len(x), np.int64)
 
 
-def remainders(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """REST: for each (centre, node, label) the shingles of the node beyond those of the centre, as far as a similar
-    node of the same centre must share one of them.
+def remainders(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """REST, one row per row of ``members`` (group, node, label, size, centre, least): what the node holds beyond the
+    centre, how much it shares with it (held), and how much of the rest it must share with a similar one (need).
 
-    Let held be what a node shares with the centre. Two nodes share at most the lesser held and what their remainders
-    share, and to be similar they must share 4/9 of their sizes' sum. So their remainders share at least ``need`` =
-    4/9 (size + least size there) - held; of a remainder, in the order of its hashes, the end that weighs less than
-    ``need`` can be left out. Where ``need`` is 0 or less the token NONE stands for sharing nothing."""
+    Two nodes share at most the lesser held and what their rests share, and to be similar they must share 4/9 of the sum
+    of their sizes. A similar node of the group has ``least`` or more, the least size there, and 4/5 of the node's own.
+    So the rests share 4/9 (size + that) - held at least; where that is 0 or less they need share nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            out = []
             for r in batch.to_pylist():
-                x, y = np.frombuffer(r["a_shingles"], "<u4"), np.frombuffer(r["b_shingles"], "<u4")
-                m = np.frombuffer(r["a_counts"], "<u4").astype(np.int64) if r["a_counts"] else np.ones(len(x), np.int64)
-                n = np.frombuffer(r["b_counts"], "<u4").astype(np.int64) if r["b_counts"] else np.ones(len(y), np.int64)
+                (x, m), (y, n) = amounts(r["node_shingles"], r["node_counts"]), amounts(r["centre_shingles"], r["centre_counts"])
                 _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                 common = np.zeros(len(x), np.int64)
                 common[i] = np.minimum(m[i], n[j])
-                size, held, rest = int(m.sum()), int(common.sum()), m - common
-                least = max(r["least"], LINK[0] * size / LINK[1])
-                need = LINK[0] * (size + least) / (LINK[0] + LINK[1]) - held - 1e-6
-                tokens = np.flatnonzero(rest)
-                behind = rest[tokens][::-1].cumsum()[::-1]
-                kept = x[tokens[behind >= need]].astype(np.int64).tolist() + [NONE] * (need <= 0)
-                out += [(r["centre"], r["node"], r["label"], float(size), float(held), t) for t in kept]
-            names = [f.split()[0] for f in REST.split(", ")]
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names)
-
-    side = lambda key, name: sets.select(F.col("node").alias(key), F.col("shingles").alias(f"{name}_shingles"), F.col("counts").alias(f"{name}_counts"))
-    sizes = sets.select("node", (F.length("shingles") / 4).alias("distinct"))
-    least = stars.join(sizes, "node").groupBy("centre").agg(F.min("distinct").alias("least"))
-    return stars.join(least, "centre").join(side("node", "a"), "node").join(side("centre", "b"), "centre").mapInArrow(run, REST)
-
-
-def others(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes of one centre and different components that may be similar, by ``remainders``."""
-    rest = store(remainders(stars, sets), "dup-rest")
-    several = rest.groupBy("centre", "token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("centre", "token")
-    rest = rest.join(several, ["centre", "token"])
-    x, y = (rest.select("centre", "token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "label", "size", "held")]) for s in "xy")
+                size, held, rest = r["size"], int(common.sum()), m - common
+                need = LINK[0] * (size + max(r["least"], LINK[0] * size / LINK[1])) / (LINK[0] + LINK[1]) - held - 1e-6
+                at = np.flatnonzero(rest)
+                tokens = [{"token": t, "weight": w} for t, w in zip(x[at].tolist(), rest[at].tolist())]
+                out.append((r["group"], r["node"], r["label"], size, held, need, tokens))
+            kinds = [pa.int64()] * 5 + [pa.float64(), _TOKENS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["group", "node", "label", "size", "held", "need", "tokens"])
+
+    return with_sets(members, sets, "node", "centre").mapInArrow(run, REST)
+
+
+def others(rest: DataFrame) -> DataFrame:
+    """(a, b): nodes of one group and different components whose rests may share enough.
+
+    Only shingles that several components hold count. A node's are put in the order of how many hold them, rarest first;
+    similar nodes have one in common before what is left of either in that order weighs less than its need. From the
+    first one in common on, they share no more than the lesser of what is left of each."""
+    held = rest.select("group", "node", "label", "size", "held", "need", F.explode("tokens").alias("t")).select("group", "node", "label", "size", "held", "need", "t.token", "t.weight")
+    several = held.groupBy("group", "token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group", "token", "n")
+    ahead = Window.partitionBy("group", "node").orderBy("n", "token").rowsBetween(0, Window.unboundedFollowing)
+    kept = held.join(several, ["group", "token"]).withColumn("left", F.sum("weight").over(ahead)).where("left >= need")
+    kept = store(kept.select("group", "token", "node", "label", "size", "held", "left"), "dup-rest")
+    x, y = (kept.select("group", "token", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "label", "size", "held", "left")]) for s in "xy")
     total = F.col("x_size") + F.col("y_size")
-    alone = (LINK[0] + LINK[1]) * F.least("x_held", "y_held") >= LINK[0] * total
-    may = (F.col("x_label") < F.col("y_label")) & (LINK[1] * F.least("x_size", "y_size") >= LINK[0] * F.greatest("x_size", "y_size")) & ((F.col("token") != NONE) | alone)
-    return x.join(y, ["centre", "token"]).where(may).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    enough = (LINK[0] + LINK[1]) * (F.least("x_held", "y_held") + F.least("x_left", "y_left")) >= LINK[0] * total
+    near = LINK[1] * F.least("x_size", "y_size") >= LINK[0] * F.greatest("x_size", "y_size")
+    pairs = x.join(y, ["group", "token"]).where((F.col("x_label") < F.col("y_label")) & near & enough)
+    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
+def divided(members: DataFrame) -> DataFrame:
+    """The ``members`` (group, label, ...) of groups with several labels."""
+    several = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
+    return members.join(several, "group")
 
 
 def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,11 +307,39 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
     links = store(verified(pairs, sets), "dup-verified")
     labels = components(links, None)
     # the pair of a bucket of two has been tested; other buckets are done when their other members are of one component
-    told = met.where("n > 2").join(labels, "node", "left").select("bucket", "centre", "node", F.coalesce("label", "node").alias("label"))
+    told = met.where("n > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     several = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    stars = store(told.join(several, "bucket").select("centre", "node", "label").distinct(), "dup-stars")
-    more = store(verified(others(stars, sets).join(pairs, ["a", "b"], "left_anti"), sets), "dup-verified")
-    return components(links.union(more), labels) if more.limit(1).count() else labels
+    open_ = store(met.join(several, "bucket").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "dup-open")
+    if not open_.limit(1).count():
+        return labels
+    sizes = sets.select("node", "size")
+    weights = members.select("node", "meets").distinct()
+    groups = store(components(open_, None).select(F.col("label").alias("group"), "node").join(sizes, "node").join(weights, "node"), "dup-groups")
+    # Nodes that need share nothing beyond the centre are grouped anew, around the smallest of them: what then still need
+    # share nothing with the others is similar to it, and so of its component.
+    for chosen in (F.max_by("node", F.struct("meets", "node")), F.min_by("node", F.struct("size", "node"))):
+        centres = groups.groupBy("group").agg(chosen.alias("centre"), F.min("size").alias("least"))
+        around = store(groups.join(centres, "group"), "dup-around")
+        spokes = around.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        links, labels = joined(links, labels, verified(spokes.join(pairs, ["a", "b"], "left_anti"), sets))
+        known = around.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = store(remainders(divided(known), sets), "dup-rest")
+        links, labels = joined(links, labels, verified(others(rest).join(pairs, ["a", "b"], "left_anti"), sets))
+        free = rest.where("need <= 0").select("group", "node")
+        known = groups.join(free, ["group", "node"]).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        groups = store(divided(known).select("group", "node", "size", "meets"), "dup-groups")
+        if not groups.limit(1).count():
+            break
+    return labels
+
+
+def joined(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and labels after ``more`` links have been found."""
+    more = store(more, "dup-verified")
+    if not more.limit(1).count():
+        return links, labels
+    links = links.union(more)
+    return links, components(links, labels)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from sensorlake.llm import neardup
+from sensorlake.llm import dartminhash, neardup
 from sensorlake.llm.dartminhash import signatures
 
 
@@ -93,6 +93,53 @@ def test_large_groups_and_shared_passages(spark):
     assert got == brute(texts)
 
 
+def test_rows_grow_with_a_group_not_with_its_pairs(spark, monkeypatch):
+    """Near copies, many under 0.8 to each other, and texts that are mostly one long passage."""
+    made = []
+
+    def counted(df, name, store=neardup.store):
+        out = store(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "store", counted)
+    found = []
+    for n in (120, 720):
+        rng = random.Random(n)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+        passage, licence = " ".join(word() for _ in range(120)), " ".join(word() for _ in range(12))
+        texts = copies(n, 150, 8, 5)
+        texts |= {10_000 + d: passage + " " + " ".join(word() for _ in range(rng.randint(10, 50))) + " " + licence for d in range(n)}
+        made.clear()
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+        found.append({k: max(m for name, m in made if name == k) for k in {name for name, _ in made}})
+        if n == 120:
+            assert got == brute(texts)
+    few, many = found
+    assert {"dup-rest", "dup-pairs", "dup-around"} <= few.keys()
+    assert all(many[k] <= 6 * 1.6 * few[k] + 100 for k in few), (few, many)
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcé_9") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["x" * 300, "", "..."]
+    whole = [x.tolist() for x in neardup.shingled(texts)]
+    for piece in (1, 7, 50):
+        monkeypatch.setattr(neardup, "PIECE", piece)
+        assert [x.tolist() for x in neardup.shingled(texts)] == whole
+
+
+def test_signatures_of_portions(monkeypatch):
+    rng = np.random.default_rng(4)
+    d, e = np.repeat(np.arange(30), 20), rng.integers(0, 2**62, 600).astype(np.uint64)
+    w = rng.integers(1, 4, 600).astype(float)
+    whole = signatures(d, e, w, 30, 64)
+    monkeypatch.setattr(dartminhash, "DOCUMENTS", 7)
+    monkeypatch.setattr(dartminhash, "ELEMENTS", 33)
+    assert (signatures(d, e, w, 30, 64) == whole).all()
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(159, 200), (-5, 200)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(links, "a long, b long"), None).collect()}
