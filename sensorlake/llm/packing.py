@@ -66,8 +66,8 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return window, offset, n
 
 
-def pack_pool(doc_ids: list, ids: list[np.ndarray], capacity: int, first: int) -> tuple[pa.RecordBatch, int]:
-    """Pieces of the documents of one pool; windows are numbered from ``first``."""
+def pack_pool(doc_ids: list, ids: list[np.ndarray], capacity: int, first: int, with_ids: bool = True) -> tuple[pa.RecordBatch, int]:
+    """Pieces of the documents of one pool; windows are numbered from ``first``. A pool has some document."""
     docs, starts, lengths = [], [], []
     for k, x in enumerate(ids):
         for start in range(0, len(x), capacity):
@@ -84,16 +84,18 @@ def pack_pool(doc_ids: list, ids: list[np.ndarray], capacity: int, first: int) -
         "doc_tokens": pa.array([len(ids[k]) for k in docs], pa.int64()),
         "sequence_id": pa.array(first + window),
         "offset": pa.array(offset),
-        "ids": pa.array(pieces, pa.list_(pa.int32())),
     }
+    if with_ids:
+        offsets = np.cumsum([0, *lengths]).astype(np.int32)
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(pieces).view(np.int32)))
     return pa.RecordBatch.from_pydict(columns), first + n
 
 
-def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, tokenizer: str | None = None, pool_tokens: int = POOL_TOKENS, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, tokenizer: str | None = None, pool_tokens: int = POOL_TOKENS, with_ids: bool = True, special: bool = True) -> DataFrame:
     """Pack documents into windows of ``capacity`` tokens; returns one row per piece (SCHEMA, and ``ids`` if wanted).
 
     ``docs`` needs doc_id and text; other columns are ignored. Each document is tokenized once and ends with
-    ``end_id``. A document over ``capacity`` is first cut into full windows and a rest; rests and whole documents go,
+    ``end_id``; names of special tokens in a text are these tokens, or plain text if ``special`` is False. A document over ``capacity`` is first cut into full windows and a rest; rests and whole documents go,
     longest first, to the tightest open window. Null and empty texts are one piece of one token; repeated rows and
     equal or null ids are packed row by row; an empty table gives an empty result.
 
@@ -105,9 +107,8 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, tokenizer: str
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held, doc_ids, ids = word_encoder(path), 0, [], []
+        encoder, held, doc_ids, ids = word_encoder(path, special), 0, [], []
         sequence = TaskContext.get().partitionId() << 32
-        keep = slice(None) if with_ids else slice(0, 7)
         for batch in slices(batches, "text", 4_000_000):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 x = np.frombuffer(encoder.ids(text or "") + end, "<u4")
@@ -115,12 +116,12 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, tokenizer: str
                 ids.append(x)
                 held += len(x)
                 if held >= pool_tokens:
-                    out, sequence = pack_pool(doc_ids, ids, capacity, sequence)
-                    yield out.select(out.schema.names[keep])
+                    out, sequence = pack_pool(doc_ids, ids, capacity, sequence, with_ids)
+                    yield out
                     held, doc_ids, ids = 0, [], []
         if ids:
-            out, sequence = pack_pool(doc_ids, ids, capacity, sequence)
-            yield out.select(out.schema.names[keep])
+            out, sequence = pack_pool(doc_ids, ids, capacity, sequence, with_ids)
+            yield out
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
 

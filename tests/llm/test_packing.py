@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from sensorlake.llm import packing
+from sensorlake.llm import packing, tokenizing
 from sensorlake.llm.tokenizing import vocabulary, word_encoder
 
 
@@ -19,6 +19,29 @@ def test_memo_gives_the_ids_of_the_whole_text():
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == whole(text), repr(text)
 
 
+def test_special_tokens_as_the_library_has_them():
+    """Against a tokenizer with its default settings, and one that takes their names as text."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    plain, spelled = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    spelled.encode_special_tokens = True
+    texts = ["<|endoftext|>", "a <|ENDOFTEXT|> b", "x<|startoftext|>y", "<|end oftext|>", "<| a", "a <|endoftext", "é<|endoftext|>日本", "plain words, 12 of them"]
+    for text in texts:
+        for tokenizer, special in ((plain, True), (spelled, False)):
+            got = np.frombuffer(word_encoder(path, special).ids(text), "<u4").tolist()
+            assert got == tokenizer.encode(text, add_special_tokens=False).ids, (text, special)
+    assert np.frombuffer(word_encoder(path).ids("<|endoftext|>"), "<u4").tolist() == [49407]
+
+
+def test_memos_are_bounded():
+    encoder = tokenizing.WordEncoder(vocabulary("word_bpe_49k.json"), memo=50)
+    for k in range(300):
+        text = f"word{k} a.b{k} word"
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == whole(text)
+        assert len(encoder.memo) <= 50 and len(encoder.words) <= 50
+
+
 def test_every_character_of_the_fast_range():
     encoder = word_encoder(vocabulary("word_bpe_49k.json"))
     for c in map(chr, range(0x250)):
