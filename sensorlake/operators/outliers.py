@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,35 +21,43 @@ def flag_outliers(rows: DataFrame, columns: list[str], neighbours: int = 6, sigm
 
     Nulls are flagged and aren't neighbours. With fewer rows than neighbours + 1 only nulls are flagged, and in series
     of under ``least_rows`` rows nothing is. The test is exact: with m neighbours of sum S and square sum Q it reads
-    (m-1)(mx-S)^2 > sigma^2 m (mQ-S^2), in decimals, on values less the series' least. All columns share one sort."""
+    (m-1)(mx-S)^2 > sigma^2 m (mQ-S^2), on values less the series' least: in 64 bits where the series' range allows,
+    else in decimals. All columns share one sort: a row sees its neighbours through shifts of one struct of them."""
     half = neighbours // 2
     series = Window.partitionBy(*keys)
     ordered = series.orderBy(order)
-    around = ordered.rowsBetween(-half, half)
-    x = rows.withColumns({"__n": F.count(F.lit(1)).over(series), "__at": F.row_number().over(ordered)})
-    near_start, near_end = F.col("__at") <= half, F.col("__at") > F.col("__n") - half
-    in_first, in_last = F.col("__at") <= neighbours + 1, F.col("__at") > F.col("__n") - neighbours - 1
-    bases = {f"__b_{c}": (F.col(c).cast("long") - F.min(F.col(c).cast("long")).over(series)).cast("decimal(12,0)") for c in columns}
-    x = x.withColumns(bases)
+    least = {c: F.min(F.col(c).cast("long")).over(series) for c in columns}
+    x = rows.withColumns({"__n": F.count(F.lit(1)).over(series), "__at": F.row_number().over(ordered), **{f"__l_{c}": v for c, v in least.items()}, **{f"__h_{c}": F.max(F.col(c).cast("long")).over(series) for c in columns}})
+    packed = F.struct(*[(F.col(c).cast("long") - F.col(f"__l_{c}")).alias(c) for c in columns])
+    shifts = [d for d in range(-neighbours, neighbours + 1) if d]
+    x = x.withColumn("__own", packed)
+    x = x.withColumns({f"__s{k}": F.lag("__own", -d).over(ordered) for k, d in enumerate(shifts)})
+    begin = F.when(F.col("__at") <= half, 1 - F.col("__at")).when(F.col("__at") > F.col("__n") - half, F.col("__n") - neighbours - F.col("__at")).otherwise(-half)
+    x = x.withColumn("__begin", begin)
+    # what lies within the row's own stretch of neighbours + 1 rows
+    x = x.withColumns({f"__s{k}": F.when((F.col("__begin") <= d) & (F.col("__begin") >= d - neighbours), F.col(f"__s{k}")) for k, d in enumerate(shifts)})
+    #: Ranges up to this give products below 2^63.
+    narrow = math.isqrt((2**63 - 1) // (neighbours**3 * max(1, sigma * sigma)))
     flags = {}
     for c in columns:
-        v = F.col(f"__b_{c}")
-
-        def summed(value: Column, v=v) -> Column:
-            inner = F.sum(value).over(around)
-            first = F.sum(F.when(in_first, value)).over(series)
-            last = F.sum(F.when(in_last, value)).over(series)
-            return F.coalesce(F.when(near_start, first).when(near_end, last).otherwise(inner), F.lit(0)) - F.coalesce(value, F.lit(0))
-
-        m = summed(v.isNotNull().cast("decimal(12,0)")).cast("decimal(3,0)")
-        s = summed(v).cast("decimal(13,0)")
-        q = summed((v * v).cast("decimal(24,0)")).cast("decimal(25,0)")
-        away = (m * v - s).cast("decimal(15,0)")
-        left = ((m - 1) * (away * away).cast("decimal(30,0)")).cast("decimal(33,0)")
-        right = F.lit(sigma * sigma).cast("decimal(4,0)") * m * (m * q - (s * s).cast("decimal(26,0)")).cast("decimal(28,0)")
-        tested = (F.col("__n") > neighbours) & (m >= 2) & (left > right)
+        v, near = F.col(f"__own.{c}"), [F.col(f"__s{k}.{c}") for k in range(len(shifts))]
+        total = lambda parts: reduce(lambda a, b: a + b, parts)
+        m = total([F.when(t.isNull(), F.lit(0).cast("long")).otherwise(1) for t in near])
+
+        def unlike(kind: str, squares: str, m=m, v=v, near=near) -> Column:
+            s = total([F.coalesce(t, F.lit(0)) for t in near]).cast(kind)
+            q = total([F.coalesce((t.cast(kind) * t.cast(kind)).cast(squares), F.lit(0).cast(squares)) for t in near])
+            n = m.cast("decimal(3,0)") if kind != "long" else m
+            away = (n * v - s).cast(kind if kind == "long" else "decimal(15,0)")
+            left = ((n - 1) * (away * away).cast("long" if kind == "long" else "decimal(30,0)")).cast("long" if kind == "long" else "decimal(33,0)")
+            spread = (n * q.cast("long" if kind == "long" else "decimal(25,0)") - (s * s).cast("long" if kind == "long" else "decimal(26,0)")).cast("long" if kind == "long" else "decimal(28,0)")
+            return left > F.lit(sigma * sigma).cast("long" if kind == "long" else "decimal(4,0)") * n * spread
+
+        fits = F.col(f"__h_{c}") - F.col(f"__l_{c}") <= narrow
+        tested = (F.col("__n") > neighbours) & (m >= 2) & F.when(fits, unlike("long", "long")).otherwise(unlike("decimal(13,0)", "decimal(24,0)"))
         flags[f"{c}{suffix}"] = (F.col("__n") >= least_rows) & (v.isNull() | F.coalesce(tested, F.lit(False)))
-    return x.withColumns(flags).drop("__n", "__at", *bases)
+    spare = ["__n", "__at", "__own", "__begin", *[f"__s{k}" for k in range(len(shifts))], *[f"__{e}_{c}" for e in "lh" for c in columns]]
+    return x.withColumns(flags).drop(*spare)
 
 
 def float_outliers(values: np.ndarray, neighbours: int, sigma: float) -> np.ndarray:

@@ -25,15 +25,15 @@ def flag_imu_jumps(records: DataFrame, limit: int = 1_000_000) -> DataFrame:
 def assign_segments(records: DataFrame, rows_per_segment: int | Column, limit: int = 1_000_000) -> DataFrame:
     """``segment`` from 0: a jumped IMU record opens one, and so does the record after ``rows_per_segment`` IMU records.
     PPS and GNSS records belong where they lie in the file. ``imu_filled`` tells whether the last IMU record so far has
-    filled its segment. ``rows_per_segment`` may be a column, one value per file. One shuffle, by file."""
-    imu = F.col("kind") == "IMU"
-    x = flag_imu_jumps(records, limit).withColumn("island", F.sum(F.col("imu_jump").cast("int")).over(by_file().rowsBetween(*SO_FAR)))
-    in_island = Window.partitionBy("file_id", "island").orderBy("offset").rowsBetween(*SO_FAR)
-    x = x.withColumn("nth", F.sum(imu.cast("int")).over(in_island))
+    filled its segment. ``rows_per_segment`` may be a column, one value per file. One shuffle and one sort, by file."""
+    imu, so_far = F.col("kind") == "IMU", by_file().rowsBetween(*SO_FAR)
+    x = flag_imu_jumps(records, limit).withColumn("so_far", F.sum(imu.cast("long")).over(so_far))
+    # a record's place since the last jump: the running count less what it was before that
+    x = x.withColumn("nth", F.col("so_far") - F.coalesce(F.max(F.when(F.col("imu_jump"), F.col("so_far") - 1)).over(so_far), F.lit(0)))
     opens = imu & (F.col("imu_jump") | ((F.col("nth") > 1) & ((F.col("nth") - 1) % rows_per_segment == 0)))
     filled = (F.col("nth") > 0) & (F.col("nth") % rows_per_segment == 0)
-    x = x.withColumn("imu_filled", filled).withColumn("opened", F.sum(opens.cast("int")).over(by_file().rowsBetween(*SO_FAR)))
-    return x.withColumn("segment", (F.col("opened") + F.when(~imu & filled, 1).otherwise(0)).cast("int")).drop("island", "nth", "opened")
+    x = x.withColumn("imu_filled", filled).withColumn("opened", F.sum(opens.cast("int")).over(so_far))
+    return x.withColumn("segment", (F.col("opened") + F.when(~imu & filled, 1).otherwise(0)).cast("int")).drop("so_far", "nth", "opened")
 
 
 def segment_counts(records: DataFrame) -> DataFrame:

@@ -89,7 +89,8 @@ def streamed_alarm(rates: DataFrame, device: str = "device", expected: dict[str,
     From a device's first window on, each kind of ``expected`` is judged in every window, in order. A window that isn't
     there when the stream's watermark has passed it gets a row with n = 0, be the kind or the whole device silent; what
     lies beyond it waits till then. As long as any device is heard, the watermark moves on. The state is, per device, a
-    place and a streak for each kind and the windows that wait."""
+    place and a streak for each kind and the windows that wait. Windows of kinds that ``expected`` doesn't name are not
+    judged and give no rows; a window that comes when its place has been judged is judged by itself."""
     known = expected or EXPECTED
     step, chunk = int(seconds * 1e6), 10_000
     names = ["kind", "at", "n", "rate_hz", "in_a_row", "alarm"]
@@ -134,6 +135,41 @@ def streamed_alarm(rates: DataFrame, device: str = "device", expected: dict[str,
 
     kind = rates.schema[device].dataType.simpleString()
     schema = f"`{device}` {kind}, kind string, at long, n long, rate_hz double, in_a_row int, alarm boolean"
-    known_late = on_time(rates, "window_start", late).withColumn("at", F.unix_micros("window_start"))
+    known_late = on_time(rates.where(F.col("kind").isin(*known)), "window_start", late).withColumn("at", F.unix_micros("window_start"))
     out = known_late.groupBy(device).applyInPandasWithState(judge, schema, "places string", "append", "EventTimeTimeout")
     return out.select(device, "kind", F.timestamp_micros("at").alias("window_start"), "n", "rate_hz", "in_a_row", "alarm")
+
+
+def streamed_saturation(windows: DataFrame, device: str = "device", busy: str = "write_ms", limit: float = SATURATION_MS, rows: int = SATURATION_ROWS, late: str = LATE) -> DataFrame:
+    """The saturation alarm over a stream of windows (device, window_start, ``busy``): device, window_start, busy,
+    in_a_row, alarm.
+
+    A window waits until the watermark has passed it, so that windows are judged in order; one that comes later still is
+    dropped, and counted by ``rows_too_late``. Windows in which nothing was written have no row and end no streak; a null
+    ``busy`` counts as not busy. The state is, per device, a streak and the windows that wait."""
+
+    def judge(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        streak, waiting = json.loads(state.get[0]) if state.exists else (0, [])
+        came = [] if state.hasTimedOut else [row for f in frames for row in zip(f["at"].tolist(), f["busy"].fillna(-1).tolist())]
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting = sorted([*map(tuple, waiting), *came])
+        out = []
+        while waiting and waiting[0][0] <= passed:
+            at, ms = waiting.pop(0)
+            streak = streak + 1 if ms >= limit else 0
+            out.append((key[0], at, ms, streak, streak >= rows))
+        state.update((json.dumps([streak, waiting]),))
+        if waiting:
+            state.setTimeoutTimestamp(max(passed // 1000 + 1, waiting[0][0] // 1000))
+        if out:
+            yield pd.DataFrame(out, columns=[device, "at", "busy", "in_a_row", "alarm"])
+
+    kind = windows.schema[device].dataType.simpleString()
+    x = on_time(windows, "window_start", late).select(device, "window_start", F.unix_micros("window_start").alias("at"), F.col(busy).cast("double").alias("busy"))
+    out = x.groupBy(device).applyInPandasWithState(judge, f"`{device}` {kind}, at long, busy double, in_a_row int, alarm boolean", "streak string", "append", "EventTimeTimeout")
+    return out.select(device, F.timestamp_micros("at").alias("window_start"), F.col("busy").alias(busy), "in_a_row", "alarm")
+
+
+def rows_too_late(query) -> int:
+    """Rows that a streaming query has dropped because they came after the watermark, as far as its progress goes back."""
+    return sum(int(operator["numRowsDroppedByWatermark"]) for progress in query.recentProgress for operator in progress["stateOperators"])

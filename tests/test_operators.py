@@ -143,6 +143,30 @@ def test_integer_outliers(spark):
     assert got == want
 
 
+def test_outliers_of_narrow_and_wide_series_with_nulls(spark):
+    """In 64 bits, in decimals, and either side of the bound between them; six columns share one sort."""
+    rng = np.random.default_rng(8)
+    bound = int(((2**63 - 1) // (6**3 * 25)) ** 0.5)
+    rows, want = [], {}
+    for f, top in enumerate([1, 7, 3000, bound - 1, bound, bound + 1, 2**32] * 3):
+        n = int(rng.integers(7, 30))
+        v = [int(x) for x in rng.integers(0, 4, n)]
+        v[int(rng.integers(0, n))] = top
+        v[int(rng.integers(0, n))] = 0
+        missing = rng.random(n) < 0.15
+        rows += [(f, 0, i, None if missing[i] else x - 2**31) for i, x in enumerate(v)]
+        want[f] = outlier_model([np.nan if missing[i] else float(x) for i, x in enumerate(v)], 6, 5)
+    x = spark.createDataFrame(rows, "file_id long, segment int, offset long, v long")
+    out = outliers.flag_outliers(x.selectExpr("*", "v as w"), ["v", "w"])
+    got = {}
+    for r in out.orderBy("file_id", "offset").collect():
+        assert r.v_stdchecked == r.w_stdchecked
+        got.setdefault(r.file_id, []).append(r.v_stdchecked)
+    assert got == want and out.columns == ["file_id", "segment", "offset", "v", "w", "v_stdchecked", "w_stdchecked"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def series_of(name):
     rng = np.random.default_rng(42)
     x = {"sine": np.sin(np.arange(100) / 10), "spikes": np.ones(100), "ends": np.ones(50), "nan": np.ones(50), "normal": rng.normal(1000, 10, 5000), "short": np.arange(5.0), "linear": np.arange(40.0)}[name]

@@ -60,7 +60,7 @@ def test_one_shuffle_for_segmentation(spark):
     from sensorlake.operators import segments
 
     plan = segments.assign_segments(log, 4, 20)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
 
 
 def test_ingest_stream(spark, lake, tmp_path):
