@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_ROWS = 5
@@ -21,42 +18,45 @@ def flag_outliers(rows: DataFrame, columns: list[str], neighbours: int = 6, sigm
 
     Nulls are flagged and aren't neighbours. With fewer rows than neighbours + 1 only nulls are flagged, and in series
     of under ``least_rows`` rows nothing is. The test is exact: with m neighbours of sum S and square sum Q it reads
-    (m-1)(mx-S)^2 > sigma^2 m (mQ-S^2), on values less the series' least: in 64 bits where the series' range allows,
-    else in decimals. All columns share one sort: a row sees its neighbours through shifts of one struct of them."""
+    (m-1)(mx-S)^2 > sigma^2 m (mQ-S^2), on values less the series' least, in 64 bits for columns of 16 bits or fewer and
+    in decimals for wider ones. Sums over a row's neighbours are differences of two running sums of the series, so a row
+    costs the same however many neighbours there are, and all columns share one sort."""
     half = neighbours // 2
     series = Window.partitionBy(*keys)
     ordered = series.orderBy(order)
-    least = {c: F.min(F.col(c).cast("long")).over(series) for c in columns}
-    x = rows.withColumns({"__n": F.count(F.lit(1)).over(series), "__at": F.row_number().over(ordered), **{f"__l_{c}": v for c, v in least.items()}, **{f"__h_{c}": F.max(F.col(c).cast("long")).over(series) for c in columns}})
-    packed = F.struct(*[(F.col(c).cast("long") - F.col(f"__l_{c}")).alias(c) for c in columns])
-    shifts = [d for d in range(-neighbours, neighbours + 1) if d]
-    x = x.withColumn("__own", packed)
-    x = x.withColumns({f"__s{k}": F.lag("__own", -d).over(ordered) for k, d in enumerate(shifts)})
-    begin = F.when(F.col("__at") <= half, 1 - F.col("__at")).when(F.col("__at") > F.col("__n") - half, F.col("__n") - neighbours - F.col("__at")).otherwise(-half)
-    x = x.withColumn("__begin", begin)
-    # what lies within the row's own stretch of neighbours + 1 rows
-    x = x.withColumns({f"__s{k}": F.when((F.col("__begin") <= d) & (F.col("__begin") >= d - neighbours), F.col(f"__s{k}")) for k, d in enumerate(shifts)})
-    #: Ranges up to this give products below 2^63.
-    narrow = math.isqrt((2**63 - 1) // (neighbours**3 * max(1, sigma * sigma)))
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    short = {k: dict(rows.dtypes)[c] in ("tinyint", "smallint") for k, c in enumerate(columns)}
+    x = rows.withColumns({"__n": F.count(F.lit(1)).over(series), "__at": F.row_number().over(ordered), **{f"__b_{k}": F.col(c).cast("long") - F.min(F.col(c).cast("long")).over(series) for k, c in enumerate(columns)}})
+    running = {}
+    for k in short:
+        v = F.col(f"__b_{k}") if short[k] else F.col(f"__b_{k}").cast("decimal(12,0)")
+        for name, term in (("m", F.col(f"__b_{k}").isNotNull().cast("long")), ("s", v), ("q", v * v)):
+            running[f"{name}_{k}"] = F.coalesce(F.sum(term).over(so_far), F.lit(0))
+    x = x.withColumns({f"__{name}": c for name, c in running.items()})
+    x = x.withColumn("__sums", F.struct(*[F.col(f"__{name}").alias(name) for name in running])).drop(*[f"__{name}" for name in running])
+    # how many rows behind its own the last of a row's neighbours lies
+    reach = F.when(F.col("__at") <= half, neighbours + 1 - F.col("__at")).when(F.col("__at") > F.col("__n") - half, F.col("__n") - F.col("__at")).otherwise(half)
+    ends, starts = ([F.lead("__sums", d).over(ordered) for d in range(neighbours + 1)], [F.lag("__sums", neighbours + 1 - d).over(ordered) for d in range(neighbours + 1)])
+    x = x.withColumns({"__reach": reach, **{f"__e{d}": c for d, c in enumerate(ends)}, **{f"__s{d}": c for d, c in enumerate(starts)}})
+    pick = lambda name: F.coalesce(*[F.when(F.col("__reach") == d, F.col(f"__{name}{d}")) for d in range(neighbours + 1)])
+    x = x.withColumns({"__end": pick("e"), "__start": pick("s")})
     flags = {}
-    for c in columns:
-        v, near = F.col(f"__own.{c}"), [F.col(f"__s{k}.{c}") for k in range(len(shifts))]
-        total = lambda parts: reduce(lambda a, b: a + b, parts)
-        m = total([F.when(t.isNull(), F.lit(0).cast("long")).otherwise(1) for t in near])
-
-        def unlike(kind: str, squares: str, m=m, v=v, near=near) -> Column:
-            s = total([F.coalesce(t, F.lit(0)) for t in near]).cast(kind)
-            q = total([F.coalesce((t.cast(kind) * t.cast(kind)).cast(squares), F.lit(0).cast(squares)) for t in near])
-            n = m.cast("decimal(3,0)") if kind != "long" else m
-            away = (n * v - s).cast(kind if kind == "long" else "decimal(15,0)")
-            left = ((n - 1) * (away * away).cast("long" if kind == "long" else "decimal(30,0)")).cast("long" if kind == "long" else "decimal(33,0)")
-            spread = (n * q.cast("long" if kind == "long" else "decimal(25,0)") - (s * s).cast("long" if kind == "long" else "decimal(26,0)")).cast("long" if kind == "long" else "decimal(28,0)")
-            return left > F.lit(sigma * sigma).cast("long" if kind == "long" else "decimal(4,0)") * n * spread
-
-        fits = F.col(f"__h_{c}") - F.col(f"__l_{c}") <= narrow
-        tested = (F.col("__n") > neighbours) & (m >= 2) & F.when(fits, unlike("long", "long")).otherwise(unlike("decimal(13,0)", "decimal(24,0)"))
+    for k, c in enumerate(columns):
+        v, of = F.col(f"__b_{k}"), lambda name, k=k: F.col(f"__end.{name}_{k}") - F.coalesce(F.col(f"__start.{name}_{k}"), F.lit(0))
+        own = F.coalesce(v, F.lit(0))
+        m = of("m") - v.isNotNull().cast("long")
+        if short[k]:
+            s, q = of("s") - own, of("q") - own * own
+            left, right = (m - 1) * (m * own - s) * (m * own - s), sigma * sigma * m * (m * q - s * s)
+        else:
+            own, m3 = own.cast("decimal(12,0)"), m.cast("decimal(3,0)")
+            s, q = (of("s") - own).cast("decimal(13,0)"), (of("q") - own * own).cast("decimal(25,0)")
+            away = (m3 * own - s).cast("decimal(15,0)")
+            left = ((m3 - 1) * (away * away).cast("decimal(30,0)")).cast("decimal(33,0)")
+            right = F.lit(sigma * sigma).cast("decimal(4,0)") * m3 * (m3 * q - (s * s).cast("decimal(26,0)")).cast("decimal(28,0)")
+        tested = (F.col("__n") > neighbours) & (m >= 2) & (left > right)
         flags[f"{c}{suffix}"] = (F.col("__n") >= least_rows) & (v.isNull() | F.coalesce(tested, F.lit(False)))
-    spare = ["__n", "__at", "__own", "__begin", *[f"__s{k}" for k in range(len(shifts))], *[f"__{e}_{c}" for e in "lh" for c in columns]]
+    spare = ["__n", "__at", "__sums", "__reach", "__end", "__start", *[f"__{e}{d}" for e in "es" for d in range(neighbours + 1)], *[f"__b_{k}" for k in short]]
     return x.withColumns(flags).drop(*spare)
 
 
