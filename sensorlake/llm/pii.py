@@ -21,12 +21,20 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_CODE = re.compile(r"[A-Z0-9](?:\x20?[A-Z0-9])*+")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])")
 _SECRET = re.compile(r'=\x20?"([A-Za-z0-9_+/=-]{20,}+)"')
 _USER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+#: Characters of a country's IBANs, as registered.
+IBAN_LENGTHS = {c: int(n) for c, n in (x.split(":") for x in """
+AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20
+EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30
+KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15
+OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23
+TN:24 TR:26 UA:29 VA:22 VG:24 XK:20""".split())}
 #: Score before context, words that raise it, words that lower it.
 CONTEXT = {
     "email": (0.9, ("mail", "contact", "write", "address"), ("package", "version")),
@@ -54,6 +62,22 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Codes of their country's length, blanks between characters aside, that end where a word ends and pass mod-97. The
+    words after a code aren't part of it, even if they look alike."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        n = IBAN_LENGTHS.get(m[0][:2])
+        if not n or m.start() < done:
+            continue
+        # every character may have a blank before it
+        run = _CODE.match(text, m.start(), m.start() + 2 * n)
+        ends = [k for k, c in enumerate(run[0], m.start() + 1) if c != " "]
+        if len(ends) >= n and not text[ends[n - 1] : ends[n - 1] + 1].isalnum() and mod97(text[m.start() : ends[n - 1]]):
+            done = ends[n - 1]
+            yield m.start(), done
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, found from the @ signs: the user part is the whole run before one, so long runs of letters
     are read once."""
@@ -78,7 +102,7 @@ def spans_of(text: str) -> list[tuple[str, int, int, float, bool]]:
     if "+" in text:
         phones = [m.span() for m in _PHONE.finditer(text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
         found += [("phone", *s, True) for s in phones]
-    found += [("iban", *m.span(), True) for m in _IBAN.finditer(text) if mod97(m[0])]
+    found += [("iban", *s, True) for s in ibans(text)]
     for m in _NATIONAL.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             found.append(("national_id", *m.span(), True))

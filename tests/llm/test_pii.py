@@ -83,3 +83,16 @@ def test_query_digests(spark, tmp_path):
     assert got[1].base_sha256 == hashlib.sha256(got[1].spans.encode()).hexdigest()
     assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 0, 0)
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
+
+
+def test_ibans_end_at_their_country_s_length():
+    def found(text):
+        return [text[a:b] for k, a, b, *_ in pii.spans_of(text) if k == "iban"]
+
+    assert found("IBAN: DE89370400440532013000 BIC COBADEFFXXX") == ["DE89370400440532013000"]
+    assert found("IBAN DE89 3704 0044 0532 0130 00 EUR 100") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("GB82WEST12345698765432 USD") == ["GB82WEST12345698765432"]
+    assert found("to NO93 8601 1117 947 and FR14 2004 1010 0505 0001 3M02 606.") == ["NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    for wrong in ("DE89370400440532013001", "DE8937040044053201300", "DE893704004405320130000", "DE89370400440532013000X", "ZZ82WEST12345698765432", "xDE89370400440532013000", "DE89  370400440532013000"):
+        assert found(f"iban {wrong} end") == []
+    assert found("DE89370400440532013000 DE89370400440532013000") == ["DE89370400440532013000"] * 2
