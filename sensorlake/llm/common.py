@@ -1,7 +1,8 @@
-"""What several operators share: folds, UTF-8 payloads and slices of bounded size."""
+"""What several operators share: folds, and slices and pieces of bounded size."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,3 +30,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
                 start, held = row, 0
             held += size
         yield batch.slice(start)
+
+
+_GAP = re.compile(r"[\W_]")
+
+
+def pieces(texts: list[str], limit: int) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """The texts cut between words, about ``limit`` characters at a time, with the number of each piece's text and the
+    piece's first character there. Only a single word is ever longer."""
+    held, of, at, n = [], [], [], 0
+    for k, text in enumerate(texts):
+        start = 0
+        while start < len(text):
+            gap = _GAP.search(text, start + limit - n) if len(text) - start > limit - n else None
+            end = gap.start() if gap else len(text)
+            held.append(text[start:end])
+            of.append(k)
+            at.append(start)
+            n += end - start
+            start = end
+            if n >= limit:
+                yield held, of, at
+                held, of, at, n = [], [], [], 0
+    if held:
+        yield held, of, at

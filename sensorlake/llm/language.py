@@ -8,11 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import store
-from .common import fold, slices
+from .common import fold, pieces, slices
+from .labelled import least_hashed
 
 #: Documents per language that the model is fitted on, at most; chosen by the hash of their ids.
 PER_LANGUAGE = 1500
@@ -22,7 +23,10 @@ ORDERS = (2, 3, 4)
 SWITCH = 15.0
 #: What a language costs whose texts have less than RARE of their letters in the word's script.
 FOREIGN, RARE = 60.0, 0.002
-SLICE = 2_000_000
+#: Bytes of texts in a slice (one text at least), and characters that are looked at at a time.
+SLICE, PIECE = 2_000_000, 500_000
+#: Languages that a model knows, at most: those with most documents. Their tables take 512 KB each.
+LANGUAGES = 256
 
 #: First and last code points of scripts; letters elsewhere are of script 0.
 SCRIPTS = {
@@ -115,6 +119,17 @@ class LanguageModel:
         self.languages, self.tables, self.foreign = languages, tables, foreign
 
 
+def scored(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first character, end and scores of each word of the texts. Only the scores of a long text are held whole,
+    at 8 bytes a word and language; its characters are looked at PIECE at a time."""
+    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros((0, len(model.languages))),)]
+    for parts, of, at in pieces(texts, PIECE):
+        words = Words(parts)
+        of, at = np.array(of)[words.text], np.array(at)[words.text]
+        found.append((of, words.first + at, words.last + at, words.scores(model)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
     """Label of each word. The words of a text follow one another; all texts take a step at a time."""
     labels = np.zeros(len(scores), np.int64)
@@ -143,16 +158,15 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return labels
 
 
-def fit(docs: DataFrame, allowed: Column | None = None, per_language: int = PER_LANGUAGE) -> LanguageModel:
+def fit(docs: DataFrame, allowed: Column | None = None, per_language: int = PER_LANGUAGE, most: int = LANGUAGES) -> LanguageModel:
     """Fit on at most ``per_language`` documents of each non-null ``lang``, out of those that ``allowed`` (a condition
-    over doc_id) admits. A repeated id counts once, with its greatest text and language. Without labelled documents
-    the model knows no language."""
+    over doc_id) admits. A repeated id counts once, with its greatest text and language. Of more than ``most`` languages
+    those with most documents are learned. Without labelled documents the model knows no language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if allowed is None else allowed))
-    ids = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("lang").alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = store(ids.withColumn("at", rank).where(F.col("at") <= per_language).select("doc_id", "lang"), "language-ids")
-    languages = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
-    side = F.broadcast(chosen) if len(languages) <= 200 else chosen
+    ids = store(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("lang").alias("lang")), "language-ids")
+    languages = sorted(r["lang"] for r in ids.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most).collect())
+    chosen = store(least_hashed(ids.where(F.col("lang").isin(languages)), per_language, "lang"), "language-sample")
+    side = F.broadcast(chosen)  # most * per_language rows of an id and a name
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(side, "doc_id")
     texts = texts.groupBy("doc_id").agg(F.max("lang").alias("lang"), F.max("text").alias("text"))
 
@@ -164,10 +178,11 @@ def fit(docs: DataFrame, allowed: Column | None = None, per_language: int = PER_
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 by.setdefault(lang, []).append(text)
             for lang, own in by.items():
-                words = Words(own)
-                for bucket, valid in words.grams():
-                    grams[lang] = grams.get(lang, 0) + np.bincount(bucket[valid], minlength=1 << BUCKET_BITS)
-                letters[lang] = letters.get(lang, 0) + np.bincount(words.script, words.end - words.start, 1 + len(SCRIPTS)).astype(np.int64)
+                for parts, _, _ in pieces(own, PIECE):
+                    words = Words(parts)
+                    for bucket, valid in words.grams():
+                        grams[lang] = grams.get(lang, 0) + np.bincount(bucket[valid], minlength=1 << BUCKET_BITS)
+                    letters[lang] = letters.get(lang, 0) + np.bincount(words.script, words.end - words.start, 1 + len(SCRIPTS)).astype(np.int64)
         for kind, found in (("gram", grams), ("script", letters)):
             for lang, n in found.items():
                 at = np.flatnonzero(n)
@@ -206,21 +221,21 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            words = Words([t or "" for t in batch.column("text").to_pylist()])
             n, k = batch.num_rows, len(model.languages)
-            if not k or not len(words.start):
+            text, first, last, scores = scored([t or "" for t in batch.column("text").to_pylist()], model)
+            if not k or not len(text):
                 empty = [pa.array(["und"] * n), pa.array([0.0] * n), pa.array([[]] * n, _ARROW)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *empty], ["doc_id", "lang_pred", "score", "spans"])
                 continue
-            labels = viterbi(words.scores(model), words.counts, switch)
-            letters = np.bincount(words.text * k + labels, words.end - words.start, n * k).reshape(n, k)
+            labels = viterbi(scores, np.bincount(text, minlength=n), switch)
+            letters = np.bincount(text * k + labels, last - first, n * k).reshape(n, k)
             total = letters.sum(axis=1)
             best = np.where(total > 0, letters.argmax(axis=1), k)
             score = np.where(total > 0, letters.max(axis=1) / np.maximum(1, total), 0.0)
-            opens = np.flatnonzero(np.append(True, (np.diff(words.text) != 0) | (np.diff(labels) != 0)))
+            opens = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(labels) != 0)))
             closes = np.append(opens[1:] - 1, len(labels) - 1)
-            offsets = np.searchsorted(words.text[opens], np.arange(n + 1))
-            values = pa.StructArray.from_arrays([pa.array(words.first[opens]), pa.array(words.last[closes]), pa.array(languages[labels[opens]], pa.string())], ["start", "end", "lang"])
+            offsets = np.searchsorted(text[opens], np.arange(n + 1))
+            values = pa.StructArray.from_arrays([pa.array(first[opens]), pa.array(last[closes]), pa.array(languages[labels[opens]], pa.string())], ["start", "end", "lang"])
             spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(languages[best], pa.string()), pa.array(score), spans], ["doc_id", "lang_pred", "score", "spans"])
 

@@ -13,7 +13,6 @@ lacks, and they are looked for by the rarest shingles of that. So the rows grow
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import store
-from .common import slices
+from .common import pieces, slices
 from .dartminhash import U, mix, signatures
 
 WORDS = 5
@@ -34,7 +33,6 @@ LINK = (4, 5)
 #: Bytes of texts in a slice (one text at least), and characters that are looked at at a time.
 SLICE, PIECE = 400_000, 250_000
 SIGNED = "doc_id long, text_hash long, node long, bands array<long>, size long, shingles binary, counts binary"
-_GAP = re.compile(r"[\W_]")
 
 
 @lru_cache(maxsize=1)
@@ -60,30 +58,11 @@ def powers(base: U, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U)
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
-    """The texts cut between words, about PIECE characters at a time, with the number of each piece's text."""
-    held, of, n = [], [], 0
-    for k, text in enumerate(texts):
-        start = 0
-        while start < len(text):
-            gap = _GAP.search(text, start + PIECE - n) if len(text) - start > PIECE - n else None
-            end = gap.start() if gap else len(text)
-            held.append(text[start:end])
-            of.append(k)
-            n += end - start
-            start = end
-            if n >= PIECE:
-                yield held, of
-                held, of, n = [], [], 0
-    if held:
-        yield held, of
-
-
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the text and hash of each word, in order."""
     inside, codes = letters()
     found = [(np.zeros(0, np.int32), np.zeros(0, U))]
-    for parts, of in pieces(texts):
+    for parts, of, _ in pieces(texts, PIECE):
         sizes = np.array([len(t) for t in parts], np.int64)
         raw = np.frombuffer((" " + " ".join(parts) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
         word = inside[raw]

@@ -93,3 +93,20 @@ def test_labels_ids_and_sources_are_no_inputs(spark):
     other = docs.withColumns({"lang": F.lit("xx"), "source": F.lit(None).cast("string")})
     assert {r.doc_id: (r.lang_pred, r.score) for r in language.identify(other, model).collect()} == plain
     assert random.choice(list(plain.values()))
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    texts = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(60).collect()] + ["", "x" * 500, " ".join(r.text for r in docs.where("text is not null").limit(40).collect())]
+    whole = language.scored(texts, model)
+    monkeypatch.setattr(language, "PIECE", 90)
+    parts = language.scored(texts, model)
+    assert all((a == b).all() for a, b in zip(whole[:3], parts[:3])) and np.allclose(whole[3], parts[3])
+
+
+def test_most_languages_and_hot_ones(spark):
+    rows = [(i, f"word{i} text", "hot" if i % 3 else f"l{i % 40}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(docs, most=3).languages[0] == "hot" and len(language.fit(docs, most=3).languages) == 3
+    assert len(language.fit(docs).languages) == len({x for _, _, x in rows})
