@@ -75,3 +75,13 @@ def export_flat(records: DataFrame, doubles: dict[str, str], others: dict[str, s
     """The flat columns that users read: ``doubles`` (new name: column) have NaN for null, ``others`` are renamed."""
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(n) for n, c in doubles.items()]
     return records.select(*[F.col(c).alias(n) for n, c in others.items()], *numbers)
+
+
+def fleet_rollup(files: DataFrame, keys: list[str], sums: list[str], greatest: list[str]) -> DataFrame:
+    """Reports of files rolled up by ``keys``, such as boot and day, with totals where later keys are null: n_files,
+    n_complete (by status), rate_imu over the files with a duration, sums and greatest values. A file is one row, so
+    partial sums leave few rows to shuffle."""
+    timed = F.col("duration_s") > 0
+    rate = F.sum(F.when(timed, F.col("n_imu"))) / F.sum(F.when(timed, F.col("duration_s")))
+    more = [F.sum(c).alias(c) for c in sums] + [F.max(c).alias(c) for c in greatest]
+    return files.rollup(*keys).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("status") == "complete").alias("n_complete"), rate.alias("rate_imu"), *more)

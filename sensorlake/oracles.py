@@ -4,6 +4,31 @@ from __future__ import annotations
 
 TURN, COUNTER, TICKS, JUMP, ROWS, CARRY, DEVIATION = 4294967296, 256, 15625, 2147483648, 8, 3, 144000 * 15625
 
+
+def fitted(name: str, source: str, keys: str) -> str:
+    """Pairs of ``source`` that are used, and the clock fits per ``keys``: CTEs <name>pair1, <name>pairs, <name>fits0 and <name>fits."""
+    of = lambda alias: ", ".join(f"{alias}.{k}" for k in keys.split(", "))
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    stray = lambda c: f"3 * power(4 * a.{c}::HUGEINT - sum(b.{c}::HUGEINT), 2)::HUGEINT > 4 * (4 * sum(b.{c}::HUGEINT * b.{c}) - sum(b.{c}::HUGEINT) * sum(b.{c}::HUGEINT))"
+    x, y = "(micros - x0)::DOUBLE", "(utc_second - y0)::DOUBLE"
+    return f"""{name}pair1 AS (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY "offset") AS at, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
+{name}stray AS (
+  SELECT {of("a")}, a."offset", a.micros, a.utc_second, a.n, a.n >= 5 AND coalesce({stray("micros")} OR {stray("utc_second")}, false) AS stray
+  FROM {name}pair1 a LEFT JOIN {name}pair1 b ON {same} AND a.at <> b.at
+    AND b.at BETWEEN CASE WHEN a.at <= 2 THEN 1 WHEN a.at > a.n - 2 THEN a.n - 4 ELSE a.at - 2 END AND CASE WHEN a.at <= 2 THEN 5 WHEN a.at > a.n - 2 THEN a.n ELSE a.at + 2 END
+  GROUP BY {of("a")}, a."offset", a.micros, a.utc_second, a.n),
+{name}pairs AS (
+  SELECT {keys}, "offset", micros, utc_second, n < 7 OR kept < 2 OR NOT stray AS used
+  FROM (SELECT *, count(*) FILTER (NOT stray) OVER (PARTITION BY {keys}) AS kept FROM {name}stray)),
+{name}fits0 AS (
+  SELECT {keys}, count(*) AS n_pairs, count(*) FILTER (used) AS n_pairs_used, min(micros) AS x0, min(utc_second) AS y0 FROM {name}pairs GROUP BY {keys}),
+{name}fits AS (
+  SELECT {of("a")}, a.n_pairs, a.n_pairs_used, regr_slope({y}, {x}) AS slope,
+         any_value(y0) + regr_intercept({y}, {x}) - regr_slope({y}, {x}) * any_value(x0) AS intercept, regr_r2({y}, {x}) AS r_squared
+  FROM {name}fits0 a JOIN {name}pairs b ON {same} WHERE used AND n_pairs >= 2 GROUP BY {of("a")}, a.n_pairs, a.n_pairs_used HAVING max(utc_second) > min(utc_second) AND max(micros) > min(micros))"""
+
+
 BASE = f"""
 WITH RECURSIVE log AS (
   SELECT user_id AS file_id, epoch_us(ts) AS "offset", CASE event_type WHEN 'error' THEN 'PPS' WHEN 'signup' THEN 'GNSS' ELSE 'IMU' END AS kind,
@@ -69,24 +94,17 @@ pair0 AS (
     SELECT p.file_id, p."offset", p.m AS micros, round_even(g.posix_timestamp + g.microseconds / 1e6 + (p.m - g.m) / {TICKS}, 0)::BIGINT AS utc_second,
            row_number() OVER (PARTITION BY p.file_id, p."offset" ORDER BY abs(g.m - p.m), g.m, g."offset") AS best
     FROM whole p JOIN whole g ON g.kind = 'GNSS' AND p.file_id = g.file_id WHERE p.kind = 'PPS') WHERE best = 1),
-pair1 AS (
-  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY "offset") AS at, count(*) OVER (PARTITION BY file_id) AS n FROM pair0),
-pairs AS (
-  SELECT file_id, "offset", micros, utc_second, n < 7 OR kept < 2 OR NOT stray AS used
-  FROM (SELECT *, count(*) FILTER (NOT stray) OVER (PARTITION BY file_id) AS kept
-        FROM (SELECT a.file_id, a."offset", a.micros, a.utc_second, a.n,
-                     bool_or(a.n >= 5) AND (3 * power(4 * a.micros::HUGEINT - sum(b.micros::HUGEINT), 2)::HUGEINT > 4 * (4 * sum(b.micros::HUGEINT * b.micros) - sum(b.micros::HUGEINT) * sum(b.micros::HUGEINT))
-                     OR 3 * power(4 * a.utc_second::HUGEINT - sum(b.utc_second::HUGEINT), 2)::HUGEINT > 4 * (4 * sum(b.utc_second::HUGEINT * b.utc_second) - sum(b.utc_second::HUGEINT) * sum(b.utc_second::HUGEINT))) AS stray
-              FROM pair1 a JOIN pair1 b ON a.file_id = b.file_id AND a.at <> b.at
-                AND b.at BETWEEN CASE WHEN a.at <= 2 THEN 1 WHEN a.at > a.n - 2 THEN a.n - 4 ELSE a.at - 2 END AND CASE WHEN a.at <= 2 THEN 5 WHEN a.at > a.n - 2 THEN a.n ELSE a.at + 2 END
-              GROUP BY a.file_id, a."offset", a.micros, a.utc_second, a.n))),
-fits0 AS (
-  SELECT file_id, count(*) AS n_pairs, count(*) FILTER (used) AS n_pairs_used, min(micros) AS x0, min(utc_second) AS y0 FROM pairs GROUP BY file_id),
-fits AS (
-  SELECT f.file_id, f.n_pairs, f.n_pairs_used, regr_slope((utc_second - y0)::DOUBLE, (micros - x0)::DOUBLE) AS slope,
-         any_value(y0) + regr_intercept((utc_second - y0)::DOUBLE, (micros - x0)::DOUBLE) - regr_slope((utc_second - y0)::DOUBLE, (micros - x0)::DOUBLE) * any_value(x0) AS intercept,
-         regr_r2((utc_second - y0)::DOUBLE, (micros - x0)::DOUBLE) AS r_squared
-  FROM fits0 f JOIN pairs p ON f.file_id = p.file_id WHERE used GROUP BY f.file_id, f.n_pairs, f.n_pairs_used HAVING max(utc_second) > min(utc_second)),
+{fitted("", "pair0", "file_id")},
+spair0 AS (
+  SELECT file_id, segment, "offset", micros, round_even(gnss_utc + (micros - gnss_micros) / {TICKS}, 0)::BIGINT AS utc_second FROM near WHERE gnss_micros IS NOT NULL),
+{fitted("s", "spair0", "file_id, segment")},
+sgrade AS (
+  SELECT file_id, segment, count(*) FILTER (kind = 'PPS') AS n_pps, count(*) FILTER (kind = 'GNSS') AS n_gnss, count(*) FILTER (kind = 'IMU') AS n_imu,
+         coalesce(bool_and(ok) AND any_value(slope) IS NOT NULL AND any_value(r_squared) >= 0.99 AND coalesce(max(abs(utc - round_even(utc, 0))) FILTER (kind = 'PPS'), 0) <= 0.2, false) AS valid
+  FROM (SELECT u.file_id, u.segment, u.kind, u.ok, f.slope, f.r_squared, f.slope * u.micros_reading_unwrapped + f.intercept AS utc
+        FROM unw u LEFT JOIN sfits f ON u.file_id = f.file_id AND u.segment = f.segment) GROUP BY file_id, segment),
+skeep AS (
+  SELECT *, NOT (max(n_gnss) OVER w > 0 AND count(*) OVER w > 1 AND (n_pps < 2 OR n_gnss < 1 OR NOT valid)) AS keep FROM sgrade WINDOW w AS (PARTITION BY file_id)),
 fake AS (
   SELECT file_id, segment, count(*) FILTER (kind = 'PPS') AS n_pps, count(*) FILTER (kind = 'GNSS') AS n_gnss, count(*) FILTER (kind = 'IMU') AS n_imu,
          sum(acc_x)::BIGINT AS a, sum(counter)::BIGINT AS c FROM seg GROUP BY file_id, segment),
@@ -223,6 +241,16 @@ FINAL["quality_report"] = f"""SELECT s.file_id, n_pps, n_gnss, n_imu, duration_s
         LEFT JOIN (SELECT file_id, mean_dt_raw_ms FROM ({FINAL["dt_stats"]}) WHERE kind = 'IMU') d ON s.file_id = d.file_id
         LEFT JOIN (SELECT file_id, count(*) AS n_gaps, sum(missed)::BIGINT AS missed FROM ({FINAL["counter_gaps"]}) GROUP BY file_id) g ON s.file_id = g.file_id"""
 
+FINAL["synchronised"] = """SELECT file_id, segment, (count(*) OVER (PARTITION BY file_id ORDER BY segment) - 1)::INTEGER AS segment_out, n_pps, n_gnss, n_imu FROM skeep WHERE keep"""
+FINAL["fleet_report"] = f"""SELECT coalesce(day, 'all') AS day, count(*) AS n_files, sum(n_pps)::BIGINT AS n_pps, sum(n_gnss)::BIGINT AS n_gnss, sum(n_imu)::BIGINT AS n_imu, count(*) FILTER (status = 'complete') AS n_complete,
+        round(sum(duration_s), 3) AS duration_s, round(sum(n_imu) FILTER (duration_s > 0) / sum(duration_s) FILTER (duration_s > 0) * 1e6, 3) AS rate_imu_uhz, sum(n_gaps)::BIGINT AS n_gaps, sum(missed)::BIGINT AS missed, max(max_mismatch) AS max_mismatch, sum(n_valid)::BIGINT AS n_valid
+        FROM (SELECT strftime(make_timestamp(d.start), '%Y-%m-%d') AS day, q.*, a.status, m.max_mismatch, v.n_valid FROM ({FINAL["quality_report"]}) q
+              JOIN (SELECT file_id, min("offset") AS start FROM log GROUP BY file_id) d ON q.file_id = d.file_id
+              JOIN (SELECT file_id, status FROM ({FINAL["file_audit"]})) a ON q.file_id = a.file_id
+              LEFT JOIN (SELECT file_id, max_mismatch FROM ({FINAL["pulse_mismatch"]})) m ON q.file_id = m.file_id
+              LEFT JOIN (SELECT file_id, sum(n_valid) AS n_valid FROM ({FINAL["raw_vs_clean_range"]}) GROUP BY file_id) v ON q.file_id = v.file_id)
+        GROUP BY ROLLUP (day)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: f"{BASE}\n{sql}" for name, sql in FINAL.items()}

@@ -31,7 +31,7 @@ def on_log(f):
         return f(sensor_log(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
     FOUND[f.__name__] = query
-    return f
+    return f  # other queries build on it
 
 
 def r6(c, name: str | None = None):
@@ -466,6 +466,18 @@ def quality_report(log):
     return report(log)
 
 
+@on_log
+def fleet_report(log):
+    """The reports of all files with their audit, mismatch and clean records, rolled up by the day of their start."""
+    starts = log.groupBy("file_id").agg(F.min("offset").alias("start"))
+    day = F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.expr("start div 1000000").cast("decimal(18,6)")), "yyyy-MM-dd")
+    clean = raw_vs_clean_range(log).groupBy("file_id").agg(F.sum("n_valid").alias("n_valid"))
+    files = report(log).join(starts.select("file_id", day.alias("day")), "file_id").join(file_audit(log).select("file_id", "status"), "file_id")
+    files = files.join(pulse_mismatch(log).select("file_id", "max_mismatch"), "file_id", "left").join(clean, "file_id", "left")
+    x = reports.fleet_rollup(files, ["day"], ["n_pps", "n_gnss", "n_imu", "duration_s", "n_gaps", "missed", "n_valid"], ["max_mismatch"])
+    return x.select(F.coalesce("day", F.lit("all")).alias("day"), "n_files", "n_pps", "n_gnss", "n_imu", "n_complete", F.round("duration_s", 3).alias("duration_s"), F.round(F.col("rate_imu") * 1e6, 3).alias("rate_imu_uhz"), "n_gaps", "missed", "max_mismatch", "n_valid")
+
+
 @on_log
 def synchronised(log):
     """The whole run: how many records of each kind every kept segment has, and its place."""

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. A temporary one stands in only where all executors are in this process
+    (a local master, as in tests); a cluster without the setting is an error, as its machines share no folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sensorlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

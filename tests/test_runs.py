@@ -88,6 +88,20 @@ def test_live_rates_and_alarm(spark, tmp_path):
     assert [r.in_a_row for r in got] == [1, 2, 3, 4, 5, 6] and [r.alarm for r in got] == [False, False, True, True, True, True]
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, other: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    from sensorlake.shared import shared_dir
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 SF = "/root/testdata/sf0.001"
 
 
