@@ -9,15 +9,15 @@ from ..shared import store
 
 #: Labelled documents that a classifier is fitted on, at most; chosen by the hash of their ids.
 SAMPLE = 16_000
-#: Hashes are counted by their upper 16 bits.
-SHIFT = 48
+#: Hashes are counted by their upper 12 bits.
+SHIFT = 52
 
 
 def least_hashed(ids: DataFrame, n: int, key: str | None = None) -> DataFrame:
     """Of the distinct doc_ids of ``ids`` (of each ``key``, of which there are few) the ``n`` whose hashes are least.
 
-    A histogram of hash prefixes, of 65,536 rows a key at most, tells up to which prefix ids are needed. Only those are
-    ranked: n, and a 65,536th part of the key's ids, however many rows a key has."""
+    A histogram of hash prefixes, of 4096 rows a key at most, tells up to which prefix ids are needed. Only those are
+    ranked: n, and a 4096th part of the key's ids."""
     x = ids.withColumns({"__hash": F.xxhash64("doc_id"), "__key": F.lit(0) if key is None else F.col(key)})
     x = x.withColumn("__prefix", F.shiftright("__hash", SHIFT))
     before = Window.partitionBy("__key").orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
