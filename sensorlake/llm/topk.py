@@ -1,9 +1,11 @@
 """Exact top-k by inner product in three phases with a uniform threshold.
 
 The components of the vectors are cut into a few lists; a vector's score for a query is the sum of its partial scores
-in the lists. Phase 1 takes the best k of each list in each block of vectors; the k-th best total among what was seen
-is a safe cutoff. Phase 2 hands each query its cutoff: a vector that reaches it has at least ``cutoff / lists`` in one
-list, so only entries from that uniform threshold on are collected. Phase 3 resolves their totals exactly.
+in the lists. Phase 1 takes the best k of each list among the vectors of each block that lie in the direction of the
+query; the k-th best total among what was seen is a safe cutoff. Phase 2 hands each query its cutoff: a vector that
+reaches it has at least ``cutoff / lists`` in one list, so only entries from that uniform threshold on are collected.
+Phase 3 resolves their totals exactly. A block's vectors are in groups around pivots, and a group whose centre and radius
+show that none of its vectors can reach the cutoff is passed over.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of candidates and of a block of queries: 8 MB and 128 KB at 64 components of 16 bits.
 CANDIDATE_ROWS, QUERY_ROWS = 65_536, 1024
-BLOCK = "part long, dim int, kind string, ids binary, vectors binary"
-CHUNK = 8_000_000
+BLOCK = "part long, dim int, kind string, ids binary, vectors binary, cuts binary"
+#: Vectors of a group on average; scores that are held at a time.
+GROUP, CHUNK = 512, 8_000_000
+#: Vectors that phase 1 looks at for a query in each block: this share of them, and some times k.
+SHARE, TIMES = 16, 4
 
 
 def vectors(table: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -31,6 +36,27 @@ def vectors(table: DataFrame, id_col: str, vector_col: str, scale: float) -> Dat
     return usable.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: e * F.lit(scale)).alias("v"))
 
 
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows in which those nearest to the same pivot, out of rows at even distances, lie together; and
+    where each such group begins, with the number of rows at the end."""
+    n = len(values)
+    many = n // GROUP
+    if many < 2 or not np.isfinite(values).all() or np.abs(values).max() > 1e100:
+        return np.arange(n), np.array([0, n])
+    pivots = values[np.linspace(0, n - 1, many).astype(int)].astype(float)
+    half = (pivots**2).sum(axis=1) / 2
+    near = np.concatenate([(values[k : k + 8192].astype(float) @ pivots.T - half).argmax(axis=1) for k in range(0, n, 8192)])
+    order = np.argsort(near, kind="stable")
+    return order, np.append(np.flatnonzero(np.append(True, np.diff(near[order]) != 0)), n)
+
+
+def packed(ids: np.ndarray, values: np.ndarray) -> dict:
+    """A block: its vectors in groups, with 16 bits a component where that holds them."""
+    order, cuts = grouped(values)
+    kind = "<i2" if not values.size or np.abs(values).max() < 32768 else "<f8"
+    return {"kind": kind, "ids": ids[order].astype("<i8").tobytes(), "vectors": values[order].astype(kind).tobytes(), "cuts": cuts.astype("<i8").tobytes()}
+
+
 def blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
     """Rows dealt evenly into ``n`` parts, each packed into blocks of at most ``size`` vectors of one length."""
 
@@ -40,11 +66,8 @@ def blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
         def out(dim: int) -> pa.RecordBatch:
             ids = np.concatenate([x[0] for x in held[dim]])
             values = np.concatenate([x[1] for x in held[dim]])
-            order = np.argsort(ids, kind="stable")
-            ids, values = ids[order], values[order]
-            kind = "<i2" if not values.size or np.abs(values).max() < 32768 else "<f8"
             held[dim] = []
-            return pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "dim": dim, "kind": kind, "ids": ids.astype("<i8").tobytes(), "vectors": values.astype(kind).tobytes()}], SCHEMA)
+            return pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "dim": dim} | packed(ids, values)], SCHEMA)
 
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -66,7 +89,7 @@ def blocks(rows: DataFrame, size: int, n: int) -> DataFrame:
     return rows.repartition(n).mapInArrow(run, BLOCK)
 
 
-SCHEMA = pa.schema([("part", pa.int64()), ("dim", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("vectors", pa.binary())])
+SCHEMA = pa.schema([("part", pa.int64()), ("dim", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("vectors", pa.binary()), ("cuts", pa.binary())])
 
 
 def unpack(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +110,31 @@ def partial_scores(q: np.ndarray, c: np.ndarray, lists: int) -> list[np.ndarray]
 
 
 def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(query ids, query vectors, candidate ids, candidate vectors, row) in pieces whose scores fit in memory."""
+    """(query ids, query vectors, candidate ids, candidate vectors, where their groups begin, row) of each cell."""
     for batch in batches:
         for row in batch.to_pylist():
-            (qi, q), (ci, c) = unpack(row, "q"), unpack(row, "c")
-            step = max(1, CHUNK // max(1, len(qi)))
-            for k in range(0, len(ci), step):
-                yield qi, q, ci[k : k + step], c[k : k + step], row
+            yield *unpack(row, "q"), *unpack(row, "c"), np.frombuffer(row["c_cuts"], "<i8"), row
+
+
+def portions(cuts: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, slice]]:
+    """(queries, candidates) of each group that some query wants, in pieces whose scores fit in memory.
+    ``wanted``: queries x groups."""
+    for g, (start, end) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        own = np.flatnonzero(wanted[:, g])
+        step = max(1, CHUNK // max(1, len(own)))
+        for k in range(start, end if len(own) else start, step):
+            yield own, slice(k, min(end, k + step))
+
+
+def centres(c: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of each group, and the greatest distance of its vectors from that."""
+    mean, radius = np.zeros((len(cuts) - 1, c.shape[1])), np.zeros(len(cuts) - 1)
+    with np.errstate(all="ignore"):
+        for g, (start, end) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            own = c[start:end].astype(float)
+            mean[g] = own.mean(axis=0)
+            radius[g] = np.sqrt(((own - mean[g]) ** 2).sum(axis=1).max())
+    return mean, radius
 
 
 def long(x) -> int:
@@ -101,50 +142,66 @@ def long(x) -> int:
 
 
 def local_lists(k: int, lists: int):
-    """Phase 1: totals of the vectors that are among the best k of a list, the best k of them per cell."""
+    """Phase 1: for each query and block, of the groups whose centres score best the vectors that are among the best k
+    of a list; totals of these, the best k of them per cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qi, q, ci, c, row in cells(batches):
-            parts = partial_scores(q, c, lists)
-            total = sum(parts[1:], parts[0])
-            scores, queries = [], []
-            tops = [np.argpartition(-p, k - 1, axis=1)[:, :k] if p.shape[1] > k else np.broadcast_to(np.arange(p.shape[1]), p.shape) for p in parts]
-            seen = np.concatenate(tops, axis=1)
-            for n, own in enumerate(qi.tolist()):
-                at = np.unique(seen[n])
-                best = np.sort(total[n, at[ci[at] != own]])[::-1][:k]
-                queries += [own] * len(best)
-                scores += [long(s) for s in best]
-            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(np.full(len(queries), row["q_part"]), pa.int64()), pa.array(scores, pa.int64())], ["query_id", "q_part", "score"])
+        for qi, q, ci, c, cuts, row in cells(batches):
+            with np.errstate(all="ignore"):
+                order = np.argsort(-np.nan_to_num(q.astype(float) @ centres(c, cuts)[0].T), axis=1, kind="stable")
+            sizes = np.diff(cuts)[order]
+            near = np.cumsum(sizes, axis=1) - sizes < max(TIMES * (k + 1), len(ci) // SHARE)
+            wanted = np.zeros(order.shape, bool)
+            np.put_along_axis(wanted, order, near, axis=1)
+            found: list[list] = [[] for _ in qi]
+            for own, at in portions(cuts, wanted):
+                parts = partial_scores(q[own], c[at], lists)
+                tops = [np.argpartition(-p, k - 1, axis=1)[:, :k] if p.shape[1] > k else np.broadcast_to(np.arange(p.shape[1]), p.shape) for p in parts]
+                seen = np.concatenate(tops, axis=1)
+                for n, j in enumerate(own.tolist()):
+                    some = np.unique(seen[n])
+                    some = some[ci[at][some] != qi[j]]
+                    found[j] += [long(x) for x in sum((p[n, some] for p in parts[1:]), parts[0][n, some])]
+            best = [sorted(x, reverse=True)[:k] for x in found]
+            queries = np.repeat(qi, [len(x) for x in best])
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(np.full(len(queries), row["q_part"]), pa.int64()), pa.array([x for y in best for x in y], pa.int64())], ["query_id", "q_part", "score"])
 
     return run
 
 
 def sufficient(k: int, lists: int):
-    """Phases 2 and 3: entries from the uniform threshold on, their exact totals, and of those that reach the cutoff
-    the best k per cell."""
+    """Phases 2 and 3: of the groups that may hold a vector from the cutoff on, the entries from the uniform threshold
+    on, their exact totals, and of those that reach the cutoff the best k per cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qi, q, ci, c, row in cells(batches):
+        for qi, q, ci, c, cuts, row in cells(batches):
             known = {x["query_id"]: x["cutoff"] for x in row["cutoffs"] or []}
-            cutoff = np.array([known.get(i, -np.inf) for i in qi.tolist()])
-            parts = partial_scores(q, c, lists)
-            threshold = np.floor(cutoff / len(parts)) - np.where(np.abs(cutoff) > 2**50, np.abs(cutoff) * 2**-50, 0)
-            collected = np.zeros(parts[0].shape, bool)
-            for p in parts:
-                collected |= p >= threshold[:, None]
-            columns: list[list] = [[], [], []]
-            for n, own in enumerate(qi.tolist()):
-                at = np.flatnonzero(collected[n])
-                at = at[ci[at] != own]
-                total = sum((p[n, at] for p in parts[1:]), parts[0][n, at])
-                fits = total >= known[own] if own in known else np.ones(len(at), bool)
-                at, total = at[fits.astype(bool)], total[fits.astype(bool)]
-                best = np.lexsort((ci[at], -total))[:k]
-                columns[0] += [own] * len(best)
-                columns[1] += ci[at[best]].tolist()
-                columns[2] += [long(s) for s in total[best]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "score"])
+            cutoff = np.array([known.get(i, -np.inf) for i in qi.tolist()], float)
+            mean, radius = centres(c, cuts)
+            with np.errstate(all="ignore"):
+                length = np.sqrt((q.astype(float) ** 2).sum(axis=1))[:, None]
+                reach = length * (radius + 1e-9 * (radius + np.sqrt((mean**2).sum(axis=1)))) + np.abs(cutoff)[:, None] * 1e-12
+                # also true where a bound isn't a number
+                wanted = ~(q.astype(float) @ mean.T + reach + 1e-6 < cutoff[:, None])
+            found: list[list] = [[] for _ in qi]
+            for own, at in portions(cuts, wanted):
+                parts = partial_scores(q[own], c[at], lists)
+                cut = cutoff[own]
+                threshold = np.floor(cut / len(parts)) - np.where(np.abs(cut) > 2**50, np.abs(cut) * 2**-50, 0)
+                collected = np.zeros(parts[0].shape, bool)
+                for p in parts:
+                    collected |= p >= threshold[:, None]
+                for n, j in enumerate(own.tolist()):
+                    some = np.flatnonzero(collected[n])
+                    some = some[ci[at][some] != qi[j]]
+                    total = sum((p[n, some] for p in parts[1:]), parts[0][n, some])
+                    fits = total >= known[int(qi[j])] if int(qi[j]) in known else np.ones(len(some), bool)
+                    some, total = some[fits.astype(bool)], total[fits.astype(bool)]
+                    first = np.lexsort((ci[at][some], -total))[:k]
+                    found[j] += [(-int(t), v) for t, v in zip(total[first].tolist(), ci[at][some[first]].tolist())]
+            best = [sorted(x)[:k] for x in found]
+            queries = np.repeat(qi, [len(x) for x in best])
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array([v for x in best for _, v in x], pa.int64()), pa.array([long(-t) for x in best for t, _ in x], pa.int64())], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -167,7 +224,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 20, lists: int = 4, sca
     asked = vectors(queries, id_col, vector_col, scale).groupBy("id").agg(F.max("v").alias("v"))
     n_rows, n_asked, cores = rows.count(), asked.count(), table.sparkSession.sparkContext.defaultParallelism
     n = max(1, -(-n_rows // CANDIDATE_ROWS), min(2 * cores, -(-n_rows // 2048)))
-    candidate = blocks(rows, CANDIDATE_ROWS, n).select("part", "dim", *[F.col(c).alias(f"c_{c}") for c in ("kind", "ids", "vectors")])
+    candidate = blocks(rows, CANDIDATE_ROWS, n).select("part", "dim", *[F.col(c).alias(f"c_{c}") for c in ("kind", "ids", "vectors", "cuts")])
     asked_blocks = blocks(asked, QUERY_ROWS, max(1, -(-n_asked // QUERY_ROWS))).select(F.col("part").alias("q_part"), "dim", *[F.col(c).alias(f"q_{c}") for c in ("kind", "ids", "vectors")])
 
     def grid(asked_blocks: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import random
 
 from pyspark.sql import functions as F
@@ -53,3 +55,32 @@ def test_fewer_than_k_and_none(spark):
 def test_sums_beyond_double_precision_are_exact(spark):
     rows = [(0, [2.0**25, 1.0, 0.0], 0), (1, [2.0**24, 1.0, 0.0], 0), (2, [2.0**24, 2.0, 0.0], 0), (3, [2.0**24, 1.5, 0.0], 0)]
     assert run(spark, rows) == brute(rows, rows[:1], 5)
+
+
+def test_clustered_vectors_are_passed_over(monkeypatch):
+    """Phases 1 and 3 in this process: the right rows, from under half of all pairs."""
+    rng = np.random.default_rng(6)
+    heart = rng.normal(0, 40, (24, 32))
+    c = np.floor(heart[rng.integers(0, 24, 6000)] + rng.normal(0, 3, (6000, 32)))
+    ids, q = np.arange(6000) * 7, c[::60]
+    qi = ids[::60]
+    done = []
+    real = topk.partial_scores
+    monkeypatch.setattr(topk, "GROUP", 100)
+    monkeypatch.setattr(topk, "partial_scores", lambda q, c, n: done.append(len(q) * len(c)) or real(q, c, n))
+    row = {"dim": 32, "q_part": 0} | {f"q_{k}": v for k, v in topk.packed(qi, q).items()} | {f"c_{k}": v for k, v in topk.packed(ids, c).items()}
+    local = [x for b in topk.local_lists(20, 4)(iter([pa.RecordBatch.from_pylist([row])])) for x in b.to_pylist()]
+    scores = {}
+    for x in local:
+        scores.setdefault(x["query_id"], []).append(x["score"])
+    cutoffs = [{"query_id": i, "cutoff": min(s)} for i, s in scores.items() if len(s) == 20]
+    assert len(cutoffs) == len(qi)
+    got = {}
+    for b in topk.sufficient(20, 4)(iter([pa.RecordBatch.from_pylist([row | {"cutoffs": cutoffs}])])):
+        for x in b.to_pylist():
+            got.setdefault(x["query_id"], []).append((-x["score"], x["vec_id"]))
+    exact = (q @ c.T).astype(int)
+    for n, i in enumerate(qi.tolist()):
+        want = sorted((-int(s), int(v)) for s, v in zip(exact[n], ids) if v != i)[:20]
+        assert sorted(got[i]) == want
+    assert sum(done) < 0.5 * len(qi) * len(ids), sum(done) / (len(qi) * len(ids))
