@@ -117,8 +117,12 @@ filtered AS (
   SELECT r.*, skip_reason IS NULL AS keep, CASE WHEN skip_reason IS NULL THEN (SELECT count(*) FROM reasons q WHERE q.file_id = r.file_id AND q.segment < r.segment AND q.skip_reason IS NULL) END AS segment_out FROM reasons r),
 odd AS (
   SELECT file_id, "offset", CASE WHEN counter % 11 = 0 THEN 'nan'::DOUBLE ELSE value END AS v, row_number() OVER (PARTITION BY file_id ORDER BY "offset") AS at, count(*) OVER (PARTITION BY file_id) AS n FROM log WHERE kind = 'IMU'),
+heard AS (
+  SELECT file_id AS device, kind, "offset" // 86400000000 * 86400000000 AS window_start, count(*) AS n FROM log GROUP BY ALL),
 rate AS (
-  SELECT file_id AS device, kind, "offset" // 86400000000 * 86400000000 AS window_start, count(*) AS n FROM log GROUP BY ALL)
+  SELECT w.device, w.kind, w.window_start, coalesce(h.n, 0) AS n
+  FROM (SELECT device, k.kind, unnest(range(min(window_start), max(window_start) + 1, 86400000000)) AS window_start FROM heard, (VALUES ('IMU'), ('GNSS'), ('PPS')) k(kind) GROUP BY device, k.kind) w
+  LEFT JOIN heard h ON w.device = h.device AND w.kind = h.kind AND w.window_start = h.window_start)
 """
 
 

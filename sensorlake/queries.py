@@ -419,8 +419,10 @@ def plain_mean(log):
 
 
 def rates(log: DataFrame) -> DataFrame:
+    """Every window of a device's time and every kind of sensor; a silent sensor's rate is 0."""
     x = log.withColumn("ts", F.timestamp_micros("offset")).withColumnRenamed("file_id", "device")
-    return windowed_rates(x, ["device", "kind"], window="1 day", seconds=86_400.0)
+    heard = windowed_rates(x, ["device", "kind"], window="1 day", seconds=86_400.0)
+    return with_silence(heard, kinds=["IMU", "GNSS", "PPS"], seconds=86_400.0)
 
 
 @on_log
@@ -437,8 +439,8 @@ def rate_alarm(log):
 
 @on_log
 def silence_alarm(log):
-    """The rate alarm over every window of a device's time, silent ones included, and every kind of sensor."""
-    x = with_silence(rates(log), kinds=["IMU", "GNSS", "PPS"], seconds=86_400.0).withColumn("rate_hz", F.col("n").cast("double"))
+    """The rate alarm, compared with SQL that fills the silent windows by itself."""
+    x = rates(log).withColumn("rate_hz", F.col("n").cast("double"))
     y = frequency_alarm(x, ["device", "kind"], F.lit(2.0), F.lit(0.4), F.lit(3))
     return y.select("device", "kind", F.unix_micros("window_start").alias("window_start"), "n", F.col("in_a_row").cast("long").alias("in_a_row"), "alarm")
 
