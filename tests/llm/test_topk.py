@@ -1,7 +1,7 @@
-import numpy as np
-import pyarrow as pa
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from sensorlake.llm import topk
 
