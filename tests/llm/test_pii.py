@@ -77,11 +77,13 @@ def test_nulls_empty_repeated_and_clashing_columns(spark):
 
 
 def test_query_digests(spark, tmp_path):
-    spark.createDataFrame([(1, "ip 10.0.0.1, mail a@b.co, id 1"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "ip 10.0.0.1, mail a@b.co, id 1"), (2, None), (3, 'secret token = "aaaabbbbccccdddd11112222"')], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in pii.query(spark, str(tmp_path)).collect()}
     assert got[1].spans == "ip:3:11,email:18:24"
     assert got[1].base_sha256 == hashlib.sha256(got[1].spans.encode()).hexdigest()
     assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 0, 0)
+    assert (got[3].n_spans, got[3].spans, got[3].base_sha256) == (1, "secret:16:40", hashlib.sha256(b"").hexdigest())
+    assert got[1].n_spans == 2 and got[2].n_spans == 0
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[2].spans == ""
 
 
