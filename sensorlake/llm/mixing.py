@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import store
+from ..shared import discard, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, LEVEL_BITS = 60, 12
 #: Threshold tables of more sources than this are joined by a shuffle, not broadcast.
 BROADCAST_SOURCES = 4096
+#: Copies of one row that are numbered at a time.
+COPIES = 65_536
 
 
 def word_count(text):
@@ -57,8 +59,10 @@ class Mix:
         nothing = F.lit(0).cast("long")
         self.bounds = store(bounds.select("source", "source_size", "target", "base", "rest", nothing.alias("prefix"), nothing.alias("unit"), nothing.alias("rows")), "mix-bounds")
         self.few = self.bounds.count() <= BROADCAST_SOURCES
-        while self.bits < HASH_BITS and not self._refine():
-            pass
+        single = False
+        while self.bits < HASH_BITS and not single:
+            single = self._refine()
+        self.ties = not single
 
     def _joined(self, rows: DataFrame, bounds: DataFrame) -> DataFrame:
         b = bounds.select(*[F.col(c).alias(f"__mix_{c}") for c in bounds.columns])
@@ -73,6 +77,7 @@ class Mix:
         running = histogram.withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
         crossed = self._joined(running, self.bounds).where(F.col("before") + F.col("words") > F.col("__mix_rest"))
         first = crossed.groupBy(F.col("source").alias("crossed")).agg(F.min(F.struct("bucket", "before", "words", "n")).alias("x"))
+        coarser = self.bounds
         self.bounds = store(
             # where no bucket crosses the budget, every document lies below the threshold
             self.bounds.join(first, F.col("source").eqNullSafe(F.col("crossed")) & F.col("x").isNotNull(), "left").select(
@@ -84,14 +89,38 @@ class Mix:
             ),
             "mix-bounds",
         )
+        discard(coarser)
         return (self.bounds.agg(F.max("rows")).first()[0] or 0) <= 1
 
     def copies(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with __mix_copies (and the bounds' columns, all prefixed)."""
+        """``rows`` with __mix_copies (and the bounds' columns, all prefixed), but for those that ``tied`` gives."""
         place = F.shiftright("hash", HASH_BITS - self.bits)
-        boundary = (place == F.col("__mix_prefix")) & (2 * F.col("__mix_rest") > F.col("__mix_unit"))
+        at_bound = place == F.col("__mix_prefix")
+        boundary = at_bound & (2 * F.col("__mix_rest") > F.col("__mix_unit"))
         once_more = ((place < F.col("__mix_prefix")) | boundary) & (F.col("__mix_base") < self.cap)
-        return self._joined(rows, self.bounds).withColumn("__mix_copies", F.col("__mix_base") + F.when(once_more, 1).otherwise(0))
+        found = self._joined(rows, self.bounds)
+        if self.ties:
+            found = found.where(~(at_bound & (F.col("__mix_rows") > 1)))
+        return found.withColumn("__mix_copies", F.col("__mix_base") + F.when(once_more, 1).otherwise(0))
+
+    def tied(self, rows: DataFrame, row: str) -> DataFrame:
+        """The rows of boundaries that hold repeated rows only, one for all that are equal in the column ``row``, with the
+        bounds' columns, their number __mix_n, and of how many of them one copy more is taken, __mix_more."""
+        at_bound = F.shiftright("hash", HASH_BITS - self.bits) == F.col("__mix_prefix")
+        found = self._joined(rows, self.bounds).where(at_bound & (F.col("__mix_rows") > 1))
+        kind = F.sha2(F.to_json(F.struct(row)), 256).alias("__mix_kind")
+        others = [F.first(c).alias(c) for c in found.columns if c != "source"]
+        kinds = found.groupBy("source", kind).agg(F.count(F.lit(1)).alias("__mix_n"), *others)
+        before = F.coalesce(F.sum("__mix_n").over(Window.partitionBy("source").orderBy("__mix_kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        wanted = F.when(F.col("__mix_base") < self.cap, F.ceil(F.col("__mix_rest") * F.col("__mix_rows") / F.col("__mix_unit") - 0.5)).otherwise(0)
+        return kinds.withColumn("__mix_more", F.greatest(F.lit(0), F.least(F.col("__mix_n"), wanted - before)))
+
+
+def times(rows: DataFrame, n) -> DataFrame:
+    """Each row ``n`` times, in blocks, so that no array of the numbers of all copies is made."""
+    blocks = rows.withColumn("__mix_n", n).where("__mix_n > 0").withColumn("__mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__mix_n") - 1) / COPIES))))
+    last = F.least(F.col("__mix_n"), (F.col("__mix_block") + 1) * COPIES)
+    return blocks.withColumn("__mix_copy", F.explode(F.sequence(F.col("__mix_block") * COPIES + 1, last)))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -106,25 +135,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     target, copies, taken, one row per input row.
 
     A null text has size 0; a null source is a source of its own and comes last. Documents of size 0 are copied with
-    the rest but take no words. Rows of equal id and text share a hash and are taken or left together, so a source
-    misses its target by half of its boundary document, or half of such a group of repeated rows. An empty table gives
-    an empty result. Documents are never sorted or collected: a histogram has at most 4096 rows per source, after
-    partial aggregation, however many rows a source holds.
+    the rest but take no words. Rows of equal id and text share a hash; where they are at the boundary, as many of them
+    as the target needs are taken, whichever, as they are equal: so a source misses its target by half of its boundary
+    document. An empty table gives an empty result. Documents are never sorted or collected: a histogram has at most
+    4096 rows per source, after partial aggregation, however many rows a source holds. Only the sources themselves, one
+    row each, go through one task, as their order gives their weights.
     """
     sized = _sized(docs)
-    out = Mix(sized.select("source", "size", "hash"), weights, share, cap).copies(sized)
-    return out.select("doc_id", "source", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_copies").alias("copies"), (F.col("__mix_copies") * F.col("size")).alias("taken"))
+    plan = Mix(sized.select("source", "size", "hash"), weights, share, cap)
+    wanted = ["doc_id", "source", "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_copies").alias("copies"), (F.col("__mix_copies") * F.col("size")).alias("taken")]
+    out = plan.copies(sized).select(*wanted)
+    if plan.ties:
+        tied = plan.tied(sized.withColumn("__mix_row", F.struct("doc_id", "size")), "__mix_row")
+        more = times(tied, F.col("__mix_more")).withColumn("__mix_copies", F.col("__mix_base") + 1)
+        fewer = times(tied, F.col("__mix_n") - F.col("__mix_more")).withColumn("__mix_copies", F.col("__mix_base"))
+        out = out.union(more.select(*wanted)).union(fewer.select(*wanted))
+    return out
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as often as ``mix`` says. Once the thresholds
-    are known, documents are filtered where they are read; texts are not shuffled."""
+    are known, documents are filtered where they are read; texts are not shuffled, but for repeated rows at a boundary.
+    Of those that differ in other columns only, the ones taken once more are chosen by a digest of the whole row.
+    Columns of any name are carried along."""
     plan = Mix(_sized(docs).select("source", "size", "hash"), weights, share, cap)
     key = selection_hash(F.col("doc_id"), F.col("text"))
     packed = docs.select("source", key.alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row"))
     chosen = plan.copies(packed).where(F.col("__mix_copies") > 0)
-    repeated = chosen.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))))
-    return repeated.select("__mix_row.*")
+    out = chosen.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select("__mix_row.*")
+    if plan.ties:
+        tied = plan.tied(packed, "__mix_row")
+        out = out.union(times(tied, F.col("__mix_base") * F.col("__mix_n") + F.col("__mix_more")).select("__mix_row.*"))
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -148,15 +190,16 @@ t AS (
   SELECT source, source_size, least(cap, coalesce(max(CASE WHEN lam_i <= cap / w THEN lam_i END) OVER () * w, cap)) AS target FROM l),
 b AS (
   SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS base FROM t),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h) AS place FROM d),
 u AS (
-  SELECT source, h, sum(size) AS unit, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place) AS upto FROM o),
 x AS (
-  SELECT u.source, u.h, b.source_size, b.target, b.base,
+  SELECT u.doc_id, u.size, b.source_size, b.target, b.base,
          CASE WHEN b.base >= 2 THEN 0
               WHEN upto <= target - base * source_size THEN 1
-              WHEN upto - unit > target - base * source_size THEN 0
-              WHEN 2 * (target - base * source_size - (upto - unit)) > unit THEN 1 ELSE 0 END AS extra
+              WHEN upto - size > target - base * source_size THEN 0
+              WHEN 2 * (target - base * source_size - (upto - size)) > size THEN 1 ELSE 0 END AS extra
   FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source)
-SELECT d.doc_id, d.size, x.source_size, round(x.target, 4) AS target, ((x.base + x.extra) * d.size)::BIGINT AS taken
-FROM d JOIN x ON d.h = x.h AND d.source IS NOT DISTINCT FROM x.source
+SELECT doc_id, size, source_size, round(target, 4) AS target, ((base + extra) * size)::BIGINT AS taken FROM x
 """

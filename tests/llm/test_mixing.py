@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 from sensorlake.llm import mixing
 
@@ -79,7 +81,41 @@ def test_cases(spark):
     assert mixing.mix(frame.where("doc_id = 2")).first().taken == 0
 
 
+@pytest.mark.parametrize("block", [3, 65_536])
+def test_repeated_rows_at_the_boundary(spark, monkeypatch, block):
+    """A third of all rows is one row; others differ from each other in further columns only."""
+    monkeypatch.setattr(mixing, "COPIES", block)
+    rows = [(1, "one two three", "a", k % 2) for k in range(40)] + [(2, "four five", "b", k) for k in range(50)]
+    rows += [(k, "w " * (k % 7), "c", k) for k in range(10, 50)] + [(None, "six", None, 0)] * 30
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, __mix_rows int")
+    sizes = {s: sum(len(t.split()) for _, t, x, _ in rows if x == s) for s in ("a", "b", "c", None)}
+    want = targets(sizes)
+    got = mixing.mix(frame.repartition(4)).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((d, s, len(t.split())) for d, t, s, _ in rows)
+    for s, largest in (("a", 3), ("b", 2), ("c", 6), (None, 1)):
+        assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= largest / 2 + 1e-6
+    assert all(r.taken <= 2 * r.size for r in got)
+    key = lambda r: (r.doc_id or 0, r.source or "", r.taken)
+    assert sorted(map(key, mixing.mix(frame.repartition(2)).collect())) == sorted(map(key, got))
+    runs = [Counter(tuple(r) for r in mixing.mixed(frame.repartition(n)).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1] and runs[0].keys() <= set(rows)
+    copies = Counter()
+    for r in got:
+        copies[r.doc_id, r.source] += r.copies
+    held = Counter()
+    for (d, _, s, _), n in runs[0].items():
+        held[d, s] += n
+    assert held == +copies
+    for (d, t, s, x), n in runs[0].items():
+        assert n <= 2 * rows.count((d, t, s, x))
+    con = duckdb.connect()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source", "x"]).astype({"doc_id": "Int64"})  # noqa: F841
+    sql = con.execute(mixing.SQL).fetchall()
+    assert sorted((r.doc_id or 0, r.size, r.taken) for r in got) == sorted((r[0] or 0, r[1], r[4]) for r in sql)
+
+
 def test_no_python_in_the_plan(spark):
     frame = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, source string")
+    frame = frame.union(frame).union(frame)
     plan = mixing.mix(frame)._jdf.queryExecution().executedPlan().toString() + mixing.mixed(frame.select("doc_id", "text", "source"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
