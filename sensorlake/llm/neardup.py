@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import store
+from ..shared import discard, store
 from .common import pieces, slices
 from .dartminhash import U, mix, signatures
 
@@ -177,12 +177,12 @@ def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(node, label): the least node of each component. ``labels`` are those of a part of the links, if known.
 
     Every node takes the least label among its neighbours', then that label's own label, until nothing changes; the
-    tables hold linked nodes only and are written to the shared folder in each step."""
+    tables hold linked nodes only and are written to the shared folder in each step, which deletes those of the one before."""
     both = store(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")), "dup-links")
     start = both.select("node").distinct().withColumn("label", F.col("node"))
     if labels is not None:
         start = start.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    now = store(start, "dup-labels")
+    now = last = store(start, "dup-labels")
     while True:
         near = both.join(now.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
         pulled = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -190,9 +190,11 @@ def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
         hooks = pulled.where("label < old").groupBy(F.col("old").alias("root")).agg(F.min("label").alias("lower"))
         after = pulled.join(hooks, F.col("label") == F.col("root"), "left").select("node", "old", F.coalesce("lower", "label").alias("label"))
         after = store(after, "dup-labels")
+        discard(last)
         changed = after.where("label <> old").limit(1).count()
-        now = after.select("node", "label")
+        now, last = after.select("node", "label"), after
         if not changed:
+            discard(both)
             return now
 
 
@@ -341,7 +343,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, without near duplicates: of each class the row with the least
     doc_id stays (of the least text hash among repeated ids; of rows equal in both, one). Documents without a word all
-    stay."""
+    stay. Columns of any name are carried along."""
     signed, nodes = classified(docs)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("x")
     kept = nodes.groupBy("label").agg(least).select("x.doc_id", "x.text_hash")
@@ -350,12 +352,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = kept.union(wordless).select(F.col("doc_id").alias("__dup_id"), F.col("text_hash").alias("__dup_hash"))
     kept = kept.join(rows, F.col("__dup_id").eqNullSafe(F.col("doc_id")) & (F.col("__dup_hash") == F.col("text_hash"))).select("__dup_id", "__dup_hash", (F.col("wordless") | (F.col("n") == 1)).alias("__dup_all"))
     kept = store(kept, "dup-kept")
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__dup_id")) & (F.xxhash64("text") == F.col("__dup_hash"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.join(kept.where("__dup_all"), own).select(*names)
+    own = F.col("own_id").eqNullSafe(F.col("__dup_id")) & (F.col("own_hash") == F.col("__dup_hash"))
+    # all columns of a row in one, so that their names can't clash with others
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.join(kept.where("__dup_all"), own).select("row.*")
     if kept.where("not __dup_all").limit(1).count():
-        repeated = docs.join(kept.where("not __dup_all"), own).dropDuplicates(["__dup_id", "__dup_hash"]).select(*names)
-        out = out.union(repeated)
+        out = out.union(rows.join(kept.where("not __dup_all"), own).dropDuplicates(["__dup_id", "__dup_hash"]).select("row.*"))
     return out
 
 

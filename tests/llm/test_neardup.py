@@ -157,4 +157,7 @@ def test_cases(spark):
     assert kept.columns == docs.columns
     ids = sorted(r.doc_id or 0 for r in kept.collect())
     assert ids == [0, 1, 2, 3, 4, 5, 7]
+    clash = docs.selectExpr("*", "doc_id as own_id", "1 as __dup_id", "2 as row", "3 as label", "true as __dup_all")
+    kept = neardup.one_of_each(clash)
+    assert kept.columns == clash.columns and sorted(r.doc_id or 0 for r in kept.collect()) == ids
     assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.one_of_each(docs.limit(0)).count() == 0
