@@ -9,6 +9,9 @@ meets most others in its buckets: of a group of copies that is their original, o
 becomes one component. Buckets that then still hold several components form groups, through the nodes that they share. A
 group has one centre; members of different components can be similar only if they share enough of what the centre
 lacks, and they are looked for by the rarest shingles of that. So the rows grow with the members, not with their pairs.
+
+A bucket, group or label may hold a large part of all rows. Spark splits such a key in a join only if both sides come
+straight from a shuffle, which a side that has just been aggregated by that key doesn't; so these are stored first.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ WORDS = 5
 BANDS, ROWS = 38, 8
 #: Similarity from which documents are linked, as a fraction.
 LINK = (4, 5)
+#: Parts into which the rows of a label are dealt for a join.
+PARTS = 8
 #: Bytes of texts in a slice (one text at least), and characters that are looked at at a time.
 SLICE, PIECE = 400_000, 250_000
 SIGNED = "doc_id long, text_hash long, node long, bands array<long>, size long, shingles binary, counts binary"
@@ -188,7 +193,8 @@ def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
         pulled = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # a root that learns of a smaller label hands it to all that point to it
         hooks = pulled.where("label < old").groupBy(F.col("old").alias("root")).agg(F.min("label").alias("lower"))
-        after = pulled.join(hooks, F.col("label") == F.col("root"), "left").select("node", "old", F.coalesce("lower", "label").alias("label"))
+        hooks = hooks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        after = pulled.join(hooks, (F.col("label") == F.col("root")) & (F.pmod("node", F.lit(PARTS)) == F.col("part")), "left").select("node", "old", F.coalesce("lower", "label").alias("label"))
         after = store(after, "dup-labels")
         discard(last)
         changed = after.where("label <> old").limit(1).count()
@@ -262,6 +268,7 @@ def others(rest: DataFrame) -> DataFrame:
     first one in common on, they share no more than the lesser of what is left of each."""
     held = rest.select("group", "node", "label", "size", "held", "need", F.explode("tokens").alias("t")).select("group", "node", "label", "size", "held", "need", "t.token", "t.weight")
     several = held.groupBy("group", "token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group", "token", "n")
+    several = store(several, "dup-several")
     ahead = Window.partitionBy("group", "node").orderBy("n", "token").rowsBetween(0, Window.unboundedFollowing)
     kept = held.join(several, ["group", "token"]).withColumn("left", F.sum("weight").over(ahead)).where("left >= need")
     kept = store(kept.select("group", "token", "node", "label", "size", "held", "left"), "dup-rest")
@@ -276,13 +283,14 @@ def others(rest: DataFrame) -> DataFrame:
 def divided(members: DataFrame) -> DataFrame:
     """The ``members`` (group, label, ...) of groups with several labels."""
     several = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
-    return members.join(several, "group")
+    return members.join(store(several, "dup-divided"), "group")
 
 
 def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, label) of the components of all links; ``members``: bucket, node, n (the bucket's number of nodes)
     and meets (the sum of n over the node's buckets)."""
     best = members.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("x")).select("bucket", F.col("x.node").alias("centre"))
+    best = store(best, "dup-centres")
     met = store(members.join(best, "bucket").where(F.col("node") != F.col("centre")).select("bucket", "n", "node", "centre"), "dup-met")
     pairs = store(met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "dup-pairs")
     links = store(verified(pairs, sets), "dup-verified")
@@ -290,6 +298,7 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
     # the pair of a bucket of two has been tested; other buckets are done when their other members are of one component
     told = met.where("n > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     several = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    several = store(several, "dup-split")
     open_ = store(met.join(several, "bucket").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "dup-open")
     if not open_.limit(1).count():
         return labels
@@ -299,7 +308,7 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
     # Nodes that need share nothing beyond the centre are grouped anew, around the smallest of them: what then still need
     # share nothing with the others is similar to it, and so of its component.
     for chosen in (F.max_by("node", F.struct("meets", "node")), F.min_by("node", F.struct("size", "node"))):
-        centres = groups.groupBy("group").agg(chosen.alias("centre"), F.min("size").alias("least"))
+        centres = store(groups.groupBy("group").agg(chosen.alias("centre"), F.min("size").alias("least")), "dup-centres")
         around = store(groups.join(centres, "group"), "dup-around")
         spokes = around.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         links, labels = joined(links, labels, verified(spokes.join(pairs, ["a", "b"], "left_anti"), sets))
@@ -333,7 +342,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     signed, nodes = classified(docs)
     nodes = store(nodes.select("node", "doc_id", "label"), "dup-known")
-    names = nodes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    names = store(nodes.groupBy("label").agg(F.min("doc_id").alias("class_id")), "dup-names")
     classes = nodes.join(names, "label").select("node", "class_id")
     rows = signed.select("doc_id", "node")
     with_words = rows.where("node is not null").join(classes, "node").select("doc_id", "node", "class_id")

@@ -146,6 +146,40 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 160)} == {-5}
 
 
+def test_hot_labels_and_centres_are_split(spark, monkeypatch):
+    """Spark's adaptive execution can split both the links of one centre and the rows of one label."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    plans = []
+
+    def seen(df, name, store=neardup.store):
+        out = store(df, name)
+        executions = spark._jsparkSession.sharedState().statusStore().executionsList()
+        plans.append((name, executions.apply(executions.size() - 1).physicalPlanDescription().split("== Initial Plan ==")[0]))
+        return out
+
+    monkeypatch.setattr(neardup, "store", seen)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 60_001).selectExpr("30000L as a", "id as b").where("a <> b")
+        pairs = spark.range(100_000, 130_000).selectExpr("2 * id as a", "2 * id + 1 as b")
+        got = neardup.components(star.union(pairs), None)
+        assert got.where("label = 1").count() == 60_000 and got.count() == 120_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    steps = [plan for name, plan in plans if name == "dup-labels"][1:]
+    assert any("SortMergeJoin(skew=true) Inner" in p for p in steps), steps[0]
+    assert any("SortMergeJoin(skew=true) LeftOuter" in p for p in steps), steps[0]
+
+
 ROWS = [(1, None, "a"), (2, "", "a"), (3, " .!", "b"), (9, "One two, three four five six", "a"), (4, "one TWO three four five six!", "b"), (4, "one TWO three four five six!", "c"), (None, "one two three four five six", "a"), (5, "hi", "a"), (6, "Hi", "a"), (7, "w " * 50_000, "a"), (None, "no id here", "a"), (None, "no id here", "a")]
 
 
