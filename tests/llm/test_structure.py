@@ -1,0 +1,167 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from sensorlake.llm import structure as st
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def cheapest(rows):
+    """(cost, audit) of rows (initial, unfinished, deleted) by plain search over scripts of edits; of what has been written
+    so far only its form matters (nothing, ``s``, or its last initial)."""
+    best = {}
+
+    def form(written):
+        return written if len(written) < 2 and written != "u" else written[-1] + "*"
+
+    for k in range(len(rows), -1, -1):
+        for written in ("sua", "su", "s", "ua", "u", ""):
+            best[k, form(written)] = (10**9, "")
+        for _ in range(4):  # insertions follow one another
+            for written in ("sua", "su", "s", "ua", "u", ""):
+                options = [(0, "")] if k == len(rows) and re.fullmatch("(s?(ua)+)?", written) else []
+                options += [(2 + best[k, form(written + x)][0], "I" + best[k, form(written + x)][1]) for x in "ua" if alive(written + x)]
+                if k < len(rows):
+                    initial, unfinished, deleted = rows[k]
+                    options += [(3 + best[k + 1, form(written)][0], "D" + best[k + 1, form(written)][1])]
+                    kinds = [] if deleted else [("K", 0, initial)] * bool(initial) + [("R", 2, "u"), ("R", 2, "a")]
+                    for letter, cost, x in kinds:
+                        if alive(written + x):
+                            c, a = best[k + 1, form(written + x)]
+                            options.append((cost + unfinished + c, letter + a))
+                best[k, form(written)] = min(options, default=(10**9, ""))
+    return best[0, ""]
+
+
+def alive(prefix):
+    return bool(re.fullmatch("(s?(ua)*u?)?", prefix))
+
+
+def plain_report(rows):
+    """rows: (turn, role, text) of one conversation after damage."""
+    rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        end = text.rstrip(st.BLANKS)
+        faults.append("blank" if not end else "duplicate" if (role, text) in seen else "truncated" if end[-1] not in ".!?" else None)
+        seen.add((role, text))
+    cost, audit = cheapest(tuple((r[1][:1], int(f == "truncated"), f in ("blank", "duplicate")) for r, f in zip(rows, faults)))
+    out, left = [], list(rows)
+    for e in audit:
+        row = left.pop(0) if e != "I" else None
+        if e != "D":
+            out.append([row[1] if e == "K" else None, "" if e == "I" else row[2]])
+    odd = len(out) % 2
+    for k, x in enumerate(out):
+        x[0] = ("assistant" if (k - odd) % 2 else "user") if x[0] is None else x[0]
+    turns = [t for t, _, _ in rows if t is not None]
+    pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:])]
+    sha = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()
+    return (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *[faults.count(f) for f in st.FAULTS], sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, sha)
+
+
+def random_rows(rng, n):
+    return [(None if rng.random() < 0.1 else rng.randrange(n), rng.choice(["user", "assistant", "system", "tool", "", None, "unit"]), rng.choice(["A.", "B!", "c", "", " \t", "d? \n", None, f"{rng.random()}."])) for _ in range(n)]
+
+
+def test_block_tables_equal_plain_search():
+    rng = random.Random(5)
+    for n in [*range(8)] * 40 + [9, 10, 11]:
+        rows = tuple((rng.choice("suaxo" if n else "s"), rng.randrange(2), rng.random() < 0.15) for _ in range(n))
+        symbols = np.array([st.symbol(*r) for r in rows], np.int64)
+        costs, marks = st.backward(symbols, st.AT_END)
+        tokens, state = st.forward(symbols, marks, st.NONE)
+        assert (costs[st.NONE], ("".join(tokens) + st.last_inserts(state))[::2]) == cheapest(rows)
+
+
+def test_matrices_of_parts_compose_to_the_whole():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        symbols = rng.integers(0, st.SYMBOLS, rng.integers(0, 60))
+        cuts = sorted(rng.integers(0, len(symbols) + 1, 3))
+        behind = st.AT_END
+        for part in reversed(np.split(symbols, cuts)):
+            behind = st.in_front(st.matrix(part), behind)
+        assert behind == st.backward(symbols, st.AT_END)[0]
+
+
+def as_rows(report):
+    names = [x.split(" ")[0] for x in st.REPORT.split(", ")]
+    return {r["conv_id"]: tuple(r[n] for n in names) for r in report.collect()}
+
+
+@pytest.fixture
+def apart(spark):
+    """As many chunks as there are shuffle partitions, however small."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_reports_equal_plain_ones_within_and_across_chunks(spark, apart, monkeypatch):
+    rng = random.Random(11)
+    rows = [(c, *r) for c in [*range(12), None, -4] for r in random_rows(rng, rng.randrange(1, 8))]
+    rows += [(50, k, rng.choice(["user", "assistant", "tool"]), rng.choice(["x.", "y", " "] + [f"{k}."] * 9)) for k in range(60)]  # over several chunks
+    want = {c: plain_report([r[1:] for r in rows if r[0] == c]) for c in {r[0] for r in rows}}
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert as_rows(st.report(table)) == want
+    edits = st.repair(table).orderBy("conv_id", "place").collect()
+    for c, expected in want.items():
+        own = [e for e in edits if e["conv_id"] == c]
+        assert [e["place"] for e in own] == list(range(1, len(own) + 1)) and "".join(e["edit"] for e in own) == expected[6]
+        text = "\n".join(f"{e['role']}:{e['text']}" for e in own if e["edit"] != "D")
+        assert hashlib.sha256(text.encode()).hexdigest() == expected[7]
+
+
+def test_a_conversation_of_most_rows_is_spread_and_repeated_rows_too(spark, apart):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k}.") for k in range(5000)] + [(2, 7, "user", "same.")] * 3000 + [(c, 0, "user", "hi") for c in range(3, 40)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    chunks = st._within_chunks(table, st.EDIT, lambda rows: [])
+    spread = chunks.where("raw IS NOT NULL").groupBy("conv_id", "raw.chunk").count().groupBy("conv_id").agg({"count": "max", "chunk": "count"}).collect()
+    of = {r["conv_id"]: (r["max(count)"], r["count(chunk)"]) for r in spread}
+    assert of[1][1] >= 4 and of[1][0] < 2500 and of[2][1] >= 2
+    got = as_rows(st.report(table))
+    assert got[1][:7] == (0, 0, 0, 0, 0, 0, "K" * 5000)
+    assert got[2][2] == 2999 and got[2][5] == 2999 * 3 + 2 and got[2][6] == "K" + "D" * 2999 + "I"
+    assert got[3][5:7] == (3, "D")
+
+
+def test_large_conversations_within_a_chunk(spark, monkeypatch):
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", f"{c} {k}" + "." * (k % 3 > 0)) for c in range(6) for k in range(9)]
+    table = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    want = {c: plain_report([r[1:] for r in rows if r[0] == c]) for c in range(6)}
+    assert as_rows(st.report(table)) == want
+    monkeypatch.setattr(st, "HELD", 300)
+    assert as_rows(st.report(table)) == want
+
+
+def test_damage_and_conversations_without_rows(spark, tmp_path):
+    import zlib
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}. And!") for c in range(40) for t in range(3)] + [(None, 1, None, None), (3, None, "system", "Be good."), (500, 3, "user", None)]
+    gone = next(c for c in range(1000, 9000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    rows.append((gone, 0, "user", "Dropped."))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "conversations.parquet"))
+    after = {}
+    for c, t, role, text in rows:
+        fill = lambda x: " " if x is None else x
+        d = zlib.crc32(f"{fill(c)}:{fill(t)}".encode()) % 20
+        if d:
+            text = "" if d == 1 else re.sub("[.!?]", "", fill(text)) if d == 2 else fill(text)
+            after.setdefault(c, []).extend([(t, "user" if d == 4 else fill(role), text)] * (2 if d == 3 else 1))
+    got = as_rows(st.query(spark, str(tmp_path)))
+    assert got == {c: plain_report(after.get(c, [])) for c in {r[0] for r in rows}}
+    assert got[gone] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_empty_tables_clashing_columns_and_very_long_texts(spark):
+    assert st.report(spark.createDataFrame([], SCHEMA)).count() == 0
+    wide = spark.createDataFrame([(1, 0, "user", "a" * 3_000_000, "x", 1), (1, 1, "assistant", "b.", None, None)], SCHEMA + ", raw string, chunk int")
+    assert as_rows(st.report(wide))[1] == plain_report([(0, "user", "a" * 3_000_000), (1, "assistant", "b.")])
