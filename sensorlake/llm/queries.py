@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, neardup, packing, pii, quality, structure, token_counts, topk, toxicity, url_filters
+from . import language, media, mixing, neardup, packing, pii, prefix_trie, quality, structure, token_counts, topk, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_personal_data": pii.query,
         "op11_url_filters": url_filters.query,
         "op12_conversation_repair": structure.query,
+        "op13_prefix_trie": prefix_trie.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": topk.SQL, "op9_mix_sources": mixing.SQL, "op11_url_filters": url_filters.SQL, "op12_conversation_repair": structure.SQL}
+    return {"op6_exact_top_k": topk.SQL, "op9_mix_sources": mixing.SQL, "op11_url_filters": url_filters.SQL, "op12_conversation_repair": structure.SQL, "op13_prefix_trie": prefix_trie.SQL}
