@@ -25,7 +25,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
 _CODE = re.compile(r"[A-Z0-9](?:\x20?[A-Z0-9])*+")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])")
-_SECRET = re.compile(r'=\x20?"([A-Za-z0-9_+/=-]{20,}+)"')
+_SECRET = re.compile(r"""[=:]\x20?(["'])([A-Za-z0-9_+/=-]{20,}+)\1""")
 _USER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: Characters of a country's IBANs, as registered.
@@ -35,20 +35,37 @@ EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU
 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15
 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23
 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20""".split())}
-#: Score before context, words that raise it, words that lower it.
+#: Score before context, words that raise it, words that lower it. Words stand for all that begin with them, those of up
+#: to four letters for themselves and their plural only.
 CONTEXT = {
-    "email": (0.9, ("mail", "contact", "write", "address"), ("package", "version")),
+    "email": (0.9, ("mail", "email", "contact", "write", "address"), ("package", "version")),
     "ip": (0.6, ("ip", "host", "server", "login", "address"), ("version", "release", "section", "chapter")),
-    "card": (0.8, ("card", "visa", "pay", "credit", "expir"), ("order", "tracking", "serial", "part")),
-    "phone": (0.7, ("call", "phone", "tel", "mobile", "fax"), ("version", "serial")),
+    "card": (0.8, ("card", "visa", "pay", "paid", "payment", "credit", "expir"), ("order", "tracking", "serial", "part")),
+    "phone": (0.7, ("call", "phone", "tel", "telephone", "mobile", "fax"), ("version", "serial")),
     "iban": (0.8, ("iban", "bank", "account", "transfer"), ("part", "serial")),
     "national_id": (0.45, ("ssn", "social", "security", "tax", "id"), ("part", "order", "version")),
-    "local_phone": (0.5, ("call", "phone", "tel", "mobile", "fax"), ("serial", "order")),
-    "secret": (0.4, ("token", "key", "secret", "password", "auth"), ("class", "href", "style")),
+    "local_phone": (0.5, ("call", "phone", "tel", "telephone", "mobile", "fax"), ("serial", "order")),
+    "secret": (0.4, ("token", "key", "apikey", "secret", "password", "passwd", "auth", "authorization"), ("class", "href", "style")),
 }
 WINDOW, STEP, KEEP = 40, 0.15, 0.5
 
 
+def _any_word(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"(?<![^\W_])(?:" + "|".join(w + r"s?(?![^\W_])" * (len(w) <= 4) for w in words) + ")")
+
+
+_CONTEXT = {kind: (prior, _any_word(up), _any_word(down)) for kind, (prior, up, down) in CONTEXT.items()}
+_CUT_FIRST, _CUT_LAST = re.compile(r"^[^\W_]+"), re.compile(r"[^\W_]+$")
+
+
+def nearby(text: str, start: int, end: int) -> str:
+    """The whole words within WINDOW characters of a span, in lower case."""
+    before, after = text[max(0, start - WINDOW - 1) : start], text[end : end + WINDOW + 1]
+    before = _CUT_FIRST.sub("", before) if len(before) > WINDOW else before
+    after = _CUT_LAST.sub("", after) if len(after) > WINDOW else after
+    return f"{before}\n{after}".lower()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -108,13 +125,13 @@ def spans_of(text: str) -> list[tuple[str, int, int, float, bool]]:
             found.append(("national_id", *m.span(), True))
     if "(" in text:
         found += [("local_phone", *m.span(), False) for m in _LOCAL_PHONE.finditer(text) if not any(a <= m.start() < b for a, b in phones)]
-    if '"' in text:
-        found += [("secret", *m.span(1), False) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[1])]
+    if '"' in text or "'" in text:
+        found += [("secret", *m.span(2), False) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[2])]
     out = []
     for kind, start, end, checked in found:
-        prior, up, down = CONTEXT[kind]
-        near = (text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]).lower()
-        score = prior + STEP * any(w in near for w in up) - STEP * any(w in near for w in down)
+        prior, up, down = _CONTEXT[kind]
+        near = nearby(text, start, end)
+        score = prior + STEP * bool(up.search(near)) - STEP * bool(down.search(near))
         if kind in BASE_KINDS or score >= KEEP:
             out.append((kind, start, end, round(min(1.0, score), 2), checked))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -164,6 +181,7 @@ def redacted(text: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The spans of every document, as text and counted, and the digest of its base spans."""
     x = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

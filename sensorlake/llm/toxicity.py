@@ -25,7 +25,8 @@ PREFIXES = (4, 5, 6)
 NEAR = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W\d_]+[0-9@$*!|+.]{1,3}(?:[^\W\d_]+[0-9@$*!|+.]{0,3})+")
+#: Looked for at the beginnings of runs of letters only: a run without a symbol behind it is left at once.
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$*!|+.]{1,3}(?:[^\W\d_]++[0-9@$*!|+.]{0,3})++")
 _SPACED = re.compile(r"\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "*": None, ".": None, " ": None, "-": None, "_": None})
 FEATURES = ["insult_density", "learned_density", "prefix_density", "insults", "learned", "prefixes", "distinct_hits", "strength", "near_second_person", "second_person_density", "capitals", "shouted_words", "exclamations", "questions", "symbols", "obfuscated_density", "obfuscated_hits", "log_words", "mean_word"]
@@ -111,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Colum
     chosen by hash, calibrate the trees that the others grow.
 
     Without both labels among them every score is the share of label 1, or 0. Null texts count as empty, in fitting
-    and scoring; repeated rows are scored alike."""
+    and scoring; repeated rows are scored alike. Features cost time in proportion to a text's length, whatever it holds
+    (about a second per million characters), and a text is held whole by its task."""
     allowed = F.lit(True) if allowed is None else allowed
     sample = store(labelled_sample(docs, labels, label, allowed, n).coalesce(8), "toxicity-sample")
     held = fold(F.col("doc_id"), 3) == 1
@@ -133,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", allowed: Colum
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The score of every document, from labels of documents whose crc32(doc_id) mod 5 is not 0."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = fold(F.col("doc_id"), 5) == 0
     scored = fit(docs, labels, allowed=~held_out).score(docs.select("doc_id", "text"), "score")

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from sensorlake.llm import quality, toxicity
@@ -29,6 +33,22 @@ def test_toxicity_features():
     assert toxicity.features_of("", {}, {})[0] == 0
 
 
+@pytest.mark.parametrize("text", ["x" * 10**6, "\u4e2d" * 10**6, "x" * (10**6 - 1) + "!", "x!" * 500_000, "x !" * 300_000, "a_" * 500_000, "a." * 500_000 + "1", "ab1" * 300_000], ids=["latin", "han", "symbol", "pairs", "blanks", "underscores", "dots", "digits"])
+def test_features_of_long_runs_are_linear(text):
+    """Junk of any length must not stop a task."""
+    begun = time.time()
+    assert len(toxicity.features_of(text, {"x": 1.0}, {"xxxx": 1.0})) == len(toxicity.FEATURES)
+    assert time.time() - begun < 2
+
+
+def test_mixed_words_are_found_as_by_the_plain_pattern():
+    plain = re.compile(r"[^\W\d_]+[0-9@$*!|+.]{1,3}(?:[^\W\d_]+[0-9@$*!|+.]{0,3})+")
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab\u00e9 .!1@_-") for _ in range(rng.randrange(20)))
+        assert toxicity._MIXED.findall(text) == plain.findall(text), text
+
+
 def test_quality_on_held_out_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = quality.query(spark, SF).join(labels, "doc_id").where("held_out").collect()
@@ -48,16 +68,18 @@ CASES = [(1, None, "a"), (2, "", "a"), (None, "some words", "a"), (3, "some word
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])
-@pytest.mark.parametrize("labels", [[], [(3, 1), (4, 1)], [(3, None), (None, 1)], [(1, 0), (2, 0), (3, 1), (3, 0), (4, 1)]])
+@pytest.mark.parametrize("labels", [[], [(3, 1), (4, 1)], [(3, None), (None, 1)], [(1, 0), (2, 0), (3, 1), (3, 0), (4, 1)], [(k, k % 2) for k in range(1, 40)]])
 def test_cases(spark, module, labels):
-    docs = spark.createDataFrame(CASES, "doc_id long, text string, score string")
+    cases = CASES if len(labels) < 9 else [*CASES, *((k, "good words" if k % 2 else "you idiot", "a") for k in range(5, 40))]
+    docs = spark.createDataFrame(cases, "doc_id long, text string, score string")
     known = spark.createDataFrame([(*x, *x[1:]) for x in labels], "doc_id long, toxic int, quality int")
     model = module.fit(docs, known)
     rows = model.score(docs, "s").collect()
-    assert len(rows) == len(CASES) and all(0 <= r.s <= 1 and r.score == "a" for r in rows)
+    assert module is not toxicity or len(labels) < 9 or model.trees is not None
+    assert len(rows) == len(cases) and all(0 <= r.s <= 1 and r.score == "a" for r in rows)
     assert len({r.s for r in rows if r.text == "some words"}) == 1
     assert model.score(docs.limit(0), "s").count() == 0
-    assert module.fit(docs.limit(0), known).score(docs, "s").count() == len(CASES)
+    assert module.fit(docs.limit(0), known).score(docs, "s").count() == len(cases)
 
 
 def test_only_allowed_labels_are_learned(spark):
