@@ -147,17 +147,17 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "xxhash64(text) as text_hash", "text").mapInArrow(run, SIGNED)
 
 
-def similar(a: bytes, a_counts: bytes, b: bytes, b_counts: bytes) -> bool:
-    """Whether the weighted Jaccard similarity is LINK or more; exact but for clashes of 32-bit shingle hashes."""
+def similar(a: bytes, a_counts: bytes, b: bytes, b_counts: bytes) -> float | None:
+    """The weighted Jaccard similarity if it is LINK or more; exact but for clashes of 32-bit shingle hashes."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     m = np.frombuffer(a_counts, "<u4") if a_counts else np.ones(len(x), np.int64)
     n = np.frombuffer(b_counts, "<u4") if b_counts else np.ones(len(y), np.int64)
     total = int(m.sum()) + int(n.sum())
     if LINK[1] * min(int(m.sum()), int(n.sum())) < LINK[0] * max(int(m.sum()), int(n.sum())):
-        return False
+        return None
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     common = int(np.minimum(m[i], n[j]).sum())
-    return LINK[1] * common >= LINK[0] * (total - common)
+    return common / (total - common) if LINK[1] * common >= LINK[0] * (total - common) else None
 
 
 def with_sets(rows: DataFrame, sets: DataFrame, *keys: str) -> DataFrame:
@@ -168,14 +168,15 @@ def with_sets(rows: DataFrame, sets: DataFrame, *keys: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) out of ``pairs`` that are similar."""
+    """The (a, b) out of ``pairs`` that are similar, with their similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("a_shingles", "a_counts", "b_shingles", "b_counts")]
-            yield batch.select(["a", "b"]).filter(pa.array([similar(*row) for row in zip(*columns)], pa.bool_()))
+            found = pa.array([similar(*row) for row in zip(*columns)], pa.float64())
+            yield batch.select(["a", "b"]).append_column("similarity", found).filter(found.is_valid())
 
-    return with_sets(pairs, sets, "a", "b").mapInArrow(run, "a long, b long")
+    return with_sets(pairs, sets, "a", "b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -204,9 +205,9 @@ def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
             return now
 
 
-def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and (node, doc_id, text_hash, label) with one row per node: the row of its least id stands for
-    it, and nodes of one class have the same label."""
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows, (node, doc_id, text_hash, label) with one row per node: the row of its least id stands for it, and
+    nodes of one class have the same label; and the verified links (a, b, similarity) between nodes."""
     signed = store(sign(docs), "dup-signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("x")
     nodes = signed.where("node is not null").groupBy("node").agg(least, F.min("bands").alias("bands"))
@@ -219,9 +220,9 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = nodes.join(members.select("node").distinct(), "node").select(*[F.col(c).alias(f"own_{c}") for c in ("node", "doc_id", "text_hash")])
     own_row = (F.col("node") == F.col("own_node")) & F.col("doc_id").eqNullSafe(F.col("own_doc_id")) & (F.col("text_hash") == F.col("own_text_hash"))
     sets = store(signed.join(chosen, own_row).select("node", "size", "shingles", "counts").dropDuplicates(["node"]), "dup-sets")
-    labels = linked(members, sets)
+    labels, links = linked(members, sets)
     known = nodes.select("node", "doc_id", "text_hash").join(labels, "node", "left")
-    return signed, known.withColumn("label", F.coalesce("label", "node"))
+    return signed, known.withColumn("label", F.coalesce("label", "node")), links
 
 
 REST = "group long, node long, label long, size long, held long, need double, tokens array<struct<token: long, weight: long>>"
@@ -286,9 +287,9 @@ def divided(members: DataFrame) -> DataFrame:
     return members.join(store(several, "dup-divided"), "group")
 
 
-def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, label) of the components of all links; ``members``: bucket, node, n (the bucket's number of nodes)
-    and meets (the sum of n over the node's buckets)."""
+def linked(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, label) of the components of all links, and the links that were verified for it: (a, b, similarity), each pair
+    once. ``members``: bucket, node, n (the bucket's number of nodes) and meets (the sum of n over the node's buckets)."""
     best = members.groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("x")).select("bucket", F.col("x.node").alias("centre"))
     best = store(best, "dup-centres")
     met = store(members.join(best, "bucket").where(F.col("node") != F.col("centre")).select("bucket", "n", "node", "centre"), "dup-met")
@@ -301,7 +302,7 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
     several = store(several, "dup-split")
     open_ = store(met.join(several, "bucket").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "dup-open")
     if not open_.limit(1).count():
-        return labels
+        return labels, links
     sizes = sets.select("node", "size")
     weights = members.select("node", "meets").distinct()
     groups = store(components(open_, None).select(F.col("label").alias("group"), "node").join(sizes, "node").join(weights, "node"), "dup-groups")
@@ -320,7 +321,7 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
         groups = store(divided(known).select("group", "node", "size", "meets"), "dup-groups")
         if not groups.limit(1).count():
             break
-    return labels
+    return labels, links
 
 
 def joined(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -333,27 +334,41 @@ def joined(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFr
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_id, one row per input row: documents of one class have the same class_id, its least doc_id.
+    """doc_id, node, class_id, linked_id, similarity, n_links, one row per input row: documents of one class have the same
+    class_id, its least doc_id.
+
+    ``n_links`` is the number of links between different texts that were verified in the class; they connect all of it, but
+    pairs that weren't needed for that are not counted. ``linked_id`` is the document (the least id of its text) that this
+    row's text was verified against, of several the most similar one, and ``similarity`` what was found; both are null in
+    a class of one text.
 
     Documents without a word (null and empty texts among them) have no node and are each in a class of their own.
     Repeated rows, and texts that differ in case and punctuation only, share a node. A null doc_id joins its class but
     never names it; class_id is null where no document of the class has an id. An empty table gives an empty result;
     columns other than doc_id and text are ignored. Node ids are 64-bit digests of the words.
     """
-    signed, nodes = classified(docs)
+    signed, nodes, links = classified(docs)
     nodes = store(nodes.select("node", "doc_id", "label"), "dup-known")
     names = store(nodes.groupBy("label").agg(F.min("doc_id").alias("class_id")), "dup-names")
-    classes = nodes.join(names, "label").select("node", "class_id")
+    links = links.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "similarity", F.lit(1).alias("n")).union(links.select("b", "a", "similarity", F.lit(0)))
+    best = both.groupBy("node").agg(F.max(F.struct("similarity", "other")).alias("x"), F.sum("n").alias("n")).select("node", "x.*", "n")
+    best = store(best.join(nodes.select("node", "label"), "node"), "dup-best")
+    counts = store(best.groupBy("label").agg(F.sum("n").alias("n_links")), "dup-counts")
+    ids = best.join(nodes.select(F.col("node").alias("other"), F.col("doc_id").alias("linked_id")), "other").select("node", "linked_id", "similarity")
+    per_node = nodes.join(names, "label").join(counts, "label", "left").select("node", "class_id", "n_links").join(ids, "node", "left")
     rows = signed.select("doc_id", "node")
-    with_words = rows.where("node is not null").join(classes, "node").select("doc_id", "node", "class_id")
-    return with_words.union(rows.where("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id")))
+    told = ["doc_id", "node", "class_id", "linked_id", "similarity", F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    none = [F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(0).cast("long")]
+    with_words = rows.where("node is not null").join(store(per_node, "dup-classes"), "node").select(*told)
+    return with_words.union(rows.where("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), *none))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, without near duplicates: of each class the row with the least
     doc_id stays (of the least text hash among repeated ids; of rows equal in both, one). Documents without a word all
     stay. Columns of any name are carried along."""
-    signed, nodes = classified(docs)
+    signed, nodes, _ = classified(docs)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("x")
     kept = nodes.groupBy("label").agg(least).select("x.doc_id", "x.text_hash")
     wordless = signed.where("node is null").select("doc_id", "text_hash").distinct()
@@ -371,5 +386,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The class of every document, and the link that its text was verified by."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "class_id")
+    return found.select("doc_id", "class_id", "linked_id", F.round("similarity", 6).alias("similarity"), "n_links")

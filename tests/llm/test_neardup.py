@@ -180,12 +180,41 @@ def test_hot_labels_and_centres_are_split(spark, monkeypatch):
     assert any("SortMergeJoin(skew=true) LeftOuter" in p for p in steps), steps[0]
 
 
+def check_links(texts, rows):
+    """Each stated similarity is that of the two texts, and the links of a class are enough to hold it together."""
+    sets = {d: plain(t) for d, t in texts.items()}
+    by_class = {}
+    for r in rows:
+        by_class.setdefault(r.class_id, []).append(r)
+        if r.linked_id is None:
+            assert r.similarity is None
+        else:
+            x, y = sets[r.doc_id], sets[r.linked_id]
+            assert abs(r.similarity - (x & y).total() / (x | y).total()) < 1e-9 and r.similarity >= 0.8 and x != y
+    for own in by_class.values():
+        different = len({tuple(sorted(sets[r.doc_id].items())) for r in own})
+        assert len({r.n_links for r in own}) == 1 and different - 1 <= own[0].n_links <= different * (different - 1) // 2
+        assert all((r.linked_id is None) == (different == 1) for r in own)
+        assert all(r.linked_id is None or r.linked_id in {x.doc_id for x in own} for r in own)
+
+
+def test_links_are_stated_with_their_similarity(spark):
+    texts = copies(150, 150, 7, 9)
+    texts |= {5000 + d: texts[d].upper() + "!" for d in range(0, 40, 3)}  # the same words
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    rows = neardup.near_duplicates(docs).collect()
+    check_links(texts, rows)
+    assert sum(r.linked_id is not None for r in rows) > 50 and max(r.n_links for r in rows) > 30
+
+
 ROWS = [(1, None, "a"), (2, "", "a"), (3, " .!", "b"), (9, "One two, three four five six", "a"), (4, "one TWO three four five six!", "b"), (4, "one TWO three four five six!", "c"), (None, "one two three four five six", "a"), (5, "hi", "a"), (6, "Hi", "a"), (7, "w " * 50_000, "a"), (None, "no id here", "a"), (None, "no id here", "a")]
 
 
 def test_cases(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, class_id string")
-    got = sorted((r.doc_id or 0, r.class_id or 0) for r in neardup.near_duplicates(docs).collect())
+    found = neardup.near_duplicates(docs).collect()
+    assert all(r.n_links == 0 and r.linked_id is None for r in found)
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in found)
     assert got == sorted([(1, 1), (2, 2), (3, 3), (9, 4), (4, 4), (4, 4), (0, 4), (5, 5), (6, 5), (7, 7), (0, 0), (0, 0)])
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns
