@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import SO_FAR
+from . import carry
+from .carry import SENSORS
+from .scan import SO_FAR
 
 WRAP_SHARE, JUMP_SHARE, CARRY_FROM = 0.25, 0.1, 10
 MICROS, COUNTER = 2**32, 2**16
@@ -28,9 +27,6 @@ def unwrap_counter(rows: DataFrame, value: str, max_value: int, out: str | None
     return x.withColumn(out or f"{value}_unwrapped", F.col(value) + wraps * max_value + (F.lit(0) if start is None else start))
 
 
-SENSORS = ("pps", "gnss", "imu")
-
-
 def carry_summary(rows: DataFrame, max_value: int = MICROS, counter_max: int = COUNTER) -> DataFrame:
     """Per segment what the carry needs: for each kind n, the first and last raw value, wraps inside, and the least and
     greatest unwrapped value before any carry; for the IMU counter the same but for the range."""
@@ -54,43 +50,14 @@ def carry_summary(rows: DataFrame, max_value: int = MICROS, counter_max: int = C
     return x.groupBy("file_id", "segment").agg(*aggregates, counter.alias("counter"))
 
 
-def carry_unwrap_state(summary: DataFrame, max_value: int = MICROS, counter_max: int = COUNTER, carry_from: int = CARRY_FROM, deviation: int = 10_000_000) -> DataFrame:
+def carry_unwrap_state(summary: DataFrame, max_value: int = MICROS, counter_max: int = COUNTER, carry_from: int = CARRY_FROM, deviation: int = 10_000_000, chunk: int = carry.CHUNK) -> DataFrame:
     """Per segment the offsets that it starts with, and whether its sensors' clocks agree (spread of the sensors' least
     and of their greatest values within ``deviation`` ticks).
 
     A segment starts where the one before ended, plus one turn if its first value lies back by more than a quarter. A
     sensor with under ``carry_from`` records hands on nothing, and neither does any sensor of a segment whose clocks
-    disagree. Each segment needs the one before, so a file's segments pass one task in order; it holds the state of one
-    segment and one batch, however many segments there are."""
-    names = (*SENSORS, "counter")
-    sizes = {s: counter_max if s == "counter" else max_value for s in names}
-    started, turned_at = [f"{s}_start" for s in names], [f"{s}_turned" for s in names]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, key, state = False, None, {}
-        for batch in batches:
-            told = []
-            for row in batch.to_pylist():
-                if not begun or row["file_id"] != key:
-                    begun, key, state = True, row["file_id"], {s: (0, None) for s in names}
-                turned = {s: None not in (state[s][1], row[s]["first"]) and state[s][1] - row[s]["first"] > WRAP_SHARE * sizes[s] for s in names}
-                start = {s: state[s][0] + turned[s] * sizes[s] for s in names}
-                seen = [s for s in SENSORS if row[s]["low"] is not None]
-                spreads = [max(at) - min(at) for at in ([row[s][end] + start[s] for s in seen] for end in ("low", "high")) if at]
-                ok = max(spreads, default=0) <= deviation
-                for s in names:
-                    hands_on = ok and row["imu" if s == "counter" else s]["n"] >= carry_from
-                    state[s] = (start[s] + row[s]["wraps"] * sizes[s], row[s]["last"]) if hands_on else (0, None)
-                told.append((row["segment"], *start.values(), *turned.values(), ok))
-            columns = list(zip(*told)) or [()] * 10
-            types = [pa.int32(), *[pa.int64()] * 4, *[pa.bool_()] * 5]
-            arrays = [batch.column(batch.schema.get_field_index("file_id")), *map(pa.array, columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, ["file_id", "segment", *started, *turned_at, "consistency_ok"])
-
-    key_type = summary.schema["file_id"].dataType.simpleString()
-    schema = ", ".join([f"file_id {key_type}, segment int", *[f"{c} bigint" for c in started], *[f"{c} boolean" for c in turned_at], "consistency_ok boolean"])
-    ordered = summary.repartition("file_id").sortWithinPartitions("file_id", "segment")
-    return ordered.mapInArrow(fold, schema)
+    disagree. Segments are walked in chunks of ``chunk``, side by side also within a file (see ``carry``)."""
+    return carry.carry(summary, carry.Rules(WRAP_SHARE, max_value, counter_max, carry_from, deviation), chunk)
 
 
 def apply_carry(rows: DataFrame, carried: DataFrame, max_value: int = MICROS, counter_max: int = COUNTER) -> DataFrame:
