@@ -1,7 +1,8 @@
 """The given ``events`` table seen as a sensor log, and as raw files.
 
 A user is a device with one file; ``error`` events are pulses, ``signup`` events fixes, all others IMU records. The
-clock ticks every 64 microseconds in 32 bits, so it turns about every 76 hours; the counter has 8 bits.
+clock ticks every 64 microseconds in 32 bits, so it turns about every 76 hours; the counter has 8 bits. Offsets are
+microseconds, and a block is two days of them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .plans import Settings
 
-SETTINGS = Settings(turn=2**32, counter_turn=256, ticks=15_625, jump=2**31, rows_per_segment=8, carry_from=3, deviation_seconds=144_000.0, r2=0.99, mismatch=0.2)
+SETTINGS = Settings(turn=2**32, counter_turn=256, ticks=15_625, jump=2**31, rows_per_segment=8, carry_from=3, deviation_seconds=144_000.0, r2=0.99, mismatch=0.2, block=2 * 86_400_000_000)
 
 #: Frames in a part of a raw file; and the time, a logger's 15 minutes, within which frames are numbered at once.
 PART_FRAMES, SLOT_MICROS = 65_536, 900_000_000

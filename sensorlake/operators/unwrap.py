@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import carry
+from . import carry, scan
 from .carry import SENSORS
 from .scan import SO_FAR
 
@@ -17,14 +17,34 @@ def _series(*keys: str):
     return Window.partitionBy("file_id", "segment", *keys).orderBy("offset")
 
 
-def unwrap_counter(rows: DataFrame, value: str, max_value: int, out: str | None = None, keys: tuple[str, ...] = ("kind",), start: Column | None = None) -> DataFrame:
+def _wrapped_before(blocked: DataFrame, value: str, max_value: int, keys: tuple[str, ...]) -> DataFrame:
+    """Per block the last value before it, and the number of wraps so far, but for one at its first row (__wraps)."""
+    local = Window.partitionBy(*keys, "__block").orderBy("offset")
+    wraps = F.count_if(F.col("back") > WRAP_SHARE * max_value)
+    thin = blocked.select(*keys, "__block", "offset", value).withColumn("back", F.lag(value).over(local) - F.col(value))
+    summary = thin.groupBy(*keys, "__block").agg(F.min_by(value, "offset").alias("first"), F.max_by(value, "offset").alias("last"), wraps.alias("wraps"))
+    step = F.coalesce(F.lag("last").over(Window.partitionBy(*keys).orderBy("__block")) - F.col("first") > WRAP_SHARE * max_value, F.lit(False))
+    summary = summary.withColumn("wraps", F.col("wraps") + step.cast("long"))
+    prior = scan.blocks_before(keys)
+    return summary.select(*keys, "__block", F.last("last").over(prior).alias(value), F.coalesce(F.sum("wraps").over(prior), F.lit(0)).alias("__wraps"))
+
+
+def unwrap_counter(rows: DataFrame, value: str, max_value: int, out: str | None = None, keys: tuple[str, ...] = ("kind",), start: Column | None = None, span: int | None = None) -> DataFrame:
     """``out`` (``<value>_unwrapped``): the value plus ``max_value`` for each step back by more than a quarter of it so
-    far in the segment, plus ``start``. ``<value>_wrap`` marks those steps."""
+    far in the segment, plus ``start``. ``<value>_wrap`` marks those steps.
+
+    A segment is read in one piece; with ``span`` in blocks of so many offsets, for segments of any length."""
     w = _series(*keys)
+    if span is not None:
+        by = ("file_id", "segment", *keys)
+        blocked = scan.with_blocks(rows, span)
+        rows, w = scan.with_halo(blocked, _wrapped_before(blocked, value, max_value, by)), scan.within(by)
     back = F.lag(value).over(w) - F.col(value)
     x = rows.withColumn(f"{value}_wrap", F.coalesce(back > WRAP_SHARE * max_value, F.lit(False)))
     wraps = F.sum(F.col(f"{value}_wrap").cast("long")).over(w.rowsBetween(*SO_FAR))
-    return x.withColumn(out or f"{value}_unwrapped", F.col(value) + wraps * max_value + (F.lit(0) if start is None else start))
+    wraps = wraps if span is None else wraps + scan.carried("__wraps", by)
+    x = x.withColumn(out or f"{value}_unwrapped", F.col(value) + wraps * max_value + (F.lit(0) if start is None else start))
+    return x if span is None else scan.plain_rows(x, "__wraps")
 
 
 def carry_summary(rows: DataFrame, max_value: int = MICROS, counter_max: int = COUNTER) -> DataFrame:

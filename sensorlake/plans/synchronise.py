@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gnss_posix_seconds, scale_gnss, scale_imu
-from ..operators import clock, outliers, segments, unwrap
+from ..operators import clock, outliers, scan, segments, unwrap
 from ..shared import store
 from ..sources import audit, decode_frames, parse_file_name, parse_header
 
@@ -31,6 +31,7 @@ class Settings:
     deviation_seconds: float = 10.0
     r2: float = 0.99
     mismatch: float = 0.2
+    block: int = scan.BLOCK  # offsets of a file that one task reads
 
 
 def decode(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,8 +48,8 @@ def segmented(records: DataFrame, settings: Settings) -> DataFrame:
     ``file_rows`` says, a column of the records if they have it."""
     if settings.rows_per_segment is None and "file_rows" in records.columns:
         rows = F.coalesce(F.col("file_rows"), F.lit(settings.default_rows))
-        return segments.assign_segments(records, rows, settings.jump).drop("file_rows")
-    return segments.assign_segments(records, settings.rows_per_segment or settings.default_rows, settings.jump)
+        return segments.assign_segments(records, rows, settings.jump, settings.block).drop("file_rows")
+    return segments.assign_segments(records, settings.rows_per_segment or settings.default_rows, settings.jump, settings.block)
 
 
 def clock_fits(unwrapped: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:

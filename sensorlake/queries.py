@@ -136,7 +136,7 @@ def next_file_boundary(log):
 
 @on_log
 def normalized_index(log):
-    return series.normalized_index(log).select("file_id", "kind", "offset", r6("normalized_index"))
+    return series.normalized_index(log, S.block).select("file_id", "kind", "offset", r6("normalized_index"))
 
 
 @on_log
@@ -147,7 +147,7 @@ def utc_micros(log):
 
 @on_log
 def relative_time(log):
-    return series.relative_time(utc_of(log), "utc").select("file_id", "kind", "offset", r6("relative_time"))
+    return series.relative_time(utc_of(log), "utc", S.block).select("file_id", "kind", "offset", r6("relative_time"))
 
 
 @on_log
@@ -162,7 +162,7 @@ def outlier_masks(log):
 
 @on_log
 def imu_jumps(log):
-    return segments.flag_imu_jumps(log, S.jump).where("kind = 'IMU'").select("file_id", "offset", "imu_jump")
+    return segments.flag_imu_jumps(log, S.jump, S.block).where("kind = 'IMU'").select("file_id", "offset", "imu_jump")
 
 
 @on_log
@@ -201,14 +201,14 @@ def jump_positions(log):
 
 @on_log
 def consecutive_dt(log):
-    return series.consecutive_dt(utc_of(log), "utc", S.ticks).select("file_id", "kind", "offset", r6("dt_raw_ms"), F.round("dt_utc_ms", 2).alias("dt_utc_ms"))
+    return series.consecutive_dt(utc_of(log), "utc", S.ticks, S.block).select("file_id", "kind", "offset", r6("dt_raw_ms"), F.round("dt_utc_ms", 2).alias("dt_utc_ms"))
 
 
 @on_log
 def counter_gaps(log):
     imu = log.where("kind = 'IMU'").withColumn("segment", F.lit(0))
-    x = unwrap.unwrap_counter(imu, "counter", S.counter_turn)
-    return series.counter_gaps(x, wrap=200).withColumn("missed", known("missed", other=0))
+    x = unwrap.unwrap_counter(imu, "counter", S.counter_turn, span=S.block)
+    return series.counter_gaps(x, wrap=200, span=S.block).withColumn("missed", known("missed", other=0))
 
 
 @on_log
@@ -233,7 +233,7 @@ def flagged_float_outliers(log):
 
 @on_log
 def debounced_pulses(log):
-    return series.debounce_pulses(log.where("kind = 'PPS'"), 500_000 * S.ticks, S.turn).select("file_id", "offset", "kept")
+    return series.debounce_pulses(log.where("kind = 'PPS'"), 500_000 * S.ticks, S.turn, S.block).select("file_id", "offset", "kept")
 
 
 # clock
@@ -264,7 +264,7 @@ def pulse_seconds(log):
 @on_log
 def filtered_pairs(log):
     whole = log.withColumn("segment", F.lit(0))
-    x = unwrap.unwrap_counter(whole, "micros_reading", S.turn)
+    x = unwrap.unwrap_counter(whole, "micros_reading", S.turn, span=S.block)
     fixes = x.where("kind = 'GNSS'").withColumn("gnss_utc", fn.gnss_posix_seconds(F.col("posix_timestamp"), F.col("microseconds")))
     pairs = clock.pulse_utc_second(clock.match_nearest(x.where("kind = 'PPS'"), fixes), S.ticks)
     return clock.filter_pairs(pairs).select("file_id", "offset", "utc_second", "used")
@@ -272,7 +272,7 @@ def filtered_pairs(log):
 
 def whole_file_fits(log: DataFrame):
     """Clock fits over whole files, which have enough pulses for them."""
-    x = unwrap.unwrap_counter(log.withColumn("segment", F.lit(0)), "micros_reading", S.turn)
+    x = unwrap.unwrap_counter(log.withColumn("segment", F.lit(0)), "micros_reading", S.turn, span=S.block)
     return x, clock_fits(x, S)[1]
 
 
@@ -337,7 +337,7 @@ def segment_counts(log):
 
 @on_log
 def recording_summary(log):
-    x = unwrap.unwrap_counter(segments.flag_imu_jumps(log, S.jump).withColumn("segment", F.lit(0)), "micros_reading", S.turn)
+    x = unwrap.unwrap_counter(segments.flag_imu_jumps(log, S.jump, S.block).withColumn("segment", F.lit(0)), "micros_reading", S.turn, span=S.block)
     y = reports.recording_summary(x.withColumnRenamed("imu_jump", "micros_jump"), ticks=S.ticks, turn=S.turn)
     return y.select("file_id", "n_pps", "n_gnss", "n_imu", "first_micros", "last_micros", r6("duration_s"), *[F.round(F.col(f"rate_{k}") * 1e6, 4).alias(f"rate_{k}_uhz") for k in ("pps", "gnss", "imu")])
 
@@ -357,7 +357,7 @@ def outlier_counts(log):
 
 @on_log
 def dt_stats(log):
-    x = series.dt_stats(series.consecutive_dt(utc_of(log), "utc", S.ticks))
+    x = series.dt_stats(series.consecutive_dt(utc_of(log), "utc", S.ticks, S.block))
     return x.select("file_id", "kind", *[F.round(c, 3).alias(c) for c in x.columns[2:]])
 
 
@@ -457,7 +457,7 @@ def busy_alarm(log):
 
 def report(log: DataFrame) -> DataFrame:
     """The quality report: one row per file."""
-    steps = series.dt_stats(series.consecutive_dt(utc_of(log), "utc", S.ticks)).where("kind = 'IMU'").select("file_id", F.round("mean_dt_raw_ms", 3).alias("mean_dt_raw_ms"))
+    steps = series.dt_stats(series.consecutive_dt(utc_of(log), "utc", S.ticks, S.block)).where("kind = 'IMU'").select("file_id", F.round("mean_dt_raw_ms", 3).alias("mean_dt_raw_ms"))
     summary = recording_summary(log).select("file_id", "n_pps", "n_gnss", "n_imu", "duration_s", "rate_imu_uhz")
     gaps = counter_gaps(log).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_gaps"), F.sum("missed").alias("missed"))
     return summary.join(steps, "file_id", "left").join(gaps, "file_id", "left")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from sensorlake.operators import segments, series
+from sensorlake.operators import segments, series, unwrap
 
 SCHEMA = "file_id long, offset long, kind string, micros_reading long, utc double, file_rows long"
 
@@ -71,6 +71,16 @@ def test_series_over_blocks(spark, span):
     assert at(series.counter_gaps(pulses, "micros_reading", span=span), "step") == gaps
 
 
+@pytest.mark.parametrize("span", [1, 60, 500, 10**9])
+def test_unwrapping_over_blocks(spark, span):
+    rows = [(r[0], r[1], r[2], (r[3] or 0) % 1000, *r[4:]) for r in log(6)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("segment", F.lit(0))
+    columns = ["file_id", "offset", "micros_reading_unwrapped", "micros_reading_wrap"]
+    whole = unwrap.unwrap_counter(table, "micros_reading", 1000).select(*columns).collect()
+    assert any(r.micros_reading_wrap for r in whole)
+    assert sorted(map(str, unwrap.unwrap_counter(table, "micros_reading", 1000, span=span).select(*columns).collect())) == sorted(map(str, whole))
+
+
 def test_a_file_of_half_of_all_rows_is_spread(spark):
     hot = spark.range(40_000).selectExpr("7L as file_id", "id * 24 as offset", "'IMU' as kind", "id as micros_reading", "cast(id as double) as utc", "100L as file_rows")
     cold = spark.range(40_000).selectExpr("id % 800 + 100 as file_id", "id div 800 * 24 as offset", "'IMU' as kind", "id as micros_reading", "cast(id as double) as utc", "100L as file_rows")
