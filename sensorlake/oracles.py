@@ -245,6 +245,7 @@ FINAL["quality_report"] = f"""SELECT s.file_id, n_pps, n_gnss, n_imu, duration_s
         LEFT JOIN (SELECT file_id, mean_dt_raw_ms FROM ({FINAL["dt_stats"]}) WHERE kind = 'IMU') d ON s.file_id = d.file_id
         LEFT JOIN (SELECT file_id, count(*) AS n_gaps, sum(missed)::BIGINT AS missed FROM ({FINAL["counter_gaps"]}) GROUP BY file_id) g ON s.file_id = g.file_id"""
 
+FINAL["range_decoded_frames"] = FINAL["decoded_frames"]
 FINAL["synchronised"] = """SELECT file_id, segment, (count(*) OVER (PARTITION BY file_id ORDER BY segment) - 1)::INTEGER AS segment_out, n_pps, n_gnss, n_imu FROM skeep WHERE keep"""
 FINAL["fleet_report"] = f"""SELECT coalesce(day, 'all') AS day, count(*) AS n_files, sum(n_pps)::BIGINT AS n_pps, sum(n_gnss)::BIGINT AS n_gnss, sum(n_imu)::BIGINT AS n_imu, count(*) FILTER (status = 'complete') AS n_complete,
         round(sum(duration_s), 3) AS duration_s, round(sum(n_imu) FILTER (duration_s > 0) / sum(duration_s) FILTER (duration_s > 0) * 1e6, 3) AS rate_imu_uhz, sum(n_gaps)::BIGINT AS n_gaps, sum(missed)::BIGINT AS missed, max(max_mismatch) AS max_mismatch, sum(n_valid)::BIGINT AS n_valid

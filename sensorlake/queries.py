@@ -15,7 +15,7 @@ from .operators import clock, outliers, reports, segments, series, unwrap
 from .oracles import oracle_sql
 from .plans import clock_fits, segmented, synchronise, with_steps
 from .shared import shared_dir, store
-from .sources import audit, combine_segments, decode_frames, of_kind, parse_file_name, parse_header, read_tables, write_tables
+from .sources import audit, combine_segments, cut_ranges, decode_frames, decode_ranges, of_kind, parse_file_name, parse_header, read_tables, write_tables
 from .streaming import frequency_alarm, saturation_alarm, windowed_rates, with_silence
 
 __all__ = ["entry", "oracle_sql", "queries"]
@@ -83,6 +83,16 @@ def decoded_frames(log):
     return frames.select("file_id", "kind", "offset", "micros_reading", *[known(c) for c in ("counter", "acc_x", "acc_y", "gyr_z", "latitude", "longitude", "posix_timestamp", "microseconds", "ned_vel_east", "fix_type")])
 
 
+@on_log
+def range_decoded_frames(log):
+    """The same, but each part is cut into ranges of 600 bytes, wherever that is, which are decoded apart and stitched."""
+    junk, reach = 64, 256
+    parts = raw_files(log).select(F.concat_ws(":", F.coalesce(F.col("file_id").cast("string"), F.lit("")), "base").alias("file_id"), "content")
+    frames = decode_ranges(cut_ranges(parts, 600, junk, reach), junk, reach).where("kind <> 'FILE'").withColumn("of", F.split("file_id", ":"))
+    frames = frames.withColumns({"file_id": F.nullif(F.col("of")[0], F.lit("")).cast("long"), "offset": F.col("offset") + F.col("of")[1].cast("long")})
+    return frames.select("file_id", "kind", "offset", "micros_reading", *[known(c) for c in ("counter", "acc_x", "acc_y", "gyr_z", "latitude", "longitude", "posix_timestamp", "microseconds", "ned_vel_east", "fix_type")])
+
+
 @on_log
 def file_audit(log):
     return audit(decode_frames(raw_files(log), base="base")).select("file_id", "file_bytes", "parsed_bytes", "footer_found", "status", "n_pps", "n_gnss", "n_imu", r6("share_parsed"), r6("bytes_per_frame"))

@@ -37,9 +37,23 @@ def places(content: bytes, what: bytes) -> np.ndarray:
     return np.array([m.start() for m in re.finditer(re.escape(what), content)], np.int64)
 
 
+#: Where reading stands between two frames: how it looks for the next one, and from which place.
+#: ``scan``: up to the next marker or footer, however far; ``after`` a frame: junk is counted; ``done``: place and reason.
+State = tuple
+
+
 def walk(content: bytes, junk: int = JUNK) -> tuple[np.ndarray, np.ndarray, int, str]:
     """Frames' positions and kinds, where reading stopped, and why: footer, end, truncated or corrupt."""
+    at, kind, (_, stop, why) = walk_from(content, junk, ("scan", 0))
+    return at, kind, stop, why
+
+
+def walk_from(content: bytes, junk: int, state: State, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, State]:
+    """Positions and kinds of the frames that begin before ``limit``, and the state behind them, which is done or stands at
+    ``limit`` or beyond. ``content`` reaches to the end of the file, or more than 2 * junk + 64 bytes beyond ``limit``;
+    without a limit it is read to its end."""
     n = len(content)
+    limit, final = (n + 1, True) if limit is None else (limit, False)
     found = sorted((p, k) for m, k in MARKERS.items() for p in places(content, m).tolist())
     at, kind = np.array([p for p, _ in found], np.int64), np.array([k for _, k in found], np.int64)
     foot = places(content, FOOTER)
@@ -48,56 +62,61 @@ def walk(content: bytes, junk: int = JUNK) -> tuple[np.ndarray, np.ndarray, int,
     adjoins = (follower < len(at)) & (at[np.minimum(follower, max(0, len(at) - 1))] == end_of) if len(at) else np.zeros(0, bool)
     # last of the run of neighbouring candidates that each candidate starts
     breaks = np.flatnonzero(~(adjoins & (follower == np.arange(len(at)) + 1)))
+    inside = int(np.searchsorted(at, limit)) - 1  # the last candidate before the limit
     taken: list[np.ndarray] = []
 
     def first(places: np.ndarray, from_: int) -> int | None:
         k = np.searchsorted(places, from_)
         return int(places[k]) if k < len(places) else None
 
-    def done(stop: int, why: str):
+    def left(*state):
         frames = np.concatenate(taken) if taken else np.zeros(0, np.int64)
-        return at[frames], kind[frames], stop, why
+        return at[frames], kind[frames], state
 
-    after, begun = 0, False
+    mode, after = state
     while True:
+        if after >= limit:
+            return left(mode, after)
         start = after
-        if begun and after < n and content[after] != 10:
+        if mode == "after" and after < n and content[after] != 10:
             line = content.find(b"\n", after, after + junk)
             spot = first(foot, after)
             spots = [p for p in (line if line >= 0 else None, max(after, spot - 8) if spot is not None else None) if p is not None and p < after + junk]
             if spots:
                 start = min(spots)
             elif n < after + junk:
-                return done(n, "end")
+                return left("done", n, "end")
             else:
                 search = after + junk
                 x, f = first(at, search), first(foot, search)
                 spots = [p for p, size in ((x, 4), (f, len(FOOTER))) if p is not None and p + size <= search + junk]
                 if not spots:
-                    return done(search, "corrupt")
+                    return left("done", search, "corrupt")
                 start = min(spots)
+            if start >= limit:
+                return left("scan", start)
         k = int(np.searchsorted(at, start))
-        x = int(at[k]) if k < len(at) else None
+        x = int(at[k]) if k <= inside else None
         f = first(foot, start)
-        if f is not None and (x is None or x > start) and f <= (n if x is None else x) - 1 + 10:
-            return done(max(start, f - 10), "footer")
+        if f is not None and (x is None or x > start) and f <= (min(n, limit) if x is None else x) - 1 + 10:
+            return left("done", max(start, f - 10), "footer")
         if x is None:
-            return done(n, "end")
+            return left("done", n, "end") if final else left("scan", limit)
         if end_of[k] > n:
-            return done(x, "truncated")
+            return left("done", x, "truncated")
         while True:  # the run, and what adjoins it beyond markers within payloads
-            last = int(breaks[np.searchsorted(breaks, k)])
+            last = min(inside, int(breaks[np.searchsorted(breaks, k)]))
             if end_of[last] > n:  # only the file's last frame can be cut off
                 last -= 1
                 taken.append(np.arange(k, last + 1))
-                return done(int(at[last + 1]), "truncated")
+                return left("done", int(at[last + 1]), "truncated")
             taken.append(np.arange(k, last + 1))
-            if not adjoins[last]:
+            if not adjoins[last] or follower[last] > inside:
                 break
             k = int(follower[last])
             if end_of[k] > n:
-                return done(int(at[k]), "truncated")
-        after, begun = int(end_of[last]), True
+                return left("done", int(at[k]), "truncated")
+        mode, after = "after", int(end_of[last])
 
 
 def status(content: bytes, stop: int, why: str) -> tuple[bool, str]:
@@ -105,6 +124,29 @@ def status(content: bytes, stop: int, why: str) -> tuple[bool, str]:
     return footer, "complete" if footer else {"end": "missing footer", "footer": "complete"}.get(why, why)
 
 
+def frame_rows(file_id: str, key, key_type: pa.DataType, name: str, offsets: np.ndarray, values: dict) -> pa.RecordBatch:
+    n = len(offsets)
+    columns = [pa.array([key] * n, key_type), pa.array([name] * n, pa.string()), pa.array(offsets)]
+    columns += [pa.array(values[c], t) if c in values else pa.nulls(n, t) for c, t in (FIELDS | AUDIT).items()]
+    return pa.RecordBatch.from_arrays(columns, [file_id, "kind", "offset", *FIELDS, *AUDIT])
+
+
+def decoded(file_id: str, key, key_type: pa.DataType, raw: bytes, position: np.ndarray, kind: np.ndarray, start: int) -> Iterator[pa.RecordBatch]:
+    """The frames at ``position`` in ``raw``, whose first byte is at ``start`` in its file."""
+    view = np.frombuffer(raw, np.uint8)
+    for k, name in enumerate(KINDS):
+        own = position[kind == k]
+        layout = np.dtype(LAYOUTS[k])
+        for a in range(0, len(own), CHUNK):
+            some = own[a : a + CHUNK]
+            packed = view[some[:, None] + 4 + np.arange(layout.itemsize)]
+            fields = np.ascontiguousarray(packed).view(layout).ravel()
+            yield frame_rows(file_id, key, key_type, name, some + start, {c: fields[c].astype(np.int64) for c in layout.names})
+
+
+KEY_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
 def decode_frames(files: DataFrame, file_id: str = "file_id", content: str = "content", junk: int = JUNK, base: str | None = None) -> DataFrame:
     """One row per frame: file_id, kind, offset (its byte in the file) and the columns of its kind, others null; and
     one row of kind FILE per file, at offset -1, with what the audit needs. Contents go no further than this step.
@@ -118,26 +160,12 @@ def decode_frames(files: DataFrame, file_id: str = "file_id", content: str = "co
         position, kind, stop, why = walk(raw, junk)
         footer, state = status(raw, stop, why)
         audit = {"file_bytes": len(raw), "parsed_bytes": stop, "footer_found": footer, "status": state}
-
-        def batch(n: int, name, offsets: np.ndarray, values: dict) -> pa.RecordBatch:
-            columns = [pa.array([key] * n, key_type), pa.array([name] * n, pa.string()), pa.array(offsets)]
-            columns += [pa.array(values[c], t) if c in values else pa.nulls(n, t) for c, t in (FIELDS | AUDIT).items()]
-            return pa.RecordBatch.from_arrays(columns, [file_id, "kind", "offset", *FIELDS, *AUDIT])
-
-        yield batch(1, "FILE", np.array([start - 1]), {c: [v] for c, v in audit.items()})
-        view = np.frombuffer(raw, np.uint8)
-        for k, name in enumerate(KINDS):
-            own = position[kind == k]
-            layout = np.dtype(LAYOUTS[k])
-            for a in range(0, len(own), CHUNK):
-                some = own[a : a + CHUNK]
-                packed = view[some[:, None] + 4 + np.arange(layout.itemsize)]
-                fields = np.ascontiguousarray(packed).view(layout).ravel()
-                yield batch(len(some), name, some + start, {c: fields[c].astype(np.int64) for c in layout.names})
+        yield frame_rows(file_id, key, key_type, "FILE", np.array([start - 1]), {c: [v] for c, v in audit.items()})
+        yield from decoded(file_id, key, key_type, raw, position, kind, start)
 
     kept = files.select(F.col(file_id), F.col(content).alias("content"), (F.lit(0) if base is None else F.col(base)).cast("long").alias("base"))
     key_sql = kept.schema[0].dataType.simpleString()
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_sql]
+    key_type = KEY_TYPES[key_sql]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
