@@ -1,5 +1,5 @@
 """Live jobs: ingest of new files, rates and alarms."""
 
-from .live import frequency_alarm, ingest_stream, live_rates, on_time, rows_too_late, saturation_alarm, streamed_alarm, streamed_saturation, windowed_rates, with_silence
+from .live import frequency_alarm, ingest_stream, live_rates, on_time, plausible, rows_too_late, saturation_alarm, stray_rows, streamed_alarm, streamed_saturation, windowed_rates, with_silence
 
-__all__ = ["frequency_alarm", "ingest_stream", "live_rates", "on_time", "rows_too_late", "saturation_alarm", "streamed_alarm", "streamed_saturation", "windowed_rates", "with_silence"]
+__all__ = ["frequency_alarm", "ingest_stream", "live_rates", "on_time", "plausible", "rows_too_late", "saturation_alarm", "stray_rows", "streamed_alarm", "streamed_saturation", "windowed_rates", "with_silence"]

@@ -19,6 +19,8 @@ from ..sources import decode_frames
 EXPECTED = {"IMU": (417.0, 0.30, 5), "GNSS": (10.0, 0.50, 45), "PPS": (1.0, 0.50, 45)}
 SATURATION_MS, SATURATION_ROWS = 8000, 6
 WINDOW, LATE = "10 seconds", "30 seconds"
+#: How far a record's time may lie after its arrival, and windows of a silence that have a row each (a day of 10 seconds).
+AHEAD, SILENT = "1 hour", 8640
 RAW = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -47,26 +49,52 @@ def live_rates(records: DataFrame, device: str = "device", ts: str = "ts", late:
     return windowed_rates(on_time(records, ts, late), [device, "kind"], ts)
 
 
-def with_silence(rates: DataFrame, device: str = "device", kinds: list[str] | None = None, seconds: float = 10.0) -> DataFrame:
-    """Rates (device, kind, window_start, n, rate_hz) with a row of n = 0 for each window between the device's first and
-    last one, of any kind, in which a kind is silent. ``kinds``: those that every device has; by default each device's
-    own, and then a kind that never came isn't known. A device's windows are bounded by how long it ran."""
+def plausible(records: DataFrame, ts: str = "ts", ahead: str = AHEAD, behind: str | None = None, name: str = "stray_times") -> DataFrame:
+    """``records`` without those whose time lies more than ``ahead`` after the time at which they are read, or more than
+    ``behind`` before it, if that is given. A stray stamp would move the watermark of all devices, or open a silence of years.
+    They are counted under ``name`` in the query's observed metrics; null times stay."""
+    stray = F.col(ts) > F.current_timestamp() + F.expr(f"interval {ahead}")
+    if behind is not None:
+        stray = stray | (F.col(ts) < F.current_timestamp() - F.expr(f"interval {behind}"))
+    stray = F.coalesce(stray, F.lit(False))
+    return records.observe(name, F.count_if(stray).alias("rows")).where(~stray)
+
+
+def with_silence(rates: DataFrame, device: str = "device", kinds: list[str] | None = None, seconds: float = 10.0, most: int = SILENT) -> DataFrame:
+    """Rates (device, kind, window_start, n, rate_hz, windows) with a row of n = 0 for each window between the device's first
+    and last one, of any kind, in which a kind is silent. ``kinds``: those that every device has; by default each device's
+    own, and then a kind that never came isn't known.
+
+    Silences are found from one window to the next. Of a silence of more than ``most`` windows the first ``most`` have a row
+    each, and what is left has one row, whose ``windows`` tells how many it stands for; elsewhere that is 1. So a stray time
+    costs ``most`` rows a kind, not the windows of all the time between."""
     step = int(seconds * 1e6)
     at = F.unix_micros("window_start")
-    span = rates.groupBy(device).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.collect_set("kind").alias("own"))
+    span = rates.groupBy(device).agg(F.min(at).alias("__first"), F.max(at).alias("__last"), F.collect_set("kind").alias("own"))
     known = F.col("own") if kinds is None else F.array(*map(F.lit, kinds))
-    silent = span.select(device, F.explode(known).alias("kind"), "first", "last")
-    silent = silent.select(device, "kind", F.explode(F.sequence("first", "last", F.lit(step))).alias("at")).select(device, "kind", F.timestamp_micros("at").alias("window_start"), F.lit(0).cast("long").alias("n"))
-    x = rates.select(device, "kind", "window_start", "n").unionByName(silent)
-    return x.groupBy(device, "kind", "window_start").agg(F.sum("n").alias("n")).withColumn("rate_hz", F.col("n") / seconds)
+    # each kind begins a window before the device does, with what isn't a window
+    begins = span.select(device, F.explode(known).alias("kind"), (F.col("__first") - step).alias("at"), (F.col("__last") + step).alias("__end"))
+    own = rates.select(device, "kind", at.alias("at"), "n")
+    w = Window.partitionBy(device, "kind").orderBy("at")
+    x = own.unionByName(begins, allowMissingColumns=True).withColumn("__end", F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("missing", ((F.coalesce(F.lead("at").over(w), "__end") - F.col("at")) / step).cast("long") - 1)
+    one = F.lit(1).cast("long")
+    row = lambda at, n, windows: F.struct(at.alias("at"), n.cast("long").alias("n"), windows.alias("windows"))
+    silent = F.transform(F.sequence(one, F.least(F.col("missing"), F.lit(most))), lambda k: row(F.col("at") + k * step, F.lit(0), one))
+    rest = F.array(row(F.col("at") + (most + 1) * step, F.lit(0), F.col("missing") - most))
+    nothing = F.filter(rest, lambda r: F.lit(False))
+    rows = F.concat(F.when(F.col("n").isNotNull(), F.array(row(F.col("at"), F.col("n"), one))).otherwise(nothing), F.when(F.col("missing") > 0, silent).otherwise(nothing), F.when(F.col("missing") > most, rest).otherwise(nothing))
+    x = x.select(device, "kind", F.explode(rows).alias("r"))
+    return x.select(device, "kind", F.timestamp_micros("r.at").alias("window_start"), "r.n", (F.col("r.n") / seconds).alias("rate_hz"), "r.windows")
 
 
 def bad_in_a_row(rows: DataFrame, bad: Column, keys: list[str], order: str) -> DataFrame:
-    """``in_a_row``: bad rows up to this one since the last good one."""
+    """``in_a_row``: bad rows up to this one since the last good one. A row with a column ``windows`` counts as so many."""
     w = Window.partitionBy(*keys).orderBy(order)
     x = rows.withColumn("__bad", bad).withColumn("__good", F.sum((~F.col("__bad")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     streak = Window.partitionBy(*keys, "__good").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("in_a_row", F.sum(F.col("__bad").cast("int")).over(streak)).drop("__bad", "__good")
+    counted = F.col("__bad").cast("int") * F.col("windows") if "windows" in rows.columns else F.col("__bad").cast("int")
+    return x.withColumn("in_a_row", F.sum(counted).over(streak)).drop("__bad", "__good")
 
 
 def frequency_alarm(rates: DataFrame, keys: list[str], expected: Column, tolerance: Column, rows: Column, order: str = "window_start") -> DataFrame:
@@ -82,13 +110,14 @@ def saturation_alarm(windows: DataFrame, keys: list[str], busy: str = "write_ms"
     return x.withColumn("alarm", F.col("in_a_row") >= rows)
 
 
-def streamed_alarm(rates: DataFrame, device: str = "device", expected: dict[str, tuple[float, float, int]] | None = None, seconds: float = 10.0, late: str = LATE) -> DataFrame:
+def streamed_alarm(rates: DataFrame, device: str = "device", expected: dict[str, tuple[float, float, int]] | None = None, seconds: float = 10.0, late: str = LATE, ahead: str = AHEAD, most: int = SILENT) -> DataFrame:
     """The frequency alarm over a stream of finished windows, as read from the table that ``live_rates`` appends to (one
     query can't keep state after an aggregation).
 
     From a device's first window on, each kind of ``expected`` is judged in every window, in order. A window that isn't
     there when the stream's watermark has passed it gets a row with n = 0, be the kind or the whole device silent; what
-    lies beyond it waits till then. As long as any device is heard, the watermark moves on. The state is, per device, a
+    lies beyond it waits till then. Of a silence of more than ``most`` windows the first ``most`` and the last one have rows, and
+    the streak counts all. Windows more than ``ahead`` after their arrival are set aside (see ``plausible``). As long as any device is heard, the watermark moves on. The state is, per device, a
     place and a streak for each kind and the windows that wait. Windows of kinds that ``expected`` doesn't name are not
     judged and give no rows; a window that comes when its place has been judged is judged by itself."""
     known = expected or EXPECTED
@@ -122,8 +151,13 @@ def streamed_alarm(rates: DataFrame, device: str = "device", expected: dict[str,
             else:
                 places[kind][2][str(at)] = (n, rate)
         for kind, place in places.items():
+            silent = 0
             while (found := place[2].pop(str(place[0]), None)) or place[0] <= passed:
                 n, rate = found or (0, 0.0)
+                silent = 0 if found else silent + 1
+                if silent > most:  # on to the last silent window, which stands for those that are passed over
+                    skipped = (min([passed + 1, *map(int, place[2])]) - place[0] - 1) // step
+                    place[0], place[1], silent = place[0] + skipped * step, place[1] + skipped, 0
                 place[1] = judged(kind, place[0], n, rate, place[1])
                 place[0] += step
                 if len(out) >= chunk:
@@ -135,6 +169,7 @@ def streamed_alarm(rates: DataFrame, device: str = "device", expected: dict[str,
 
     kind = rates.schema[device].dataType.simpleString()
     schema = f"`{device}` {kind}, kind string, at long, n long, rate_hz double, in_a_row int, alarm boolean"
+    rates = plausible(rates, "window_start", ahead) if rates.isStreaming else rates
     known_late = on_time(rates.where(F.col("kind").isin(*known)), "window_start", late).withColumn("at", F.unix_micros("window_start"))
     out = known_late.groupBy(device).applyInPandasWithState(judge, schema, "places string", "append", "EventTimeTimeout")
     return out.select(device, "kind", F.timestamp_micros("at").alias("window_start"), "n", "rate_hz", "in_a_row", "alarm")
@@ -170,6 +205,12 @@ def streamed_saturation(windows: DataFrame, device: str = "device", busy: str =
     return out.select(device, F.timestamp_micros("at").alias("window_start"), F.col("busy").alias(busy), "in_a_row", "alarm")
 
 
+def stray_rows(query, name: str = "stray_times") -> int:
+    """Rows that ``plausible`` has set aside in a streaming query, as far as its progress goes back."""
+    found = (progress["observedMetrics"].get(name) for progress in query.recentProgress)
+    return sum(row["rows"] if isinstance(row, dict) else row.rows for row in found if row is not None)
+
+
 def rows_too_late(query) -> int:
     """Rows that a streaming query has dropped because they came after the watermark, as far as its progress goes back."""
     return sum(int(operator["numRowsDroppedByWatermark"]) for progress in query.recentProgress for operator in progress["stateOperators"])
