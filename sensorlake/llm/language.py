@@ -21,12 +21,12 @@ BUCKET_BITS = 16
 ORDERS = (2, 3, 4)
 #: What a change of language costs, in nats of the words' scores.
 SWITCH = 15.0
-#: What a language costs whose texts have less than RARE of their letters in the word's script.
+#: What a language costs whose texts have less than RARE of their letters in the word's script; such ones aren't scored.
 FOREIGN, RARE = 60.0, 0.002
 #: Bytes of texts in a slice (one text at least), and characters that are looked at at a time.
 SLICE, PIECE = 2_000_000, 500_000
-#: Languages that a model knows, at most: those with most documents. Their tables take 512 KB each.
-LANGUAGES = 256
+#: The sample of more languages than this is joined by a shuffle, not broadcast.
+BROADCAST_LANGUAGES = 256
 
 #: First and last code points of scripts; letters elsewhere are of script 0.
 SCRIPTS = {
@@ -99,30 +99,41 @@ class Words:
                 yield ((hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), valid
 
     def scores(self, model: LanguageModel) -> np.ndarray:
-        """(words, languages): sums of the n-grams' log probabilities, and what foreign scripts cost."""
-        out = np.zeros((len(self.start), len(model.languages)), np.float64)
-        if not len(self.start):
+        """(words, languages): sums of the n-grams' log probabilities for the languages that use the word's script. The
+        others' tables aren't looked at: they stand FOREIGN below the least of those."""
+        out = np.zeros((len(self.start), len(model.languages)), np.float32)
+        if not len(self.start) or not len(model.languages):
             return out
         grams = list(self.grams())
-        for k, table in enumerate(model.tables):
-            begun = np.zeros(len(self.codes) + 1)
-            for bucket, valid in grams:
-                begun[1 : len(bucket) + 1] += np.where(valid, table[bucket], 0.0)
-            sums = np.cumsum(begun)
-            # n-grams that begin at the blank before the word or at one of its letters
-            out[:, k] = (sums[self.end] - sums[self.start - 1]) / len(ORDERS)
-        return out - model.foreign[self.script]
+        for script in np.unique(self.script).tolist():
+            own = np.flatnonzero(self.script == script)
+            known = np.flatnonzero(model.uses[script])
+            # n-grams that begin at the blank before a word or at one of its letters, word after word
+            start, sizes = self.start[own] - 1, self.end[own] - self.start[own] + 1
+            firsts = np.cumsum(sizes) - sizes
+            at = np.arange(int(sizes.sum())) + np.repeat(start - firsts, sizes)
+            found = [(bucket[np.minimum(at, len(bucket) - 1)], valid[np.minimum(at, len(bucket) - 1)] & (at < len(bucket))) for bucket, valid in grams]
+            for k in known.tolist():
+                table = model.tables[k]
+                held = sum(np.where(valid, table[bucket], np.float32(0)) for bucket, valid in found)
+                out[own, k] = np.add.reduceat(held.astype(np.float64), firsts) / len(ORDERS)
+            others = np.flatnonzero(~model.uses[script])
+            if len(others):
+                out[np.ix_(own, others)] = out[np.ix_(own, known)].min(axis=1, keepdims=True) - FOREIGN
+        return out
 
 
 class LanguageModel:
-    def __init__(self, languages: list[str], tables: np.ndarray, foreign: np.ndarray):
-        self.languages, self.tables, self.foreign = languages, tables, foreign
+    """Names, log probabilities of n-gram buckets (a row of 256 KB per language), and which languages use a script."""
+
+    def __init__(self, languages: list[str], tables: np.ndarray, uses: np.ndarray):
+        self.languages, self.tables, self.uses = languages, tables, uses
 
 
 def scored(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first character, end and scores of each word of the texts. Only the scores of a long text are held whole,
-    at 8 bytes a word and language; its characters are looked at PIECE at a time."""
-    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros((0, len(model.languages))),)]
+    at 4 bytes a word and language; its characters are looked at PIECE at a time."""
+    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros((0, len(model.languages)), np.float32),)]
     for parts, of, at in pieces(texts, PIECE):
         words = Words(parts)
         of, at = np.array(of)[words.text], np.array(at)[words.text]
@@ -131,21 +142,23 @@ def scored(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarr
 
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
-    """Label of each word. The words of a text follow one another; all texts take a step at a time."""
+    """Label of each word. The words of a text follow one another; all texts take a step at a time. Of each step are kept
+    a bit per language (whether its best way comes from another one) and the best language."""
+    languages = scores.shape[1]
     labels = np.zeros(len(scores), np.int64)
     order = np.argsort(-counts, kind="stable")
     first, length = (np.cumsum(counts) - counts)[order], counts[order]
     steps = int(length[0]) if len(length) else 0
     running = np.searchsorted(-length, -np.arange(steps), "left")
-    switched, best = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int64)
-    value = np.zeros((len(order), scores.shape[1]))
+    switched, best = np.zeros((len(scores), (languages + 7) // 8), np.uint8), np.zeros(len(scores), np.int32)
+    value = np.zeros((len(order), languages))
     for t in range(steps):
         n = running[t]
         at, v = first[:n] + t, value[:n]
         if t:
             top = v.argmax(axis=1)
             jump = v[np.arange(n), top][:, None] - penalty
-            switched[at], best[at] = jump > v, top
+            switched[at], best[at] = np.packbits(jump > v, axis=1), top
             v = np.maximum(v, jump)
         value[:n] = v + scores[at]
     state = value.argmax(axis=1) if len(order) else None
@@ -154,19 +167,19 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
         at, s = first[:n] + t, state[:n]
         labels[at] = s
         if t:
-            state[:n] = np.where(switched[at, s], best[at], s)
+            state[:n] = np.where(switched[at, s // 8] >> (7 - s % 8) & 1, best[at], s)
     return labels
 
 
-def fit(docs: DataFrame, allowed: Column | None = None, per_language: int = PER_LANGUAGE, most: int = LANGUAGES) -> LanguageModel:
+def fit(docs: DataFrame, allowed: Column | None = None, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fit on at most ``per_language`` documents of each non-null ``lang``, out of those that ``allowed`` (a condition
-    over doc_id) admits. A repeated id counts once, with its greatest text and language. Of more than ``most`` languages
-    those with most documents are learned. Without labelled documents the model knows no language."""
+    over doc_id) admits. A repeated id counts once, with its greatest text and language. All languages are learned; of
+    each, one row of at most 256 KB comes to the driver. Without labelled documents the model knows no language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if allowed is None else allowed))
     ids = store(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("lang").alias("lang")), "language-ids")
-    languages = sorted(r["lang"] for r in ids.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most).collect())
-    chosen = store(least_hashed(ids.where(F.col("lang").isin(languages)), per_language, "lang"), "language-sample")
-    side = F.broadcast(chosen)  # most * per_language rows of an id and a name
+    languages = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
+    chosen = store(least_hashed(ids, per_language, "lang"), "language-sample")
+    side = F.broadcast(chosen) if len(languages) <= BROADCAST_LANGUAGES else chosen
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(side, "doc_id")
     texts = texts.groupBy("doc_id").agg(F.max("lang").alias("lang"), F.max("text").alias("text"))
 
@@ -183,29 +196,34 @@ def fit(docs: DataFrame, allowed: Column | None = None, per_language: int = PER_
                     for bucket, valid in words.grams():
                         grams[lang] = grams.get(lang, 0) + np.bincount(bucket[valid], minlength=1 << BUCKET_BITS)
                     letters[lang] = letters.get(lang, 0) + np.bincount(words.script, words.end - words.start, 1 + len(SCRIPTS)).astype(np.int64)
-        for kind, found in (("gram", grams), ("script", letters)):
-            for lang, n in found.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([kind] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "kind", "at", "n"])
-
-    counted = texts.mapInArrow(count, "lang string, kind string, at long, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
-    tables = np.zeros((len(languages), 1 << BUCKET_BITS))
-    scripts = np.zeros((len(languages), 1 + len(SCRIPTS)))
+        none = np.zeros(1 + len(SCRIPTS), np.int64)
+        for lang, n in grams.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "grams": [n.astype("<i8").tobytes()], "scripts": [letters.get(lang, none).tolist()]})
+
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, scripts = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 + len(SCRIPTS), np.int64)
+        for part in parts:
+            for g, n in zip(part.column("grams"), part.column("scripts").to_pylist(), strict=True):
+                grams += np.frombuffer(g.as_py(), "<i8")
+                scripts += np.array(n)
+        log = np.log((grams + 0.5) / (grams.sum() + 0.5 * (1 << BUCKET_BITS))).astype("<f4")
+        yield pa.RecordBatch.from_pydict({"lang": [key[0].as_py()], "grams": [log.tobytes()], "scripts": [scripts.tolist()]})
+
+    # a task's counts of a language are one row of 512 KB; a language's become one of 256 KB
+    counted = texts.mapInArrow(count, COUNTED).groupBy("lang").applyInArrow(add, COUNTED)
+    unseen = np.full(1 << BUCKET_BITS, -np.log(1 << BUCKET_BITS), np.float32)
+    tables, scripts = np.tile(unseen, (len(languages), 1)), np.zeros((len(languages), 1 + len(SCRIPTS)))
     place = {lang: k for k, lang in enumerate(languages)}
-    got = counted.toArrow() if languages else None  # at most 65536 + 20 numbers per language
-    if got is not None and got.num_rows:
-        lang = np.array([place[x] for x in got.column("lang").to_pylist()])
-        gram = np.array(got.column("kind").to_pylist()) == "gram"
-        at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
-        tables[lang[gram], at[gram]] = n[gram]
-        scripts[lang[~gram], at[~gram]] = n[~gram]
-    log = np.log((tables + 0.5) / (tables.sum(axis=1, keepdims=True) + 0.5 * (1 << BUCKET_BITS)))
+    for r in counted.toLocalIterator() if languages else ():
+        tables[place[r["lang"]]] = np.frombuffer(r["grams"], "<f4")
+        scripts[place[r["lang"]]] = r["scripts"]
     share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
-    foreign = np.where(share >= RARE, 0.0, FOREIGN).T
-    foreign[(share < RARE).all(axis=0)] = 0.0  # a script that no language is known to use excludes none
-    return LanguageModel(languages, log, foreign)
+    uses = (share >= RARE).T
+    uses[~uses.any(axis=1)] = True  # a script that no language is known to use excludes none
+    return LanguageModel(languages, tables, uses)
 
 
+COUNTED = "lang string, grams binary, scripts array<long>"
 SPANS = "array<struct<start: long, end: long, lang: string>>"
 _ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
@@ -243,6 +261,7 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> D
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose crc32(doc_id) mod 5 is not 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = fold(F.col("doc_id"), 5) == 0
     found = identify(docs, fit(docs, ~held_out))

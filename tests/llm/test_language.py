@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -43,7 +46,7 @@ def test_words_and_scores_by_hand():
     w = language.Words(texts)
     assert [(t, texts[t][a:b]) for t, a, b in zip(w.text, w.first, w.last)] == [(0, "Ab"), (0, "cd"), (2, "éA"), (2, "x")]
     tables = np.random.default_rng(1).normal(size=(2, 1 << language.BUCKET_BITS))
-    model = language.LanguageModel(["p", "q"], tables, np.zeros((1 + len(language.SCRIPTS), 2)))
+    model = language.LanguageModel(["p", "q"], tables.astype(np.float32), np.ones((1 + len(language.SCRIPTS), 2), bool))
     together = w.scores(model)
     alone = np.concatenate([language.Words([x]).scores(model) for x in ("ab", "cd", "éa", "x")])
     assert np.allclose(together, alone)
@@ -105,8 +108,79 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(whole[:3], parts[:3])) and np.allclose(whole[3], parts[3])
 
 
-def test_most_languages_and_hot_ones(spark):
-    rows = [(i, f"word{i} text", "hot" if i % 3 else f"l{i % 40}") for i in range(900)]
+def plain_words(text):
+    return [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text)]
+
+
+def plain_bucket(gram):
+    """As the module states: a polynomial of the code points in 64 bits, mixed, its upper bits."""
+    h = 0
+    for c in gram:
+        h = (h * 0x9E3779B1 + ord(c)) % 2**64
+    return ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - language.BUCKET_BITS)
+
+
+def plain_grams(text, a, b):
+    """The n-grams that begin at the blank before a word or at one of its letters and lie in it with a blank on each side;
+    of pairs also those that end in what follows."""
+    word = " " + text[a:b].lower() + " "
+    for n in language.ORDERS:
+        for k in range(len(word) - n + 1):
+            yield word[k : k + n]
+
+
+def script_of(c):
+    return next((k for k, ranges in enumerate(language.SCRIPTS.values(), 1) if any(x <= ord(c) <= y for x, y in ranges)), 0)
+
+
+def test_fit_scores_and_labels_by_brute_force(spark):
+    samples = {"en": ["the cat and the dog", "a word of the day", "and then of"], "de": ["der hund und die katze", "ein wort der zeit"], "ru": ["привет мой друг", "слово дня и ночи"], "el": ["καλη μερα φιλε μου"]}
+    rows = [(10 * j + i, t, lang) for j, (lang, texts) in enumerate(samples.items()) for i, t in enumerate(texts)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    names = sorted(samples)
+    assert model.languages == names
+    logs, shares = {}, {}
+    for lang, texts in samples.items():
+        grams = Counter(plain_bucket(g) for t in texts for a, b in plain_words(t) for g in plain_grams(t, a, b))
+        logs[lang] = {g: math.log((n + 0.5) / (grams.total() + 0.5 * 2**16)) for g, n in grams.items()} | {None: math.log(0.5 / (grams.total() + 0.5 * 2**16))}
+        letters = Counter(script_of(t[a]) for t in texts for a, b in plain_words(t) for _ in range(a, b))
+        shares[lang] = {k: n / letters.total() for k, n in letters.items()}
+    mixed = ["the katze und the dog", "привет the друг", "μερα und слово", "zz щщ", "ა б"]
+
+    def scores(text):
+        out = []
+        for a, b in plain_words(text):
+            uses = [x for x in names if shares[x].get(script_of(text[a]), 0) >= language.RARE] or names
+            own = {x: sum(logs[x].get(plain_bucket(g), logs[x][None]) for g in plain_grams(text, a, b)) / 3 for x in uses}
+            out.append([own.get(x, min(own.values()) - language.FOREIGN) for x in names])
+        return out
+
+    text, first, last, got = language.scored(mixed, model)
+    want = [row for t in mixed for row in scores(t)]
+    assert [(t, a, b) for t, a, b in zip(text, first, last)] == [(k, a, b) for k, t in enumerate(mixed) for a, b in plain_words(t)]
+    assert np.allclose(got, want, atol=1e-3)
+    labelled = language.identify(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string"), model, 2.0).collect()
+    for r in labelled:
+        t = mixed[r.doc_id]
+        letters = Counter()
+        labels = []
+        for a, b in plain_words(t):
+            lang = next(s.lang for s in r.spans if s.start <= a and b <= s.end)
+            letters[lang] += b - a
+            labels.append(names.index(lang))
+        assert abs(value(scores(t), labels, 2.0) - brute(scores(t), 2.0)) < 1e-2
+        top = min(letters, key=lambda x: (-letters[x], x))
+        assert r.lang_pred == top and abs(r.score - letters[top] / letters.total()) < 1e-9
+
+
+def test_many_languages_and_hot_ones(spark, monkeypatch):
+    rows = [(i, f"word{i} text", "hot" if i % 3 else f"l{i // 3:03d}") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert language.fit(docs, most=3).languages[0] == "hot" and len(language.fit(docs, most=3).languages) == 3
-    assert len(language.fit(docs).languages) == len({x for _, _, x in rows})
+    assert language.fit(docs).languages == sorted({x for _, _, x in rows}) and len({x for _, _, x in rows}) == 301
+    monkeypatch.setattr(language, "BROADCAST_LANGUAGES", 2)
+    model = language.fit(docs)
+    assert len(model.languages) == 301 and model.tables.dtype == np.float32
+    rng = np.random.default_rng(5)
+    counts, scores = np.array([4, 0, 7]), rng.normal(0, 3, (11, 301))
+    labels = language.viterbi(scores, counts, 4.0)
+    assert abs(value(scores[4:], labels[4:], 4.0) - brute(scores[4:], 4.0)) < 1e-9
