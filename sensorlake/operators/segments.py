@@ -55,20 +55,26 @@ def _segment_state(blocked: DataFrame, rows: Column, limit: int) -> DataFrame:
     return s.select("file_id", "__block", F.lit("IMU").alias("kind"), F.col("reading").alias("micros_reading"), F.col("run").alias("__run"), F.coalesce(F.sum("opens").over(prior), F.lit(0)).alias("__opened"))
 
 
-def assign_segments(records: DataFrame, rows_per_segment: int | Column, limit: int = 1_000_000, span: int = BLOCK) -> DataFrame:
+def assign_segments(records: DataFrame, rows_per_segment: int | Column, limit: int = 1_000_000, span: int | None = None) -> DataFrame:
     """``segment`` from 0: a jumped IMU record opens one, and so does the record after ``rows_per_segment`` IMU records.
     PPS and GNSS records belong where they lie in the file. ``imu_filled`` tells whether the last IMU record so far has
     filled its segment. ``rows_per_segment`` may be a column, one value per file.
 
-    Files may be of any length: records are shuffled and sorted once, by blocks of ``span`` offsets, and each block learns
-    from a table of all blocks where the series and the count of segments stand. That table is made from four columns."""
+    With ``span`` files may be of any length: records are shuffled and sorted once, by blocks of so many offsets, and each
+    block learns from a table of all blocks where the series and the count of segments stand. That table is made from
+    four columns. Without it a file is read in one piece, and there is no such table."""
     rows = rows_per_segment if isinstance(rows_per_segment, Column) else F.lit(rows_per_segment)
-    blocked = scan.with_blocks(records, span)
-    x = scan.with_halo(blocked, _segment_state(blocked, rows, limit))
-    so_far = scan.within(FILE).rowsBetween(*SO_FAR)
+    if span is None:
+        w = Window.partitionBy(*FILE).orderBy("offset")
+        x, run, begun = records.withColumns({"__row": F.lit(1), "__block": F.lit(0)}), F.lit(0), F.lit(0)
+    else:
+        blocked = scan.with_blocks(records, span)
+        w = scan.within(FILE)
+        x, run, begun = scan.with_halo(blocked, _segment_state(blocked, rows, limit)), scan.carried("__run", FILE), scan.carried("__opened", FILE)
+    so_far = w.rowsBetween(*SO_FAR)
     of_imu, imu = F.col("kind") == "IMU", (F.col("kind") == "IMU") & (F.col("__row") == 1)
-    before = F.last(F.when(of_imu, F.col("micros_reading")), ignorenulls=True).over(scan.within(FILE).rowsBetween(*BEFORE))
-    x = x.withColumns({"imu_jump": imu & _jumped(F.col("micros_reading") - before, limit), "so_far": F.sum(imu.cast("long")).over(so_far), "run": scan.carried("__run", FILE), "begun": scan.carried("__opened", FILE)})
+    before = F.last(F.when(of_imu, F.col("micros_reading")), ignorenulls=True).over(w.rowsBetween(*BEFORE))
+    x = x.withColumns({"imu_jump": imu & _jumped(F.col("micros_reading") - before, limit), "so_far": F.sum(imu.cast("long")).over(so_far), "run": run, "begun": begun})
     # a record's place since the last jump: the running count less what it was before that
     x = x.withColumn("nth", F.col("so_far") - F.coalesce(F.max(F.when(F.col("imu_jump"), F.col("so_far") - 1)).over(so_far), -F.col("run")))
     opens = imu & (F.col("imu_jump") | ((F.col("nth") > 1) & ((F.col("nth") - 1) % rows == 0)))

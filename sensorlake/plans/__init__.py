@@ -1,5 +1,5 @@
 """Whole runs: decode and synchronise, analyse, report."""
 
-from .synchronise import Settings, clock_fits, decode, decode_and_synchronise, segmented, synchronise, with_steps
+from .synchronise import Settings, clock_fits, decode, decode_and_synchronise, decode_log_files, segmented, synchronise, synchronise_files, with_steps
 
-__all__ = ["Settings", "clock_fits", "decode", "decode_and_synchronise", "segmented", "synchronise", "with_steps"]
+__all__ = ["Settings", "clock_fits", "decode", "decode_and_synchronise", "decode_log_files", "segmented", "synchronise", "synchronise_files", "with_steps"]

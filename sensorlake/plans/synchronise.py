@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import gnss_posix_seconds, scale_gnss, scale_imu
 from ..operators import clock, outliers, scan, segments, unwrap
 from ..shared import store
-from ..sources import audit, decode_frames, parse_file_name, parse_header
+from ..sources import audit, decode_frames, decode_ranges, parse_file_name, parse_header, register
+from ..sources.frames import JUNK
+from ..sources.ranges import REACH
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,19 @@ def decode(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return store(files, "files"), frames
 
 
+def decode_log_files(spark: SparkSession, where: Column | None = None, **options: str) -> tuple[DataFrame, DataFrame]:
+    """(files, frames) as ``decode`` gives them, read by the source ``sensor_log_files`` (``options``: path, or paths as
+    JSON): files of any length in ranges that are decoded apart, and headers from the files' first 64 KiB. ``where``, over
+    boot_id and file_start, chooses files by their names."""
+    register(spark)
+    source = lambda what: spark.read.format("sensor_log_files").options(what=what, **options).load().where(F.lit(True) if where is None else where)
+    ranges = source("ranges").withColumn("file_id", F.xxhash64("path"))
+    junk, reach = int(options.get("junk", JUNK)), int(options.get("reach", REACH))
+    frames = store(decode_ranges(ranges, junk, reach), "frames")
+    headers = parse_header(source("heads").withColumn("file_id", F.xxhash64("path"))).drop("content", "length")
+    return store(headers.join(audit(frames), "file_id"), "files"), frames
+
+
 def segmented(records: DataFrame, settings: Settings) -> DataFrame:
     """Records with segments of ``settings.rows_per_segment`` IMU records; without it, of as many as the file's own
     ``file_rows`` says, a column of the records if they have it."""
@@ -102,7 +117,11 @@ def synchronise(records: DataFrame, settings: Settings, trailing: DataFrame | No
 
 def decode_and_synchronise(raw: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """Everything, from raw files to tables ready for write_tables: files, segments, pps, gnss, imu."""
-    files, frames = decode(raw)
+    return synchronise_files(*decode(raw), settings)
+
+
+def synchronise_files(files: DataFrame, frames: DataFrame, settings: Settings) -> dict[str, DataFrame]:
+    """Tables ready for write_tables from decoded files: files, segments, pps, gnss, imu."""
     records = frames.where("kind <> 'FILE'")
     own = files.select("file_id", "boot_id", F.to_date("file_start").alias("date"), "acc_sensitivity", "gyr_sensitivity")
     ends = records.groupBy("file_id").agg(F.max(F.col("offset") + F.when(F.col("kind") == "IMU", 24).when(F.col("kind") == "PPS", 8).otherwise(40)).alias("end"))
