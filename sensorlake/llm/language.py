@@ -196,21 +196,22 @@ def fit(docs: DataFrame, allowed: Column | None = None, per_language: int = PER_
                     for bucket, valid in words.grams():
                         grams[lang] = grams.get(lang, 0) + np.bincount(bucket[valid], minlength=1 << BUCKET_BITS)
                     letters[lang] = letters.get(lang, 0) + np.bincount(words.script, words.end - words.start, 1 + len(SCRIPTS)).astype(np.int64)
-        none = np.zeros(1 + len(SCRIPTS), np.int64)
-        for lang, n in grams.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "grams": [n.astype("<i8").tobytes()], "scripts": [letters.get(lang, none).tolist()]})
+        for kind, found in (("gram", grams), ("script", letters)):
+            for lang, n in found.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([kind] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["lang", "kind", "at", "n"])
 
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, scripts = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 + len(SCRIPTS), np.int64)
         for part in parts:
-            for g, n in zip(part.column("grams"), part.column("scripts").to_pylist(), strict=True):
-                grams += np.frombuffer(g.as_py(), "<i8")
-                scripts += np.array(n)
+            gram, at, n = np.array(part.column("kind").to_pylist()) == "gram", part.column("at").to_numpy(), part.column("n").to_numpy()
+            grams[at[gram]], scripts[at[~gram]] = n[gram], n[~gram]
         log = np.log((grams + 0.5) / (grams.sum() + 0.5 * (1 << BUCKET_BITS))).astype("<f4")
         yield pa.RecordBatch.from_pydict({"lang": [key[0].as_py()], "grams": [log.tobytes()], "scripts": [scripts.tolist()]})
 
-    # a task's counts of a language are one row of 512 KB; a language's become one of 256 KB
-    counted = texts.mapInArrow(count, COUNTED).groupBy("lang").applyInArrow(add, COUNTED)
+    # summed before and behind the shuffle; a language has 65556 numbers at most
+    summed = texts.mapInArrow(count, "lang string, kind string, at long, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
+    counted = summed.groupBy("lang").applyInArrow(table, COUNTED)
     unseen = np.full(1 << BUCKET_BITS, -np.log(1 << BUCKET_BITS), np.float32)
     tables, scripts = np.tile(unseen, (len(languages), 1)), np.zeros((len(languages), 1 + len(SCRIPTS)))
     place = {lang: k for k, lang in enumerate(languages)}
