@@ -25,6 +25,8 @@ SWITCH = 15.0
 FOREIGN, RARE = 60.0, 0.002
 #: Bytes of texts in a slice (one text at least), and characters that are looked at at a time.
 SLICE, PIECE = 2_000_000, 500_000
+#: Languages up to which the way back takes a byte each.
+BYTES = 64
 #: The sample of more languages than this is joined by a shuffle, not broadcast.
 BROADCAST_LANGUAGES = 256
 
@@ -143,14 +145,15 @@ def scored(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarr
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
     """Label of each word. The words of a text follow one another; all texts take a step at a time. Of each step are kept
-    a bit per language (whether its best way comes from another one) and the best language."""
+    whether a language's best way comes from another one (a byte per language, a bit where there are over BYTES) and the best."""
     languages = scores.shape[1]
+    packed = languages > BYTES
     labels = np.zeros(len(scores), np.int64)
     order = np.argsort(-counts, kind="stable")
     first, length = (np.cumsum(counts) - counts)[order], counts[order]
     steps = int(length[0]) if len(length) else 0
     running = np.searchsorted(-length, -np.arange(steps), "left")
-    switched, best = np.zeros((len(scores), (languages + 7) // 8), np.uint8), np.zeros(len(scores), np.int32)
+    switched, best = np.zeros((len(scores), (languages + 7) // 8 if packed else languages), np.uint8), np.zeros(len(scores), np.int32)
     value = np.zeros((len(order), languages))
     for t in range(steps):
         n = running[t]
@@ -158,7 +161,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
         if t:
             top = v.argmax(axis=1)
             jump = v[np.arange(n), top][:, None] - penalty
-            switched[at], best[at] = np.packbits(jump > v, axis=1), top
+            switched[at], best[at] = np.packbits(jump > v, axis=1) if packed else jump > v, top
             v = np.maximum(v, jump)
         value[:n] = v + scores[at]
     state = value.argmax(axis=1) if len(order) else None
@@ -167,7 +170,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
         at, s = first[:n] + t, state[:n]
         labels[at] = s
         if t:
-            state[:n] = np.where(switched[at, s // 8] >> (7 - s % 8) & 1, best[at], s)
+            state[:n] = np.where(switched[at, s // 8] >> (7 - s % 8) & 1 if packed else switched[at, s], best[at], s)
     return labels
 
 
