@@ -505,5 +505,5 @@ def queries() -> dict:
     return {name: bound(f) for name, f in FOUND.items()}
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    return FOUND["quality_report"](spark, "/root/testdata/sf0.001")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FOUND["quality_report"](spark, sf_dir)
