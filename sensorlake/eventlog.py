@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .plans import Settings
 
-SETTINGS = Settings(turn=2**32, counter_turn=256, ticks=15_625, jump=2**31, rows_per_segment=8, carry_from=3, deviation_seconds=144_000.0, r2=0.99, mismatch=0.2, block=2 * 86_400_000_000)
+SETTINGS = Settings(turn=2**32, counter_turn=256, ticks=15_625, jump=2**31, rows_per_segment=8, carry_from=3, deviation_seconds=144_000.0, r2=0.99, mismatch=0.2, block=2 * 86_400_000_000, clock_block=2 * 86_400 * 15_625)
 
 #: Frames in a part of a raw file; and the time, a logger's 15 minutes, within which frames are numbered at once.
 PART_FRAMES, SLOT_MICROS = 65_536, 900_000_000

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .outliers import flag_outliers
-from .segments import SO_FAR
+from .scan import SO_FAR, blocks_before
 
 #: Ticks of the device clock in a second.
 TICKS = 1_000_000
+SERIES = ("file_id", "segment")
 PAIRS_TO_FILTER, PAIR_NEIGHBOURS, PAIR_SIGMA = 7, 4, 1
 
 
@@ -21,21 +22,40 @@ def check_clock_consistency(records: DataFrame, value: str = "micros_reading_unw
     return spread.withColumn("consistency_ok", F.coalesce(F.greatest("min_spread", "max_spread") <= int(seconds * ticks), F.lit(True)))
 
 
-def match_nearest(pulses: DataFrame, fixes: DataFrame, value: str = "micros_reading_unwrapped") -> DataFrame:
+def _fixes_beside(both: DataFrame) -> DataFrame:
+    """For each block the last fix before it and the first one after it, as rows of the block. A block's own first and last
+    fix are all that the table of blocks holds, so it is small however many fixes there are."""
+    fix = F.when(F.col("is_fix") == 1, F.struct("offset", "micros", "gnss_utc"))
+    # of equal clocks the first in the file counts, at either end
+    ends = both.groupBy(*SERIES, "__block").agg(F.min_by(fix, F.when(fix.isNotNull(), F.struct("micros", "offset"))).alias("first"), F.max_by(fix, F.when(fix.isNotNull(), F.struct(F.col("micros"), -F.col("offset")))).alias("last"))
+    by = ", ".join(SERIES)
+    beside = ends.select(*SERIES, "__block", F.last("last", ignorenulls=True).over(blocks_before(SERIES)).alias("before"), F.expr(f"lead(first) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY __block)").alias("after"))
+    rows = beside.select(*SERIES, "__block", F.explode(F.array("before", "after")).alias("fix")).where("fix IS NOT NULL")
+    return rows.select(*SERIES, "fix.*", F.lit(1).alias("is_fix"), "__block")
+
+
+def match_nearest(pulses: DataFrame, fixes: DataFrame, value: str = "micros_reading_unwrapped", span: int | None = None) -> DataFrame:
     """Each pulse with the fix of its segment whose clock is nearest, the earlier one on a tie; pulses of segments
-    without fixes have none. ``fixes`` has gnss_utc.
+    without fixes have none, nor do pulses without a clock. ``fixes`` has gnss_utc; those without a clock don't count.
 
-    An as-of join by union: the last fix before and the first fix from then on come from two running windows over the
-    segment, so nothing is multiplied; of fixes with equal clocks the first in the file counts."""
+    An as-of join by union: the last fix before and the first fix from then on come from windows of one order over the
+    segment, so nothing is multiplied and rows are sorted once; of fixes with equal clocks the first in the file counts.
+    A segment is read in one piece; with ``span`` in blocks of so many ticks, for segments of any length, each with the
+    nearest fix on either side of it."""
     columns = ["file_id", "segment", "offset", "micros"]
     p = pulses.select("file_id", "segment", "offset", F.col(value).alias("micros"), F.lit(None).cast("double").alias("gnss_utc"))
-    g = fixes.select("file_id", "segment", "offset", F.col(value).alias("micros"), "gnss_utc")
+    g = fixes.where(F.col(value).isNotNull()).select("file_id", "segment", "offset", F.col(value).alias("micros"), "gnss_utc")
     both = p.withColumn("is_fix", F.lit(0)).unionByName(g.withColumn("is_fix", F.lit(1)))
-    fix = F.when(F.col("is_fix") == 1, F.struct(F.col("micros").alias("gnss_micros"), "gnss_utc"))
-    segment = Window.partitionBy("file_id", "segment")
-    up = segment.orderBy("micros", "is_fix", F.col("offset").desc()).rowsBetween(*SO_FAR)
-    down = segment.orderBy(F.col("micros").desc(), F.col("is_fix").desc(), F.col("offset").desc()).rowsBetween(*SO_FAR)
-    near = both.withColumns({"before": F.last(fix, ignorenulls=True).over(up), "after": F.last(fix, ignorenulls=True).over(down)}).where("is_fix = 0")
+    keys = SERIES
+    if span is not None:
+        both, keys = both.withColumn("__block", F.floor(F.col("micros") / span)), (*SERIES, "__block")
+        both = both.unionByName(_fixes_beside(both))
+    in_order = Window.partitionBy(*keys).orderBy("micros", "is_fix", F.col("offset").desc())
+    again = (F.lead("is_fix").over(in_order) == 1) & (F.lead("micros").over(in_order) == F.col("micros"))
+    counts = (F.col("is_fix") == 1) & ~F.coalesce(again, F.lit(False))
+    x = both.withColumn("__fix", F.when(counts, F.struct(F.col("micros").alias("gnss_micros"), "gnss_utc")))
+    after = F.expr(f"lead(__fix) IGNORE NULLS OVER (PARTITION BY {', '.join(keys)} ORDER BY micros, is_fix, offset DESC)")
+    near = x.withColumns({"before": F.last("__fix", ignorenulls=True).over(in_order.rowsBetween(*SO_FAR)), "after": after}).where("is_fix = 0")
     back, ahead = F.col("micros") - F.col("before.gnss_micros"), F.col("after.gnss_micros") - F.col("micros")
     pick = F.when(ahead.isNull() | (back <= ahead), F.col("before")).otherwise(F.col("after"))
     return near.withColumn("fix", pick).select(*columns, "fix.gnss_micros", "fix.gnss_utc")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_ROWS = 5
-#: Rows of a float series that Python gets at a time.
+#: Rows of a float series that a task takes at a time.
 BLOCK = 65_536
 
 
@@ -61,7 +60,7 @@ def flag_outliers(rows: DataFrame, columns: list[str], neighbours: int = 6, sigm
 
 
 def float_outliers(values: np.ndarray, neighbours: int, sigma: float) -> np.ndarray:
-    """Flags of a float series; values that aren't finite are flagged and aren't neighbours."""
+    """A plain model of ``flag_float_outliers`` for one series; values that aren't finite are flagged and aren't neighbours."""
     finite = np.isfinite(values)
     n, half = len(values), neighbours // 2
     if n < neighbours + 1:
@@ -81,20 +80,39 @@ def float_outliers(values: np.ndarray, neighbours: int, sigma: float) -> np.ndar
 
 
 def flag_float_outliers(rows: DataFrame, columns: list[str], neighbours: int = 6, sigma: float = 5.0, keys: tuple[str, ...] = ("file_id", "segment"), order: str = "offset", suffix: str = "_stdchecked", block: int = BLOCK) -> DataFrame:
-    """The same test for float columns. A series of any length goes to Python in blocks of ``block`` rows, each with the
-    ``neighbours`` rows before and after it, which it needs but doesn't return."""
-    schema = rows.limit(0).withColumns({f"{c}{suffix}": F.lit(False) for c in columns}).schema
-
-    def flag(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("__at", kind="stable")
-        flagged = series.assign(**{f"{c}{suffix}": float_outliers(series[c].to_numpy(float), neighbours, sigma) for c in columns})
-        return flagged[flagged["__own"] == flagged["__block"]].drop(columns=["__at", "__own", "__block"])
-
+    """The same test for float columns, in the JVM; values that are null or not finite are flagged and aren't neighbours.
+    A series of any length is dealt in blocks of ``block`` rows, each with the ``neighbours`` rows before and after it. A
+    row's neighbours are an array out of one window; their mean and then their deviation are aggregates of it, in two passes,
+    as differences of running sums would lose a float's digits."""
+    half = neighbours // 2
     x = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long") - 1)
     of = lambda at: F.floor(at / block).cast("long")
     blocks = F.sequence(of(F.greatest(F.col("__at") - neighbours, F.lit(0))), of(F.col("__at") + neighbours))
     x = x.withColumns({"__own": of(F.col("__at")), "__block": F.explode(blocks)})
-    return x.groupBy(*keys, "__block").applyInPandas(flag, schema)
+    series = Window.partitionBy(*keys, "__block").orderBy("__at")
+    count = lambda a, b: F.count(F.lit(1)).over(series.rowsBetween(a, b)).cast("int")
+    near = F.collect_list(F.struct(*[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(columns)])).over(series.rowsBetween(-neighbours, neighbours))
+    x = x.withColumns({"__before": count(-neighbours, -1), "__after": count(1, neighbours), "__near": near}).where("__own = __block")
+    # of its neighbours, so many lie before the row: half, but for the ends of the series
+    before, after = F.col("__before"), F.col("__after")
+    x = x.withColumn("__back", F.when(before < half, before).when(after < half, F.lit(neighbours) - after).otherwise(half))
+    x = x.withColumn("__near", F.when(before + after >= neighbours, F.concat(F.slice("__near", before - F.col("__back") + 1, F.col("__back")), F.slice("__near", before + 2, F.lit(neighbours) - F.col("__back")))))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    squares = lambda a, mean: F.aggregate(a, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+    use = lambda k: F.filter(F.transform("__near", lambda r: r[f"v{k}"]), finite)
+    x = x.withColumns({f"__u{k}": use(k) for k in range(len(columns))})
+    m = [F.size(f"__u{k}") for k in range(len(columns))]
+    x = x.withColumns({f"__m{k}": total(F.col(f"__u{k}")) / F.nullif(m[k], F.lit(0)) for k in range(len(columns))})
+    flags = {}
+    for k, c in enumerate(columns):
+        mean = F.col(f"__m{k}")
+        spread = F.sqrt(squares(F.col(f"__u{k}"), mean) / F.nullif(m[k] - 1, F.lit(0)))
+        away = F.abs(F.col(c).cast("double") - mean)
+        # comparisons take NaN, which sums beyond the range of floats give, as the greatest number
+        off = ~F.isnan(away) & F.when((spread > 0) & ~F.isnan(spread), away > sigma * spread).otherwise(away > 0)
+        flags[f"{c}{suffix}"] = ~finite(F.col(c).cast("double")) | F.coalesce((m[k] >= 2) & off, F.lit(False))
+    return x.withColumns(flags).select(*rows.columns, *flags)
 
 
 def outlier_counts(rows: DataFrame, flags: list[str], groups: dict[str, list[str]], keys: tuple[str, ...] = ("file_id", "segment")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 KINDS = ("PPS", "GNSS", "IMU")
@@ -52,20 +52,41 @@ def track_endpoints(fixes: DataFrame, flag: Column | None = None) -> DataFrame:
     return x.select("file_id", "n_points", "n_outliers", F.col("a.latitude_dd").alias("start_latitude"), F.col("a.longitude_dd").alias("start_longitude"), F.col("b.latitude_dd").alias("end_latitude"), F.col("b.longitude_dd").alias("end_longitude"))
 
 
+def _broken_rules(utc: str, outlier: Column, counter_turn: int, utc_after: float) -> dict[str, Column]:
+    """Aggregates: how many records there are, how many break each rule, and IMU records."""
+    imu = F.col("kind") == "IMU"
+    return {
+        "n": F.count(F.lit(1)),
+        "null_utc": F.count_if(F.col(utc).isNull()),
+        "old_utc": F.count_if(F.col(utc) <= utc_after),
+        "counter_breaks": F.count_if(imu & ~F.pmod("counter_step", F.lit(counter_turn)).isin(0, 1)),
+        "backward_steps": F.count_if(F.col("micros_step") < 0),
+        "outlier_rows": F.count_if(imu & outlier),
+        "imu_rows": F.count_if(imu),
+    }
+
+
+def observe_gates(records: DataFrame, utc: str, outlier: Column, counter_turn: int = 2**16, utc_after: float = 1.7e9) -> tuple[DataFrame, Observation]:
+    """``records`` (with counter_step and micros_step) as they are, and what the rules of ``quality_gates`` find in all of
+    them, counted while whatever follows, such as a write of the table, reads them: no second scan. ``gates_passed`` judges
+    the figures. They stand once the first job over the returned records has ended."""
+    seen = Observation()
+    rules = _broken_rules(utc, outlier, counter_turn, utc_after)
+    return records.observe(seen, *[c.cast("long").alias(name) for name, c in rules.items()]), seen
+
+
+def gates_passed(figures: dict[str, int]) -> bool:
+    """Whether figures of ``observe_gates`` pass: no record breaks a rule, and of the IMU records some are outliers, but
+    under a tenth."""
+    broken = sum(figures[c] for c in ("null_utc", "old_utc", "counter_breaks", "backward_steps"))
+    return broken == 0 and 0 < figures["outlier_rows"] < 0.1 * figures["imu_rows"]
+
+
 def quality_gates(records: DataFrame, utc: str, outlier: Column, counter_turn: int = 2**16, utc_after: float = 1.7e9) -> DataFrame:
     """Per file how many records break each rule, and whether all hold: UTC is known, and recent; IMU counters step by
     1 (or 0) modulo their range; the unwrapped clock doesn't go back within a segment; some records are outliers but
     under a tenth. ``records`` carries counter_step and micros_step as ``steps`` makes them."""
-    imu = F.col("kind") == "IMU"
-    x = records.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col(utc).isNull()).alias("null_utc"),
-        F.count_if(F.col(utc) <= utc_after).alias("old_utc"),
-        F.count_if(imu & ~F.pmod("counter_step", F.lit(counter_turn)).isin(0, 1)).alias("counter_breaks"),
-        F.count_if(F.col("micros_step") < 0).alias("backward_steps"),
-        F.count_if(imu & outlier).alias("outlier_rows"),
-        F.count_if(imu).alias("imu_rows"),
-    )
+    x = records.groupBy("file_id").agg(*[c.alias(name) for name, c in _broken_rules(utc, outlier, counter_turn, utc_after).items()])
     share = F.col("outlier_rows") / F.nullif(F.col("imu_rows"), F.lit(0))
     fine = (F.col("null_utc") + F.col("old_utc") + F.col("counter_breaks") + F.col("backward_steps") == 0) & (F.col("outlier_rows") > 0) & (share < 0.1)
     return x.withColumn("passed", F.coalesce(fine, F.lit(False))).drop("imu_rows")

@@ -1,7 +1,9 @@
 """From raw files to records with UTC times, flags and graded segments.
 
-The records are shuffled once, by file, for segmentation, and written to the shared folder. All that follows per
-segment is aggregated from there and joined back; the fits are broadcast while they are few.
+The records are exchanged twice: by blocks of a file for segmentation, and by segment when segmented records are
+written to the shared folder in buckets of their segments. Carry, unwrapping, counts, joins with the segments and outliers
+read these buckets without an exchange, and unwrapped records lie in folders by kind. What is known per segment or
+file comes to the records by one join with the table of kept segments.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gnss_posix_seconds, scale_gnss, scale_imu
 from ..operators import clock, outliers, scan, segments, unwrap
-from ..shared import store
+from ..shared import store, store_by
 from ..sources import audit, decode_frames, decode_ranges, parse_file_name, parse_header, register
 from ..sources.frames import JUNK
 from ..sources.ranges import REACH
@@ -34,6 +36,8 @@ class Settings:
     r2: float = 0.99
     mismatch: float = 0.2
     block: int = scan.BLOCK  # offsets of a file that one task reads
+    clock_block: int | None = None  # ticks of a segment within which pulses meet fixes at once; None: the whole segment
+    buckets: int | None = None  # of the stored records; None: as many as shuffle partitions
 
 
 def decode(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +74,7 @@ def segmented(records: DataFrame, settings: Settings) -> DataFrame:
 def clock_fits(unwrapped: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(pairs, fits) of unwrapped records with segments."""
     fixes = unwrapped.where("kind = 'GNSS'").withColumn("gnss_utc", gnss_posix_seconds(F.col("posix_timestamp"), F.col("microseconds")))
-    pairs = clock.match_nearest(unwrapped.where("kind = 'PPS'"), fixes)
+    pairs = clock.match_nearest(unwrapped.where("kind = 'PPS'"), fixes, span=settings.clock_block)
     pairs = clock.filter_pairs(clock.pulse_utc_second(pairs, settings.ticks))
     return pairs, clock.fit_clock(pairs)
 
@@ -78,16 +82,21 @@ def clock_fits(unwrapped: DataFrame, settings: Settings) -> tuple[DataFrame, Dat
 FLAGGED = {"IMU": ["acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z"], "GNSS": ["latitude", "longitude", "ned_vel_north", "ned_vel_east", "ned_vel_down"]}
 
 
-def synchronise(records: DataFrame, settings: Settings, trailing: DataFrame | None = None) -> dict[str, DataFrame]:
-    """pps, gnss, imu (kept records with UTC, flags and segment_out) and segments (all, graded).
+SEGMENT = ["file_id", "segment"]
+
+
+def synchronise(records: DataFrame, settings: Settings, trailing: DataFrame | None = None, headers: DataFrame | None = None) -> dict[str, DataFrame]:
+    """pps, gnss, imu (kept records with UTC, flags and segment_out) and segments (all, graded). ``headers``, if given, has
+    a row per file_id whose other columns every record of the file gets.
 
     ``trailing``, if given, has file_id and ``more``: whether bytes follow the file's last frame; then a last IMU record
     that fills its segment opens an empty one, which counts in the number of segments."""
-    cut = store(segmented(records, settings), "segmented")
+    cut = store_by(segmented(records, settings), "segmented", SEGMENT, "offset", buckets=settings.buckets)
     summary = store(unwrap.carry_summary(cut, settings.turn, settings.counter_turn), "carry")
     deviation = int(settings.deviation_seconds * settings.ticks)
     carried = store(unwrap.carry_unwrap_state(summary, settings.turn, settings.counter_turn, settings.carry_from, deviation), "carried")
-    unwrapped = store(unwrap.apply_carry(cut, carried, settings.turn, settings.counter_turn), "unwrapped")
+    unwrapped = unwrap.apply_carry(cut, carried, settings.turn, settings.counter_turn)
+    unwrapped = store_by(unwrapped, "unwrapped", SEGMENT, "offset", ("kind",), settings.buckets, laid_out=True)
     _, fits = clock_fits(unwrapped.where("consistency_ok"), settings)
     fits = store(fits, "fits")
     n_fits = fits.count()
@@ -101,6 +110,7 @@ def synchronise(records: DataFrame, settings: Settings, trailing: DataFrame | No
     graded = segments.filter_segments(segments.grade_segments(graded, settings.r2, settings.mismatch))
     graded = store(graded, "segments")
     kept = graded.where("keep").select("file_id", "segment", "segment_out", "slope", "intercept")
+    kept = kept if headers is None else kept.join(headers, "file_id", "left")
     rows = unwrapped.join(F.broadcast(kept) if n_fits <= clock.BROADCAST_FITS else kept, ["file_id", "segment"])
     utc = F.col("slope") * F.col("micros_reading_unwrapped") + F.col("intercept")
     rows = rows.withColumn("utc_timestamp_from_pps_regression", utc).withColumn("datetime_timestamp_from_pps_regression", F.timestamp_micros(F.bround(utc * 1e6, 0).cast("long")))
@@ -130,10 +140,10 @@ def synchronise_files(files: DataFrame, frames: DataFrame, settings: Settings) -
         # half a row rounds to even, as in the reference; a rate that gives no whole row counts as none
         a_minute = F.when(F.bround(F.col("imu_odr") * 60, 0).between(1, 1e15), F.bround(F.col("imu_odr") * 60, 0).cast("long"))
         records = records.join(files.select("file_id", a_minute.alias("file_rows")), "file_id", "left")
-    out = synchronise(records, settings, trailing)
-    out["imu"] = scale_imu(out["imu"].join(own, "file_id", "left"))
-    out["gnss"] = scale_gnss(out["gnss"].join(own.drop("acc_sensitivity", "gyr_sensitivity"), "file_id", "left"))
-    out["pps"] = out["pps"].join(own.drop("acc_sensitivity", "gyr_sensitivity"), "file_id", "left")
+    out = synchronise(records, settings, trailing, own)
+    out["imu"] = scale_imu(out["imu"])
+    out["gnss"] = scale_gnss(out["gnss"].drop("acc_sensitivity", "gyr_sensitivity"))
+    out["pps"] = out["pps"].drop("acc_sensitivity", "gyr_sensitivity")
     return out | {"files": files}
 
 

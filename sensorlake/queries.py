@@ -223,7 +223,9 @@ def counter_gaps(log):
 
 @on_log
 def flagged_outliers(log):
-    x = outliers.flag_outliers(segmented(log, S).where("kind = 'IMU'"), ["acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z"])
+    """With the columns whose values are sure to fit in 16 bits as narrow as decoded ones are, the rest wide."""
+    narrow = segmented(log, S).where("kind = 'IMU'").withColumns({c: F.col(c).cast("smallint") for c in ("acc_y", "acc_z", "gyr_y", "gyr_z")})
+    x = outliers.flag_outliers(narrow, ["acc_x", "acc_y", "acc_z", "gyr_x", "gyr_y", "gyr_z"])
     return x.select("file_id", "segment", "offset", *[c for c in x.columns if c.endswith("_stdchecked")])
 
 
@@ -258,7 +260,7 @@ def clock_consistency(log):
 def matched(log: DataFrame) -> DataFrame:
     x = unwrapped(log)
     fixes = x.where("kind = 'GNSS'").withColumn("gnss_utc", fn.gnss_posix_seconds(F.col("posix_timestamp"), F.col("microseconds")))
-    return clock.match_nearest(x.where("kind = 'PPS'"), fixes)
+    return clock.match_nearest(x.where("kind = 'PPS'"), fixes, span=S.clock_block)
 
 
 @on_log
@@ -276,7 +278,7 @@ def filtered_pairs(log):
     whole = log.withColumn("segment", F.lit(0))
     x = unwrap.unwrap_counter(whole, "micros_reading", S.turn, span=S.block)
     fixes = x.where("kind = 'GNSS'").withColumn("gnss_utc", fn.gnss_posix_seconds(F.col("posix_timestamp"), F.col("microseconds")))
-    pairs = clock.pulse_utc_second(clock.match_nearest(x.where("kind = 'PPS'"), fixes), S.ticks)
+    pairs = clock.pulse_utc_second(clock.match_nearest(x.where("kind = 'PPS'"), fixes, span=S.clock_block), S.ticks)
     return clock.filter_pairs(pairs).select("file_id", "offset", "utc_second", "used")
 
 

@@ -31,6 +31,23 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def store_by(df: DataFrame, name: str, keys: list[str], order: str, split: tuple[str, ...] = (), buckets: int | None = None, laid_out: bool = False) -> DataFrame:
+    """As ``store``, in buckets of ``keys``, sorted by them and ``order``, with a folder for each value of ``split``. Windows,
+    aggregates and joins over ``keys`` read the table without an exchange. There are as many buckets as shuffle partitions,
+    unless told otherwise; rows are dealt to them first, so a task writes one bucket, unless they are ``laid_out`` so
+    already. A key's rows lie in one bucket: take keys whose rows are bounded, such as segments."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    dealt = df if laid_out else df.repartition(n, *keys)
+    writer = dealt.write.format("parquet").bucketBy(n, *keys).sortBy(*keys, order).option("path", path)
+    (writer.partitionBy(*split) if split else writer).saveAsTable(table)
+    out = spark.table(table)
+    out.stored_at = path
+    return out
+
+
 def discard(stored: DataFrame) -> None:
     """Delete the files of a table that ``store`` wrote, once nothing that is still to run reads it."""
     spark = stored.sparkSession
