@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from .streaming import frequency_alarm, saturation_alarm, windowed_rates, with_s
 __all__ = ["entry", "oracle_sql", "queries"]
 FOUND: dict = {}
 DEVIATION = int(S.deviation_seconds * S.ticks)
+#: Ticks of two days, for segments of any length.
+CLOCK_BLOCK = 2 * 86_400 * S.ticks
 
 
 def on_log(f):
@@ -258,9 +261,9 @@ def clock_consistency(log):
 
 
 def matched(log: DataFrame) -> DataFrame:
-    x = unwrapped(log)
+    x = store(unwrapped(log).where("kind IN ('PPS', 'GNSS')"), "pulses-and-fixes")
     fixes = x.where("kind = 'GNSS'").withColumn("gnss_utc", fn.gnss_posix_seconds(F.col("posix_timestamp"), F.col("microseconds")))
-    return clock.match_nearest(x.where("kind = 'PPS'"), fixes, span=S.clock_block)
+    return clock.match_nearest(x.where("kind = 'PPS'"), fixes, span=CLOCK_BLOCK)
 
 
 @on_log
@@ -276,16 +279,16 @@ def pulse_seconds(log):
 @on_log
 def filtered_pairs(log):
     whole = log.withColumn("segment", F.lit(0))
-    x = unwrap.unwrap_counter(whole, "micros_reading", S.turn, span=S.block)
+    x = store(unwrap.unwrap_counter(whole, "micros_reading", S.turn, span=S.block).where("kind IN ('PPS', 'GNSS')"), "pulses-and-fixes")
     fixes = x.where("kind = 'GNSS'").withColumn("gnss_utc", fn.gnss_posix_seconds(F.col("posix_timestamp"), F.col("microseconds")))
-    pairs = clock.pulse_utc_second(clock.match_nearest(x.where("kind = 'PPS'"), fixes, span=S.clock_block), S.ticks)
+    pairs = clock.pulse_utc_second(clock.match_nearest(x.where("kind = 'PPS'"), fixes, span=CLOCK_BLOCK), S.ticks)
     return clock.filter_pairs(pairs).select("file_id", "offset", "utc_second", "used")
 
 
 def whole_file_fits(log: DataFrame):
     """Clock fits over whole files, which have enough pulses for them."""
-    x = unwrap.unwrap_counter(log.withColumn("segment", F.lit(0)), "micros_reading", S.turn, span=S.block)
-    return x, clock_fits(x, S)[1]
+    x = store(unwrap.unwrap_counter(log.withColumn("segment", F.lit(0)), "micros_reading", S.turn, span=S.block), "unwrapped")
+    return x, clock_fits(x, replace(S, clock_block=CLOCK_BLOCK))[1]
 
 
 @on_log
