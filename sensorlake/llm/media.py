@@ -430,6 +430,7 @@ def media_features(table: DataFrame, keys: list[str], column: str = "media") ->
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` stored as a picture, with what is read back from it."""
     stored = store_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return media_features(stored, ["doc_id", "n_bytes"]).selectExpr(
         "doc_id", "n_bytes", "thumbnail_bytes as payload_bytes", "thumbnail_sha256 as payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

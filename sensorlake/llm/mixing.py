@@ -170,6 +170,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The mix of all ``documents`` by source: words taken of each."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 

@@ -127,4 +127,5 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 2, tokenizer: str
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all ``documents``, each with its sequence and place."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)

@@ -143,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: Col
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The score of every document, from labels of documents whose crc32(doc_id) mod 4 is not 2."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = fold(F.col("doc_id"), 4) == 2
     model = fit(docs, labels, allowed=~held_out)

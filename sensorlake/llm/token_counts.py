@@ -76,4 +76,5 @@ def attribute_tokens(docs: DataFrame, rule: str = "most", separator: str = "\n",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The tokens of every section of all ``documents``."""
     return attribute_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
