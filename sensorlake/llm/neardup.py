@@ -11,7 +11,8 @@ group has one centre; members of different components can be similar only if the
 lacks, and they are looked for by the rarest shingles of that. So the rows grow with the members, not with their pairs.
 
 A bucket, group or label may hold a large part of all rows. Spark splits such a key in a join only if both sides come
-straight from a shuffle, which a side that has just been aggregated by that key doesn't; so these are stored first.
+straight from a shuffle, which a side that has just been aggregated by that key doesn't; so these are stored first. It
+splits between the tasks that a key's rows come from, so labels are stored in files of bounded rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import discard, store
+from .. import shared
+from ..shared import discard
 from .common import pieces, slices
 from .dartminhash import U, mix, signatures
 
@@ -33,13 +35,18 @@ WORDS = 5
 BANDS, ROWS = 38, 8
 #: Similarity from which documents are linked, as a fraction.
 LINK = (4, 5)
-#: Parts into which the rows of a label are dealt for a join.
-PARTS = 8
+#: Rows of a file of labels, at most.
+FILE = 50_000
 #: Bytes of texts in a slice (one text at least), and characters that are looked at at a time.
 SLICE, PIECE = 400_000, 250_000
 SIGNED = "doc_id long, text_hash long, node long, bands array<long>, size long, shingles binary, counts binary"
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``shared.store``; labels go into several files where they are many."""
+    return shared.store(df, name, FILE if name == "dup-labels" else 0)
+
+
 @lru_cache(maxsize=1)
 def letters() -> tuple[np.ndarray, np.ndarray]:
     """By code point: whether it belongs to a word, and a random number for its lower case."""
@@ -179,30 +186,53 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_sets(pairs, sets, "a", "b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The links (a, b) between labels, each once; those within a label are left out. A node without a label is its own."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+    ends = [F.coalesce(f"{end}_label", end) for end in ("a", "b")]
+    return links.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).where("a <> b").distinct()
+
+
+def relabelled(labels: DataFrame, later: DataFrame) -> DataFrame:
+    """``labels`` (node, label), where labels that have a row in ``later`` are replaced by theirs. Both are stored tables."""
+    return labels.join(later.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+
+
 def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(node, label): the least node of each component. ``labels`` are those of a part of the links, if known.
+    """(node, label): the least node of each component of the ``links`` (a, b) and of those that ``labels``, if given, are
+    the result of.
 
-    Every node takes the least label among its neighbours', then that label's own label, until nothing changes; the
-    tables hold linked nodes only and are written to the shared folder in each step, which deletes those of the one before."""
-    both = store(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")), "dup-links")
-    start = both.select("node").distinct().withColumn("label", F.col("node"))
+    Links are contracted: every node takes the first of itself and its neighbours in an order that is drawn anew for every
+    second round, and the links are carried over to what was taken, until none is left between different nodes. About half
+    of a chain's nodes go in a round and a star is done in two, so all rounds together join few more rows than the first.
+    What was taken is then followed from the last round back to the first."""
     if labels is not None:
-        start = start.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    now = last = store(start, "dup-labels")
-    while True:
-        near = both.join(now.select(F.col("node").alias("other"), F.col("label").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        pulled = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # a root that learns of a smaller label hands it to all that point to it
-        hooks = pulled.where("label < old").groupBy(F.col("old").alias("root")).agg(F.min("label").alias("lower"))
-        hooks = hooks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-        after = pulled.join(hooks, (F.col("label") == F.col("root")) & (F.pmod("node", F.lit(PARTS)) == F.col("part")), "left").select("node", "old", F.coalesce("lower", "label").alias("label"))
-        after = store(after, "dup-labels")
+        found = components(contracted(links, labels), None)
+        added = found.join(labels, "node", "left_anti").select("node", "label")
+        now = store(relabelled(labels, found).union(added), "dup-labels")
+        discard(found)
+        return now
+    rest, taken = store(links.select("a", "b").where("a <> b"), "dup-links"), []
+    while not taken or rest.limit(1).count():
+        first = lambda c: F.struct(F.xxhash64(c, F.lit(len(taken) // 2)).alias("place"), F.col(c).alias("label"))
+        ends = rest.select(F.col("a").alias("node"), F.col("b").alias("other")).union(rest.select("b", "a"))
+        near = ends.groupBy("node").agg(F.min(first("other")).alias("near"))
+        taken.append(store(near.select("node", F.least("near", first("node"))["label"].alias("label")), "dup-labels"))
+        last, rest = rest, store(contracted(rest, taken[-1]), "dup-links")
+        discard(last)
+    discard(rest)
+    now = taken.pop()
+    while taken:
+        last, before = now, taken.pop()
+        now = store(relabelled(before, last), "dup-labels")
         discard(last)
-        changed = after.where("label <> old").limit(1).count()
-        now, last = after.select("node", "label"), after
-        if not changed:
-            discard(both)
-            return now
+        discard(before)
+    names = store(now.groupBy("label").agg(F.min("node").alias("least")), "dup-least")
+    named = store(now.join(names, "label").select("node", F.col("least").alias("label")), "dup-labels")
+    discard(now)
+    discard(names)
+    return named
 
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -329,8 +359,7 @@ def joined(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFr
     more = store(more, "dup-verified")
     if not more.limit(1).count():
         return links, labels
-    links = links.union(more)
-    return links, components(links, labels)
+    return links.union(more), components(more, labels)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -20,12 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, and a lost executor
-    costs only the tasks that it was running."""
+    costs only the tasks that it was running. ``rows_per_file``, if not 0, bounds the rows of a file."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", rows_per_file) if rows_per_file else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

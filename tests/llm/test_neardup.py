@@ -180,6 +180,44 @@ def test_hot_labels_and_centres_are_split(spark, monkeypatch):
     assert any("SortMergeJoin(skew=true) LeftOuter" in p for p in steps), steps[0]
 
 
+def joined_rows(spark, since):
+    """Rows that the joins of all executions from number ``since`` on have made."""
+    status = spark._jsparkSession.sharedState().statusStore()
+    total = 0
+    for i in range(since, status.executionsList().size()):
+        run = status.executionsList().apply(i).executionId()
+        values, nodes = status.executionMetrics(run), status.planGraph(run).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = (node.metrics().apply(k) for k in range(node.metrics().size())) if "Join" in node.name() else ()
+            for m in metrics:
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_joined_rows_of_components_grow_with_the_links(spark):
+    """Not with the rounds that a chain or a hub of hubs takes, nor with the links that earlier labels stand for."""
+    chain = [(i, i + 1) for i in range(1, 129)]
+    hubs = [(1000 + h, 2000 + 10 * h + k) for h in range(60) for k in range(10)] + [(1000 + h, 1001 + h) for h in range(59)]
+    cross = [(1000 + h, 2000 + (10 * h + 7 * k) % 600) for h in range(60) for k in range(1, 20)]
+    seen = lambda: spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    links = spark.createDataFrame([(a, b, 0.9) for a, b in sorted({*chain, *hubs, *cross})], "a long, b long, similarity double")
+    since, n = seen(), links.count()
+    labels = neardup.components(links, None)
+    made = joined_rows(spark, since)
+    got = {r.node: r.label for r in labels.collect()}
+    assert {got[i] for i in range(1, 130)} == {1} and {v for k, v in got.items() if k >= 1000} == {1000}
+    assert len(got) == 129 + 660 and n < made <= 6 * n, (made, n)
+    # three more links, to the two components and two nodes without a label: a join or two of the labels, none of the links
+    since, nodes = seen(), labels.count()
+    assert joined_rows(spark, since) == 0
+    _, after = neardup.joined(links, labels, spark.createDataFrame([(129, 2005, 0.9), (-7, 50, 0.9), (7000, 7001, 0.8)], "a long, b long, similarity double"))
+    made = joined_rows(spark, since)
+    got = {r.node: r.label for r in after.collect()}
+    assert {got[i] for i in (-7, 1, 64, 129, 1000, 2599)} == {-7} and got[7000] == got[7001] == 7000 and len(got) == nodes + 3
+    assert made <= nodes + 60, (made, nodes)
+
+
 def check_links(texts, rows):
     """Each stated similarity is that of the two texts, and the links of a class are enough to hold it together."""
     sets = {d: plain(t) for d, t in texts.items()}
